@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII white space, as byte strings' own split() and strip() take it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -42,7 +44,8 @@ def map_texts(frame: DataFrame, each: Callable[[bytes | None], tuple], schema: s
     """Carry `keep` along and add `schema`'s columns, computed from the column `text` by each(bytes or None)."""
     carried = frame.select(*keep, "text")
     types = {f.name: f.dataType.simpleString() for f in carried.select(*keep).schema}
-    names = [field.strip().split()[0] for field in schema.split(",")]
+    added = to_arrow_schema(StructType.fromDDL(schema))
+    names = added.names
     whole = ", ".join([*(f"`{k}` {types[k]}" for k in keep), schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +54,7 @@ def map_texts(frame: DataFrame, each: Callable[[bytes | None], tuple], schema: s
                 part = batch.slice(at, batch_rows)
                 rows = [each(text) for text in blobs(part)]
                 columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array(c) for c in columns)], [*keep, *names])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array(c, t) for c, t in zip(columns, added.types, strict=True))], [*keep, *names])
 
     return carried.mapInArrow(run, whole)
 
