@@ -61,7 +61,7 @@ def pretokens(text: str, size: int = BLOCK) -> Iterator[list[str]]:
 class ByteBPE:
     """Merges of a byte-level vocabulary file, on bytes."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte = {ch: b for b, ch in enumerate(byte_alphabet())}

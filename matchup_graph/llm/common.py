@@ -66,7 +66,7 @@ LONG_KEY = 64
 class Memo(dict):
     """Computed values by key, in two generations so that memory stays bounded and hot keys stay known."""
 
-    def __init__(self, compute: Callable, limit: int = 250_000):
+    def __init__(self, compute: Callable, limit: int = 120_000):
         self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):

@@ -31,7 +31,7 @@ _FIRST_SYNC = regex.compile(r"\S(?=\s)")
 class CountTransducer:
     """Counts the tokens of whole texts."""
 
-    def __init__(self, file: str = BYTE_FILE, limit: int = 250_000):
+    def __init__(self, file: str = BYTE_FILE, limit: int = 120_000):
         self.bpe = byte_bpe(file)
         self.weights = Memo(lambda word: self.walk(word.encode()), limit)
 

@@ -30,7 +30,7 @@ class WordTokenizer:
     are its words' ids one after the other.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 120_000):
         self.whole = Tokenizer.from_file(path)
         self.whole.no_padding()
         self.whole.no_truncation()
