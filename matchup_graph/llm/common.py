@@ -73,7 +73,7 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-            if isinstance(key, str | bytes) and len(key) > LONG_KEY:  # as a rule one of a kind
+            if isinstance(key, (str, bytes)) and len(key) > LONG_KEY:  # as a rule one of a kind
                 return value
         if len(self) >= self.limit:
             self.old = dict(self)

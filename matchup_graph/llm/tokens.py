@@ -12,6 +12,8 @@ from .common import Memo
 WORD_FILE = "word_bpe_49k.json"
 #: What the tokenizer's own split keeps of plain characters: contractions, letters, single numbers, the rest.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-zA-Z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Signs that end a run of letters and stand alone after it.
+_SIGNS = frozenset(b"%c" % c for c in b".,;:!?)]}")
 #: Characters whose class, case and composition no Unicode version changes.
 _PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]*")
 
@@ -40,10 +42,16 @@ class WordTokenizer:
         self.packed = Memo(self._pack, limit)
 
     def _part(self, part: str) -> bytes:
-        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.byte))
+        # plain ASCII stands for itself in the byte alphabet
+        tokens = self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.byte))
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def _pack(self, word: bytes) -> bytes:
+        # most words are one run of letters, with one sign behind it or none
+        if word.isalpha():
+            return self.parts[word.lower().decode()]
+        if word[:-1].isalpha() and word[-1:] in _SIGNS:
+            return self.parts[word[:-1].lower().decode()] + self.parts[word[-1:].decode()]
         text = word.decode("utf-8", "replace")
         if "<|" in text or not _PLAIN.fullmatch(text):
             ids = self.whole.encode(text, add_special_tokens=False).ids
