@@ -60,7 +60,10 @@ class WordTokenizer:
 
     def encode(self, text: bytes | None) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""
-        return b"".join(map(self.packed.__getitem__, (text or b"").split()))
+        return self.encode_words((text or b"").split())
+
+    def encode_words(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.packed.__getitem__, words))
 
 
 def word_tokenizer(file: str = WORD_FILE) -> WordTokenizer:
