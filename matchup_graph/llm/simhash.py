@@ -13,7 +13,10 @@ either exact half of B: 128 signatures of 47 known bits.  A signature therefore
 has at most 2^17 fingerprints, whatever the corpus.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from .components import components
 
 SEED = 42
 MAX_BITS = 2
+#: Eight bytes each.
+BROADCAST_IDS = 500_000
 _TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _OFFSETS = (np.arange(8) * 256).astype(np.int64)
 
@@ -96,12 +101,87 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
-def apply_simhash(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, in docs' own columns.
-
-    Repeated rows with that doc_id stay, as rows without a doc_id do.
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; a text of fewer words is one shingle."""
+    words = (text or b"").lower().split()
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    codes = np.array([digest(w, SEED) for w in words], np.uint64)
+    n = len(codes) - width + 1
+    h = np.zeros(n, np.uint64)
+    for i in range(width):
+        h = (h ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return np.unique(h)
+
+
+#: Texts of similarity s share one of BANDS keys of ROWS min-hashes with probability 1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8.
+BANDS, ROWS = 20, 5
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One signed 64-bit key per band of min-hashes."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        mixed = hashes[at : at + 1024] * _MIX
+        mixed ^= mixed >> np.uint64(29)
+        np.minimum(low, mixed.min(axis=1), out=low)
+    bands = low.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(band.tobytes(), n) - (1 << 63) for n, band in enumerate(bands)]
+
+
+def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(u, v), u > v: documents of one band whose shingle sets have a Jaccard similarity of at least `similarity`.
+
+    64 bits can't find them: at 0.8 fingerprints differ in about ten bits, so
+    no segment that differs by one bit has enough bits to be a key.  Bands of
+    min-hashes give the candidates and whole sets decide.  In each band all are
+    compared with the smallest doc_id; those that aren't near it are compared
+    among themselves in the next round, until none is left, so candidates never
+    grow with the square of a band.
+    """
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sets = lambda frame: map_texts(frame, lambda text: (shingle_hashes(text, width).tobytes(),), "hashes binary", ["doc_id"])
+
+    def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                near = []
+                for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                    same = len(np.intersect1d(a, b, assume_unique=True))
+                    near.append(same >= similarity * (len(a) + len(b) - same))
+                yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(near, pa.bool_())], ["u", "v", "near"])
+
+    keyed = map_texts(docs, lambda text: (band_keys(shingle_hashes(text, width)),), "bands array<bigint>", ["doc_id"])
+    waiting = keyed.select("doc_id", F.explode("bands").alias("band")).distinct()
+    known = None
+    while True:
+        least = waiting.groupBy("band").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("last > v").drop("last")
+        tried = cut(waiting.join(least, "band").where("doc_id > v").select(F.col("doc_id").alias("u"), "v", "band"))
+        pairs = tried.select("u", "v").distinct()
+        pairs = cut(pairs if known is None else pairs.join(known, ["u", "v"], "left_anti"))
+        ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+        wanted = sets(docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else docs)
+        both = pairs.join(wanted.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), "u").join(wanted.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b")), "v")
+        judged = both.select("u", "v", "a", "b").mapInArrow(verdicts, "u bigint, v bigint, near boolean").groupBy("u", "v").agg(F.max("near").alias("near"))
+        known = cut(judged if known is None else known.union(judged))
+        waiting = cut(tried.join(known.where("not near"), ["u", "v"]).select(F.col("u").alias("doc_id"), "band"))
+        if waiting.isEmpty():
+            return known.where("near").select("u", "v")
+
+
+def apply_simhash(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each component of near-duplicates, the one with the smallest doc_id, in docs' own columns.
+
+    Near means a Jaccard similarity of word shingles of at least `similarity`;
+    op3's settings, three words and two bits, are its own.  Repeated rows with
+    the kept doc_id stay, as rows without a doc_id do.
     """
-    drop = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    drop = components(similar(docs, width, similarity)).where("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
 
