@@ -47,7 +47,7 @@ def word_codes(text: bytes | None) -> np.ndarray:
 
 
 def seeds(codes: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the winnowed shingles, each hash once, at its first place."""
+    """(hashes, positions) of the winnowed shingles, at every place."""
     n = len(codes) - p.k + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -62,8 +62,7 @@ def seeds(codes: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
         at = np.unique(low)
     else:
         at = np.array([h.argmin()])
-    values, first = np.unique(h[at], return_index=True)
-    return values.view(np.int64), at[first]
+    return h[at].view(np.int64), at
 
 
 def chain(pos: list[int], other: list[int], k: int, gap_cost: float) -> list[list[int]]:
@@ -180,13 +179,13 @@ def _seed_rows(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def links(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, pos, keep_id, keep_pos): each shared seed, to the document with the smallest id that has it.
+    """(doc_id, pos, keep_id, keep_pos): each place of a shared seed, to the first place in the document with the smallest id that has it.
 
     The first document of a seed is found with partial sums, and the join back
     is one that Spark can split where a seed is very common.
     """
     found = _seed_rows(docs, p)
-    first = found.groupBy("seed").agg(F.min("doc_id").alias("keep_id"), F.min_by("pos", "doc_id").alias("keep_pos"), F.max("doc_id").alias("last_id"))
+    first = found.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("keep"), F.max("doc_id").alias("last_id")).select("seed", F.col("keep.doc_id").alias("keep_id"), F.col("keep.pos").alias("keep_pos"), "last_id")
     shared = first.where("last_id > keep_id").drop("last_id")
     return found.join(shared, "seed").where("doc_id > keep_id").select("doc_id", "pos", "keep_id", "keep_pos")
 
