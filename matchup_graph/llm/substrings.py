@@ -5,6 +5,9 @@
    has one.
 2. A seed that several documents share links each of them to the one with the
    smallest doc_id: links grow with the seeds and never with their square.
+   Where neighbouring seeds lead to different places, each run of 2, 4 or 8 of
+   them is a key of its own and links to the first document with that run, so
+   a passage whose parts come first in several documents is found as a whole.
 3. The links of a document to one earlier document are chained: matches in
    order in both, a gap costs in proportion to its words on both sides, the best
    predecessor comes from a Fenwick tree of prefix maxima.
@@ -37,6 +40,8 @@ class Params:
 
 #: Eight bytes each.
 BROADCAST_IDS = 500_000
+#: Seeds in a key, where single ones don't lead to one place.
+RUNS = (2, 4, 8)
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)]
 
 
@@ -178,16 +183,59 @@ def _seed_rows(docs: DataFrame, p: Params) -> DataFrame:
     return docs.mapInArrow(rows, "seed bigint, doc_id bigint, pos int")
 
 
-def links(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, pos, keep_id, keep_pos): each place of a shared seed, to the first place in the document with the smallest id that has it.
+def shared_seeds(docs: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, links of (pos, seed, keep_id, keep_pos)): each place of a shared seed, with its first place in the document with the smallest id that has it.
 
     The first document of a seed is found with partial sums, and the join back
     is one that Spark can split where a seed is very common.
     """
     found = _seed_rows(docs, p)
-    first = found.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("keep"), F.max("doc_id").alias("last_id")).select("seed", F.col("keep.doc_id").alias("keep_id"), F.col("keep.pos").alias("keep_pos"), "last_id")
-    shared = first.where("last_id > keep_id").drop("last_id")
-    return found.join(shared, "seed").where("doc_id > keep_id").select("doc_id", "pos", "keep_id", "keep_pos")
+    first = found.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("keep"), F.max("doc_id").alias("last_id"))
+    shared = first.where("last_id > keep.doc_id").select("seed", F.col("keep.doc_id").alias("keep_id"), F.col("keep.pos").alias("keep_pos"))
+    return found.join(shared, "seed").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "seed", "keep_id", "keep_pos")).alias("links"))
+
+
+def runs(pos: np.ndarray, seed: np.ndarray, keep: np.ndarray, keep_pos: np.ndarray, p: Params) -> Iterator[tuple[int, list[int]]]:
+    """(key, positions) of each run of neighbouring shared seeds that don't lead to one stretch of one document."""
+    order = np.argsort(pos, kind="stable")
+    pos, seed, keep, keep_pos = pos[order], seed[order].view(np.uint64), keep[order], keep_pos[order]
+    step = np.diff(pos)
+    breaks = np.concatenate([[0], np.cumsum((np.diff(keep) != 0) | (np.diff(keep_pos) != step))])
+    for size in RUNS:
+        n = len(pos) - size + 1
+        if n < 1:
+            break
+        key = np.full(n, size, np.uint64)
+        for i in range(size):
+            key = (key ^ seed[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(32)
+        wanted = (breaks[size - 1 :] > breaks[:n]) & (pos[size - 1 :] - pos[:n] <= size * p.min_words // 2)
+        for i in np.flatnonzero(wanted):
+            yield int(key[i].view(np.int64)), pos[i : i + size].tolist()
+
+
+def run_links(by_doc: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, links of (pos, keep_id, keep_pos)) of the runs, each linked to the first document that has it."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                keys, ids, places = [], [], []
+                lists = batch.column("links")
+                for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                    flat = lists[i].values
+                    for key, place in runs(*(flat.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "seed", "keep_id", "keep_pos")), p):
+                        keys.append(key)
+                        ids.append(doc_id)
+                        places.append(place)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["key", "doc_id", "places"])
+
+    found = by_doc.mapInArrow(rows, "key bigint, doc_id bigint, places array<int>")
+    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "places")).alias("keep"), F.max("doc_id").alias("last_id")).where("last_id > keep.doc_id")
+    pairs = found.join(first, "key").where("doc_id > keep.doc_id").select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.explode(F.arrays_zip("places", F.col("keep.places").alias("keep_places"))).alias("z"))
+    link = F.struct(F.col("z.places").alias("pos"), "keep_id", F.col("z.keep_places").alias("keep_pos"))
+    return pairs.groupBy("doc_id").agg(F.collect_set(link).alias("links"))
 
 
 def _chains(rows: DataFrame, p: Params) -> DataFrame:
@@ -258,8 +306,9 @@ def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
     documents' words go into the two joins; the result is the same.
     """
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    by_doc = links(docs, p).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "keep_id", "keep_pos")).alias("links"))
-    chains = cut(_chains(by_doc, p))
+    by_doc = cut(shared_seeds(docs, p))
+    later = by_doc.select("doc_id", F.expr("transform(filter(links, x -> x.keep_id < doc_id), x -> struct(x.pos AS pos, x.keep_id AS keep_id, x.keep_pos AS keep_pos))").alias("links")).where("size(links) > 0")
+    chains = cut(_chains(later.union(run_links(by_doc, p)), p))
     ids = cut(chains.select(F.explode(F.array("doc_id", "keep_id")).alias("doc_id")).distinct())
     wanted = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else docs
     codes = _code_rows(wanted)

@@ -13,3 +13,14 @@ def test_every_copy_of_a_passage_in_one_document_is_found(spark):
     got = substrings.op5(docs(spark, texts)).collect()
     assert covered(got, 1) == {*range(20, 80), *range(150, 210), *range(271, 331)}
     assert substrings.apply_substrings(docs(spark, texts)).where("doc_id = 1").first().text.split() == b
+
+
+def test_passages_split_between_earlier_documents_are_found_whole(spark):
+    body = [prose(150, 500 + i).split() for i in range(7)]
+    one, two = prose(60, 600).split(), prose(80, 601).split()
+    put = lambda i, part: " ".join(body[i][:60] + part + body[i][60:])
+    # the halves come first in 0 and 1, and once more in 3, between the whole ones in 2 and 4
+    texts = [put(0, one[:30]), put(1, one[30:]), put(2, one), put(3, one[:30] + body[3][:40] + one[30:]), put(4, one), put(5, two), put(6, two)]
+    got = substrings.op5(docs(spark, texts)).collect()
+    assert {r.doc_id for r in got} == {4, 6} and {r.keep_id for r in got if r.doc_id == 4} == {2}
+    assert covered(got, 4) >= set(range(63, 117)) and covered(got, 4) <= set(range(60, 120)) and covered(got, 6) == set(range(60, 140))
