@@ -11,12 +11,13 @@
 3. The links of a document to one earlier document are chained: matches in
    order in both, a gap costs in proportion to its words on both sides, the best
    predecessor comes from a Fenwick tree of prefix maxima.
-4. Chains are aligned word by word between their seeds and extended; passages of
-   50 words or more that agree in 0.8 of them are reported.
+4. Chains are aligned word by word between their seeds and extended over
+   differing words by a banded alignment while that pays; passages of 50 words
+   or more that agree in 0.8 of them are reported.
 """
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +32,13 @@ from .common import blobs, cut
 @dataclass(frozen=True)
 class Params:
     k: int = 5
-    window: int = 8
+    window: int = 6
     min_words: int = 50
     similarity: float = 0.8
     gap_cost: float = 0.1
     margin: int = 48
+    band: int = 6
+    drop: int = 16
 
 
 #: Eight bytes each.
@@ -116,6 +119,16 @@ def chain(pos: list[int], other: list[int], k: int, gap_cost: float) -> list[lis
     return chains
 
 
+def pieces(found: list[int], pos: list[int], other: list[int], most: int) -> list[list[int]]:
+    """A chain, cut where its matches lie more than `most` words apart: extension bridges less, and more isn't one passage."""
+    out = [[found[0]]]
+    for i, j in zip(found, found[1:], strict=False):
+        if max(pos[j] - pos[i], other[j] - other[i]) > most:
+            out.append([])
+        out[-1].append(j)
+    return out
+
+
 def _common(a: list[int], b: list[int]) -> int:
     """Words in common, in order."""
     row = [0] * (len(b) + 1)
@@ -128,28 +141,66 @@ def _common(a: list[int], b: list[int]) -> int:
     return row[-1]
 
 
-def align(doc: list[int], other: list[int], matches: list[tuple[int, int]], k: int) -> tuple[int, int, int, int, int]:
+def extend(a: list[int], b: list[int], p: Params, cost: int) -> tuple[int, int, int]:
+    """(words of a, words of b, words in common) of the best start of both lists.
+
+    A common word counts 1, each differing, extra or missing one -cost; lists
+    shift against each other by at most `band` words, and the search ends where
+    all falls `drop` * cost / 2 below the best.
+    """
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    best, found = 0, (0, 0, 0)
+    if i < n:
+        x, y, low = a[i:], b[i:], -p.drop * cost // 2
+        row = {j: (-cost * j, 0) for j in range(min(p.band, len(y)) + 1)}
+        for u in range(1, len(x) + 1):
+            word, new, left, top = x[u - 1], {}, None, best + low - 1
+            for j in range(max(0, u - p.band), min(len(y), u + p.band) + 1):
+                value = None
+                up, slant = row.get(j), row.get(j - 1)
+                if slant is not None:
+                    value = (slant[0] + 1, slant[1] + 1) if word == y[j - 1] else (slant[0] - cost, slant[1])
+                if up is not None and (value is None or up[0] - cost > value[0]):
+                    value = (up[0] - cost, up[1])
+                if left is not None and (value is None or left[0] - cost > value[0]):
+                    value = (left[0] - cost, left[1])
+                if value is None:
+                    continue
+                new[j] = left = value
+                if value[0] > top:
+                    top = value[0]
+                if value[0] > best:
+                    best, found = value[0], (u, j, value[1])
+            row = new
+            if top < best + low:
+                break
+    return i + found[0], i + found[1], i + found[2]
+
+
+def align(doc: list[int], other: list[int], matches: list[tuple[int, int]], p: Params) -> tuple[int, int, int, int, int]:
     """(start, end, other start, other end, words in common) of a chain between two word lists."""
     a, b = matches[0]
-    while a and b and doc[a - 1] == other[b - 1]:
-        a, b = a - 1, b - 1
-    start, other_start = a, b
-    same = matches[0][0] - a
+    same = 0
     end, other_end = matches[0]
-    for p, q in matches:
-        skip = max(0, end - p, other_end - q)
-        if skip >= k:
+    for x, y in matches:
+        skip = max(0, end - x, other_end - y)
+        if skip >= p.k:
             continue
-        gap, other_gap = doc[end : p + skip], other[other_end : q + skip]
+        gap, other_gap = doc[end : x + skip], other[other_end : y + skip]
         if gap or other_gap:
             same += len(gap) if gap == other_gap else _common(gap, other_gap)
-        same += k - skip
-        end, other_end = p + k, q + k
-    n = min(len(doc) - end, len(other) - other_end)
-    i = 0
-    while i < n and doc[end + i] == other[other_end + i]:
-        i += 1
-    return start, end + i, other_start, other_end + i, same + i
+        same += p.k - skip
+        end, other_end = x + p.k, y + p.k
+    before, after = (doc[max(0, a - p.margin) : a][::-1], other[max(0, b - p.margin) : b][::-1]), (doc[end : end + p.margin], other[other_end : other_end + p.margin])
+    for cost in (2, 1, 4):  # a cost of 4 keeps the agreement of what is added at 0.8
+        m, n, more = extend(*before, p, cost)
+        u, v, last = extend(*after, p, cost)
+        out = a - m, end + u, b - n, other_end + v, same + more + last
+        if out[1] - out[0] >= p.min_words and out[4] >= p.similarity * max(out[1] - out[0], out[3] - out[2]):
+            break
+    return out
 
 
 def _code_rows(docs: DataFrame) -> DataFrame:
@@ -166,6 +217,8 @@ def _code_rows(docs: DataFrame) -> DataFrame:
 
 
 def _seed_rows(docs: DataFrame, p: Params) -> DataFrame:
+    """(seed, doc_id, pos); pos is ~pos where the document has the seed before."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -175,6 +228,9 @@ def _seed_rows(docs: DataFrame, p: Params) -> DataFrame:
                     codes = word_codes(blob)
                     if len(codes) >= p.min_words:
                         h, place = seeds(codes, p)
+                        later = np.ones(len(h), bool)
+                        later[np.unique(h, return_index=True)[1]] = False
+                        place = np.where(later, ~place, place)
                         hs.append(h)
                         ps.append(place)
                         ids.append(np.full(len(h), doc_id, np.int64))
@@ -190,9 +246,10 @@ def shared_seeds(docs: DataFrame, p: Params) -> DataFrame:
     is one that Spark can split where a seed is very common.
     """
     found = _seed_rows(docs, p)
-    first = found.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("keep"), F.max("doc_id").alias("last_id"))
-    shared = first.where("last_id > keep.doc_id").select("seed", F.col("keep.doc_id").alias("keep_id"), F.col("keep.pos").alias("keep_pos"))
-    return found.join(shared, "seed").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "seed", "keep_id", "keep_pos")).alias("links"))
+    first = found.groupBy("seed").agg(F.min("doc_id").alias("keep_id"), F.min_by("pos", F.expr("CASE WHEN pos >= 0 THEN doc_id END")).alias("keep_pos"), F.max("doc_id").alias("last_id"))
+    shared = first.where("last_id > keep_id").drop("last_id")
+    place = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos")).alias("pos")
+    return found.join(shared, "seed").groupBy("doc_id").agg(F.collect_list(F.struct(place, "seed", "keep_id", "keep_pos")).alias("links"))
 
 
 def runs(pos: np.ndarray, seed: np.ndarray, keep: np.ndarray, keep_pos: np.ndarray, p: Params) -> Iterator[tuple[int, list[int]]]:
@@ -214,62 +271,69 @@ def runs(pos: np.ndarray, seed: np.ndarray, keep: np.ndarray, keep_pos: np.ndarr
             yield int(key[i].view(np.int64)), pos[i : i + size].tolist()
 
 
-def run_links(by_doc: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, links of (pos, keep_id, keep_pos)) of the runs, each linked to the first document that has it."""
+_LINE = ["doc_id", "keep_id", "origin", "stop", "keep_origin", "keep_stop", "matches"]
+_LINE_KINDS = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary()]
+_LINE_SCHEMA = "doc_id bigint, keep_id bigint, origin int, stop int, keep_origin int, keep_stop int, matches binary"
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                keys, ids, places = [], [], []
-                lists = batch.column("links")
-                for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                    flat = lists[i].values
-                    for key, place in runs(*(flat.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "seed", "keep_id", "keep_pos")), p):
-                        keys.append(key)
-                        ids.append(doc_id)
-                        places.append(place)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["key", "doc_id", "places"])
 
-    found = by_doc.mapInArrow(rows, "key bigint, doc_id bigint, places array<int>")
-    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "places")).alias("keep"), F.max("doc_id").alias("last_id")).where("last_id > keep.doc_id")
-    pairs = found.join(first, "key").where("doc_id > keep.doc_id").select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.explode(F.arrays_zip("places", F.col("keep.places").alias("keep_places"))).alias("z"))
-    link = F.struct(F.col("z.places").alias("pos"), "keep_id", F.col("z.keep_places").alias("keep_pos"))
-    return pairs.groupBy("doc_id").agg(F.collect_set(link).alias("links"))
+def promising(doc_id: int, pos: np.ndarray, keep: np.ndarray, keep_pos: np.ndarray, p: Params) -> Iterator[tuple]:
+    """Chains of two seeds or more, each with the stretches of both documents that its alignment reads."""
+    order = np.argsort(keep, kind="stable")
+    bounds = np.flatnonzero(np.diff(keep[order])) + 1
+    for part in np.split(order, bounds):
+        if len(part) < 2:
+            continue
+        a, b = pos[part].tolist(), keep_pos[part].tolist()
+        for whole in chain(a, b, p.k, p.gap_cost):
+            for found in pieces(whole, a, b, p.margin):
+                if len(found) < 2:
+                    continue
+                lo, hi, keep_lo, keep_hi = a[found[0]], a[found[-1]] + p.k, b[found[0]], b[found[-1]] + p.k
+                places = [x for j in found for x in (a[j], b[j])]
+                yield doc_id, int(keep[part[0]]), max(0, lo - p.margin), hi + p.margin, max(0, keep_lo - p.margin), keep_hi + p.margin, struct.pack(f"<{len(places)}i", *places)
 
 
-def _chains(rows: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, links) -> one row per promising chain with the stretches of both documents that its alignment reads."""
-    reach = 2 * (p.window + p.k)  # the ends of a passage can lie window + k words outside its seeds
+def _lines(rows: DataFrame, each: Callable[[int, pa.StructArray], Iterator[tuple]]) -> DataFrame:
+    """(doc_id, links) -> the lines that each(doc_id, links) gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "keep_id", "origin", "stop", "keep_origin", "keep_stop", "matches"]
-        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary()]
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                out: list[list] = [[] for _ in names]
-                lists = batch.column("links")
+                lists, out = batch.column("links"), []
                 for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                    flat = lists[i].values
-                    pos, keep, keep_pos = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "keep_id", "keep_pos"))
-                    order = np.argsort(keep, kind="stable")
-                    bounds = np.flatnonzero(np.diff(keep[order])) + 1
-                    for part in np.split(order, bounds):
-                        if np.ptp(pos[part]) + reach < p.min_words:
-                            continue
-                        a, b = pos[part].tolist(), keep_pos[part].tolist()
-                        for found in chain(a, b, p.k, p.gap_cost):
-                            lo, hi, keep_lo, keep_hi = a[found[0]], a[found[-1]] + p.k, b[found[0]], b[found[-1]] + p.k
-                            if hi - lo + reach < p.min_words:
-                                continue
-                            places = [x for j in found for x in (a[j], b[j])]
-                            line = (doc_id, int(keep[part[0]]), max(0, lo - p.margin), hi + p.margin, max(0, keep_lo - p.margin), keep_hi + p.margin, struct.pack(f"<{len(places)}i", *places))
-                            for column, value in zip(out, line, strict=True):
-                                column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
-
-    return rows.mapInArrow(run, "doc_id bigint, keep_id bigint, origin int, stop int, keep_origin int, keep_stop int, matches binary")
+                    out.extend(each(doc_id, lists[i].values))
+                columns = list(zip(*out, strict=True)) if out else [()] * len(_LINE)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _LINE_KINDS, strict=True)], _LINE)
+
+    return rows.mapInArrow(run, _LINE_SCHEMA)
+
+
+def _chains(docs: DataFrame, p: Params) -> DataFrame:
+    """One row per promising chain, over links of single seeds and links of runs."""
+
+    def seeds_of(doc_id: int, links: pa.StructArray) -> Iterator[tuple]:
+        pos, seed, keep, keep_pos = (links.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "seed", "keep_id", "keep_pos"))
+        mine = keep < doc_id
+        yield from promising(doc_id, pos[mine], keep[mine], keep_pos[mine], p)
+        for key, places in runs(pos, seed, keep, keep_pos, p):  # lines without an origin
+            yield doc_id, key, None, None, None, None, struct.pack(f"<{len(places)}i", *places)
+
+    def runs_of(doc_id: int, links: pa.StructArray) -> Iterator[tuple]:
+        found = {
+            (x, link["keep_id"], y)
+            for link in links.to_pylist()
+            for x, y in zip(np.frombuffer(link["matches"], np.int32).tolist(), np.frombuffer(link["keep_matches"], np.int32).tolist(), strict=True)
+        }
+        pos, keep, keep_pos = np.array(sorted(found), np.int64).T
+        yield from promising(doc_id, pos, keep, keep_pos, p)
+
+    lines = cut(_lines(shared_seeds(docs, p), seeds_of))
+    found = lines.where("origin IS NULL").select(F.col("keep_id").alias("key"), "doc_id", "matches")
+    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "matches")).alias("keep"), F.max("doc_id").alias("last_id")).where("last_id > keep.doc_id")
+    link = F.struct("matches", F.col("keep.doc_id").alias("keep_id"), F.col("keep.matches").alias("keep_matches"))
+    by_doc = found.join(first, "key").where("doc_id > keep.doc_id").groupBy("doc_id").agg(F.collect_list(link).alias("links"))
+    return lines.where("origin IS NOT NULL").union(_lines(by_doc, runs_of))
 
 
 def _aligned(rows: DataFrame, p: Params) -> DataFrame:
@@ -285,7 +349,7 @@ def _aligned(rows: DataFrame, p: Params) -> DataFrame:
                     pairs = [tuple(x) for x in places.tolist()]
                     if pairs[-1][0] + p.k > len(doc) or pairs[-1][1] + p.k > len(other):
                         continue  # another text under the same doc_id
-                    s, e, os, oe, same = align(doc, other, pairs, p.k)
+                    s, e, os, oe, same = align(doc, other, pairs, p)
                     if e - s >= p.min_words and same >= p.similarity * max(e - s, oe - os):
                         out.append((doc_id, s + origin, e - s, keep_id, os + keep_origin, oe - os, same))
                 columns = list(zip(*out, strict=True)) if out else [()] * len(names)
@@ -306,9 +370,7 @@ def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
     documents' words go into the two joins; the result is the same.
     """
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    by_doc = cut(shared_seeds(docs, p))
-    later = by_doc.select("doc_id", F.expr("transform(filter(links, x -> x.keep_id < doc_id), x -> struct(x.pos AS pos, x.keep_id AS keep_id, x.keep_pos AS keep_pos))").alias("links")).where("size(links) > 0")
-    chains = cut(_chains(later.union(run_links(by_doc, p)), p))
+    chains = cut(_chains(docs, p))
     ids = cut(chains.select(F.explode(F.array("doc_id", "keep_id")).alias("doc_id")).distinct())
     wanted = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else docs
     codes = _code_rows(wanted)

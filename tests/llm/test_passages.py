@@ -1,5 +1,9 @@
+import random
+
+import numpy as np
+
 from matchup_graph.llm import substrings
-from test_operators import docs, prose
+from test_operators import WORDS, docs, prose
 
 
 def covered(rows, doc_id):
@@ -24,3 +28,43 @@ def test_passages_split_between_earlier_documents_are_found_whole(spark):
     got = substrings.op5(docs(spark, texts)).collect()
     assert {r.doc_id for r in got} == {4, 6} and {r.keep_id for r in got if r.doc_id == 4} == {2}
     assert covered(got, 4) >= set(range(63, 117)) and covered(got, 4) <= set(range(60, 120)) and covered(got, 6) == set(range(60, 140))
+
+
+def test_passages_cover_what_brute_force_finds(spark):
+    r = random.Random(3)
+    phrases = [prose(12, 700 + i).split() for i in range(6)]
+    texts = []
+    for i in range(14):
+        words = []
+        for _ in range(24):
+            words += r.choice(phrases) if r.random() < 0.7 else prose(8, 800 + r.randrange(400)).split()
+        if texts:
+            at = r.randrange(40)
+            words[30:30] = r.choice(texts)[at : at + 60]
+        texts.append(words)
+    got = substrings.op5(docs(spark, [" ".join(t) for t in texts])).collect()
+    want = set()
+    for i, t in enumerate(texts):
+        earlier = {tuple(o[j : j + 50]) for o in texts[:i] for j in range(len(o) - 49)}
+        want |= {(i, j + n) for j in range(len(t) - 49) if tuple(t[j : j + 50]) in earlier for n in range(50)}
+    have = {(i, w) for i in range(14) for w in covered(got, i)}
+    print(len(want), len(want - have))
+    assert len(want) > 600 and len(want - have) <= 0.02 * len(want)
+
+
+def test_passages_with_edits_are_found(spark):
+    r = random.Random(9)
+    for share, least in ((0.05, 0.97), (0.1, 0.95), (0.15, 0.85)):
+        texts, wanted = [], []
+        for i in range(60):
+            passage, a, b = prose(60, 2000 + i).split(), prose(60, 3000 + i).split(), prose(60, 4000 + i).split()
+            edited = [r.choice(WORDS) if r.random() < share else w for w in passage]
+            texts += [" ".join(a[:30] + passage + a[30:]), " ".join(b[:30] + edited + b[30:])]
+            # a brute-force aligner: substitutions alone keep the diagonal, so windows of equal place are all there is
+            same = np.array([x == y for x, y in zip(passage, edited)])
+            if any(same[s:e].mean() >= 0.8 for s in range(11) for e in range(s + 50, 61)):
+                wanted.append(2 * i + 1)
+        got = {x.doc_id for x in substrings.op5(docs(spark, texts)).collect()}
+        assert got <= set(range(1, 120, 2))
+        print(share, len(wanted), len(set(wanted) - got))
+        assert len(got & set(wanted)) >= least * len(wanted)
