@@ -20,6 +20,14 @@ BOILERPLATE = re.compile(
     rb"licensed under|all rights reserved|copyright (\(c\)|\xc2\xa9|\d{4})|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies"
     rb"|subscribe to our|sign up for our|click here|enable javascript|skip to (main )?content|back to top|spdx-license-identifier|without warranty of any kind"
 )
+#: Signs between the items of a menu.
+SEPARATOR = re.compile(rb"\s+(?:[/|>]|->|\xc2\xb7|\xc2\xbb|\xe2\x80\xa2|\xe2\x80\xba|\xe2\x86\x92)\s+")
+#: One sign over and over.
+RULER = re.compile(rb"([-=_~.+*#])\1{2,}")
+LINK_WORDS = frozenset(
+    b"home about contact login logout register sitemap products services blog news faq help search cart checkout account profile privacy terms"
+    b" careers support docs api next previous prev menu back share tweet subscribe download downloads forum gallery archive archives categories".split()
+)
 
 
 @dataclass(frozen=True)
@@ -31,6 +39,10 @@ class Rules:
     shout_share: float = 0.8
     mark_share: float = 0.5
     bar_share: float = 0.25
+    menu_items: int = 3
+    item_words: int = 3
+    menu_words: int = 12
+    link_share: float = 0.6
     stutter_words: int = 6
     stutter_share: float = 0.5
     repeat_words: int = 5
@@ -56,9 +68,44 @@ def base_stats(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
+def is_menu(line: bytes, words: list[bytes], rules: Rules) -> bool:
+    """Short items between separators, or a run of link words, without a sentence end."""
+    if words[-1][-1:] in b".!?:;,":
+        return False
+    items = SEPARATOR.split(line.strip())
+    if len(items) >= rules.menu_items:
+        sizes = [len(item.split()) for item in items]
+        # figures between signs are tables or sums
+        return max(sizes) <= rules.item_words and not any(c in b"0123456789=" for item in items for c in item)
+    if rules.menu_items <= len(words) <= rules.menu_words:
+        links = sum(w.lower() in LINK_WORDS for w in words)
+        return links >= rules.link_share * len(words)
+    return False
+
+
+def menu_lines(lines: list[list[bytes]], rules: Rules) -> set[int]:
+    """Numbers of short lines that are items of a menu: neighbours (blank lines apart) most of which are link words."""
+    found: set[int] = set()
+    run: list[int] = []
+    for i, words in [*enumerate(lines), (len(lines), [b"."])]:
+        if not words:
+            continue
+        if len(words) <= rules.item_words and words[-1][-1:] not in b".!?:;,":
+            run.append(i)
+            continue
+        if len(run) >= rules.menu_items and sum(any(w.lower() in LINK_WORDS for w in lines[j]) for j in run) >= rules.link_share * len(run):
+            found.update(run)
+        run = []
+    return found
+
+
 def line_fault(line: bytes, words: list[bytes], rules: Rules) -> str | None:
     """The first rule that a line breaks, or None."""
     n = len(words)
+    if n <= rules.menu_words * rules.menu_items and is_menu(line, words, rules):
+        return "navigation"
+    if RULER.fullmatch(b"".join(words)):
+        return "punctuation"
     solid = sum(map(len, words))
     if solid - len(b"".join(words).translate(None, SYMBOLS)) > rules.symbol_share * solid:
         bars = sum(w == b"|" for w in words)
@@ -78,12 +125,14 @@ def line_fault(line: bytes, words: list[bytes], rules: Rules) -> str | None:
 def clean_lines(text: bytes, rules: Rules = Rules()) -> tuple[bytes, int, int]:
     """(text without failing lines, lines removed, words removed); blank lines stay."""
     kept, removed, lost, seen = [], 0, 0, set()
-    for line in text.split(b"\n"):
-        words = line.split()
+    lines = text.split(b"\n")
+    split = [line.split() for line in lines]
+    menus = menu_lines(split, rules)
+    for i, (line, words) in enumerate(zip(lines, split, strict=True)):
         if words:
             again = len(words) >= rules.repeat_words and line in seen
             seen.add(line)
-            if again or line_fault(line, words, rules):
+            if again or i in menus or line_fault(line, words, rules):
                 removed, lost = removed + 1, lost + len(words)
                 continue
         kept.append(line)
