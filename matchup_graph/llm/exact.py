@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, conf
+from .common import SPACE, conf, cut
 
 
 def digest(text: Column) -> Column:
@@ -42,6 +42,15 @@ class DigestIndex:
             first = first.join(self.read().hint("merge"), "digest", "left_anti")
         first.repartition(self.buckets, "digest").write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
+    def append_batches(self, digests: DataFrame) -> None:
+        """Append all of it in two batches, the smaller half of the doc_ids first, so that the smallest doc_id of a digest stays."""
+        low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if low is None or low == high:
+            return self.append(digests)
+        middle = (low + high) // 2
+        self.append(digests.where(F.col("doc_id") <= middle))
+        self.append(digests.where((F.col("doc_id") > middle) | F.col("doc_id").isNull()))
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
@@ -50,14 +59,14 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """All columns of docs with text_sha256, keep_id, group_size and kept; the index gains docs' new digests.
 
     NULL text equals the empty one.  keep_id is the smallest non-NULL doc_id of
-    the first batch that had the digest; group_size counts this batch's rows.
+    the first call that had the digest; group_size counts this call's rows.
     Of repeated rows with the kept doc_id one stays.  A group without any doc_id
     keeps one row.  Columns of docs that clash with an added name are dropped.
     """
     added = {"text_sha256", "keep_id", "group_size", "kept"}
     plain = docs.select(*[c for c in docs.columns if c.lower() not in added], digest(F.col("text")).alias("digest"))
     digests = plain.select("digest", "doc_id")
-    index.append(digests)
+    index.append_batches(digests)
     sizes = digests.groupBy("digest").agg(F.count("*").alias("group_size"))
     same_id = Window.partitionBy("digest", "doc_id").orderBy("doc_id")
     return (
@@ -77,13 +86,17 @@ def apply_exact(docs: DataFrame) -> DataFrame:
     copies spreads over the tasks; the index side has one row per digest.
     """
     index = DigestIndex(docs.sparkSession)
-    index.append(docs.select("doc_id", digest(F.col("text")).alias("digest")))
+    index.append_batches(docs.select("doc_id", digest(F.col("text")).alias("digest")))
     tagged = docs.withColumns({"digest of text": digest(F.col("text")), "id of row": F.col("doc_id")})
-    keep = index.read()
+    keep = cut(index.read())
+    index.drop()
     same = (F.col("digest of text") == keep["digest"]) & F.col("id of row").eqNullSafe(keep["keep_id"])
     nth = F.row_number().over(Window.partitionBy("digest of text", "id of row").orderBy("id of row"))
     return tagged.join(keep, same, "left_semi").withColumn("nth of row", nth).where("`nth of row` = 1").select(*docs.columns)
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    return dedup(docs.select("doc_id", "text"), DigestIndex(docs.sparkSession)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    index = DigestIndex(docs.sparkSession)
+    rows = cut(dedup(docs.select("doc_id", "text"), index).select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
+    index.drop()
+    return rows
