@@ -11,10 +11,16 @@ THRESHOLD_SECONDS = 10
 
 
 def parse_games(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One row per non-empty trimmed line; `game` is NULL where the line is no JSON object."""
+    """One row per non-empty trimmed line; `game` is NULL where the line is no JSON object.
+
+    The parsed value passes through a generator of one row, which neither filters
+    nor projections are pushed through, so each line is parsed once however many
+    of its fields later steps test.
+    """
     line = F.col("line")
     game = F.when(line.startswith("{") & line.endswith("}"), F.from_json(line, GAME_SCHEMA))
-    return lines.select(F.trim(F.col(column)).alias("line")).where(F.length("line") > 0).select("line", game.alias("game"))
+    trimmed = lines.select(F.trim(F.col(column)).alias("line")).where(F.length("line") > 0)
+    return trimmed.select("line", F.inline(F.array(F.struct(game.alias("game")))))
 
 
 def flatten(parsed: DataFrame) -> DataFrame:
@@ -107,6 +113,17 @@ def reject_reasons(lines: DataFrame, column: str = "value") -> DataFrame:
     return flat.select(reason.alias("reason")).where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def copies_report(gaps: DataFrame, threshold_seconds: int = THRESHOLD_SECONDS) -> DataFrame:
+    """One row: exact and temporal copies, rows and bytes out, of games with their gaps."""
+    kept = F.col("gap").isNull() | (F.col("gap") > threshold_seconds)
+    return gaps.agg(
+        F.count(F.when(F.col("same_line"), 1)).alias("exact_copies"),
+        F.count(F.when(~kept & ~F.col("same_line"), 1)).alias("temporal_copies"),
+        F.count(F.when(kept, 1)).alias("output_rows"),
+        F.coalesce(F.sum(F.when(kept, F.length("line"))), F.lit(0)).cast("bigint").alias("bytes_out"),
+    )
+
+
 def clean_report(lines: DataFrame, threshold_seconds: int = THRESHOLD_SECONDS, column: str = "value") -> DataFrame:
     """One row: rows in, valid, exact and temporal copies, bad instants, rows and bytes out.
 
@@ -119,14 +136,7 @@ def clean_report(lines: DataFrame, threshold_seconds: int = THRESHOLD_SECONDS, c
         F.count(F.when(F.col("reason").isNull() & instant(F.col("date")).isNull(), 1)).alias("bad_timestamps"),
         F.coalesce(F.sum(F.length("line")), F.lit(0)).cast("bigint").alias("bytes_in"),
     )
-    gaps = with_gaps(with_keys(flat).where(F.col("ts").isNotNull()))
-    kept = F.col("gap").isNull() | (F.col("gap") > threshold_seconds)
-    tails = gaps.agg(
-        F.count(F.when(F.col("same_line"), 1)).alias("exact_copies"),
-        F.count(F.when(~kept & ~F.col("same_line"), 1)).alias("temporal_copies"),
-        F.count(F.when(kept, 1)).alias("output_rows"),
-        F.coalesce(F.sum(F.when(kept, F.length("line"))), F.lit(0)).cast("bigint").alias("bytes_out"),
-    )
+    tails = copies_report(with_gaps(with_keys(flat).where(F.col("ts").isNotNull())), threshold_seconds)
     return heads.crossJoin(F.broadcast(tails)).withColumn(
         "reduction_pct", F.when(F.col("bytes_in") > 0, F.round(100 - 100 * F.col("bytes_out") / F.col("bytes_in"), 4))
     )

@@ -133,18 +133,22 @@ def volume_estimate(decoded: DataFrame) -> DataFrame:
 
 
 def generation_report(clean: DataFrame, k: int) -> DataFrame:
-    """One row: games processed and skipped, records emitted, distinct nodes and edges."""
-    decoded = decode_games(clean)
+    """One row: games processed and skipped, records emitted, distinct nodes and edges.
+
+    Games are counted by pair of decks first; all figures come from that one
+    shuffle, which Spark reuses, so lines are cleaned once.  Undecodable games
+    are one pair of NULL decks, whose archetypes no count takes.
+    """
     node_n, edge_n = rows_per_game(k)
-    parts = [
-        clean.agg(F.count("*").alias("clean_games")),
-        decoded.agg(F.count("*").alias("games")),
-        packed_nodes(decoded, k).agg(F.count("*").alias("nodes")),
-        packed_edges(decoded, k).agg(F.count("*").alias("edges")),
-    ]
-    row = parts[0]
-    for part in parts[1:]:
-        row = row.crossJoin(F.broadcast(part))
-    return row.select(
-        "games", (F.col("clean_games") - F.col("games")).alias("skipped"), (F.col("games") * node_n).alias("node_rows"), (F.col("games") * edge_n).alias("edge_rows"), "nodes", "edges"
-    )
+    good = F.coalesce(is_hex_deck(F.col("deck0")) & is_hex_deck(F.col("deck1")) & F.col("winner").isin("-1", "0", "1"), F.lit(False))
+    decks = [F.when(good, pack_deck(card_ids(F.col(f"deck{i}")))).alias(f"d{i}") for i in (0, 1)]
+    pairs = clean.select(*decks).groupBy("d0", "d1").agg(F.count("*").alias("games"))
+    both = F.array(*[F.struct(F.col(a).alias("own"), F.col(b).alias("other"), "games") for a, b in (("d0", "d1"), ("d1", "d0"))])
+    rows = pairs.select(F.inline(both)).select(F.explode(archetypes(F.col("own"), k)).alias("source"), "other", "games")
+    found = rows.repartition("source").groupBy("source", "other").agg(F.sum("games").alias("games"))
+    edge_rows = found.select("source", F.explode(archetypes(F.col("other"), k)).alias("target"), "games").groupBy("source", "target").agg(F.sum("games").alias("games"))
+    by_source = edge_rows.groupBy("source").agg(F.count("target").alias("targets"))
+    known = F.col("d0").isNotNull()
+    games = pairs.agg(*[F.coalesce(F.sum(F.when(x, F.col("games"))), F.lit(0)).cast("bigint").alias(n) for n, x in (("games", known), ("skipped", ~known))])
+    sizes = by_source.agg(F.count("source").alias("nodes"), F.coalesce(F.sum("targets"), F.lit(0)).cast("bigint").alias("edges"))
+    return games.crossJoin(F.broadcast(sizes)).select("games", "skipped", (F.col("games") * node_n).alias("node_rows"), (F.col("games") * edge_n).alias("edge_rows"), "nodes", "edges")

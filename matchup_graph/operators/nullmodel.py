@@ -41,17 +41,33 @@ def prediction_ratio(predicted: DataFrame) -> DataFrame:
 
 
 def _fit(ratio: DataFrame) -> DataFrame:
+    """Sums of the fit in one row; what a constant column or too few rows leave undefined is NULL."""
     y, x = "predicted", "observed"
-    return ratio.agg(
+    zero, none = F.lit(0.0), F.lit(0)
+    sums = ratio.agg(
         F.regr_count(y, x).alias("n"),
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_intercept(y, x).alias("intercept"),
-        F.corr(x, y).alias("r"),
-        F.regr_r2(y, x).alias("r2"),
-        F.sqrt((1 - F.regr_r2(y, x)) * F.regr_syy(y, x) / F.regr_sxx(y, x) / F.nullif(F.regr_count(y, x) - 2, F.lit(0))).alias("stderr"),
+        F.regr_sxx(y, x).alias("sxx"),
+        F.regr_syy(y, x).alias("syy"),
+        F.regr_sxy(y, x).alias("sxy"),
+        F.avg(F.when(F.col(y).isNotNull(), F.col(x))).alias("x_mean"),
+        F.avg(F.when(F.col(x).isNotNull(), F.col(y))).alias("y_mean"),
         F.min(x).alias("x_min"),
         F.max(x).alias("x_max"),
     )
+    slope = F.col("sxy") / F.nullif("sxx", zero)
+    r = F.col("sxy") / F.nullif(F.sqrt("sxx") * F.sqrt("syy"), zero)
+    # a constant y is fitted without any rest
+    rest = F.greatest(F.col("syy") - slope * F.col("sxy"), zero)
+    return sums.select(
+        "n",
+        slope.alias("slope"),
+        (F.col("y_mean") - slope * F.col("x_mean")).alias("intercept"),
+        r.alias("r"),
+        F.when((F.col("sxx") > 0) & (F.col("syy") == 0), 1.0).otherwise(r * r).alias("r2"),
+        F.sqrt(rest / F.nullif("sxx", zero) / F.nullif(F.col("n") - 2, none)).alias("stderr"),
+        "x_min",
+        "x_max",
+    )
 
 
 def linear_fit(ratio: DataFrame, digits: int | None = 6) -> DataFrame:
@@ -64,10 +80,17 @@ def linear_fit_p(ratio: DataFrame) -> DataFrame:
     """The fit with the two-sided p-value of its slope, from the one-row result on the driver."""
     fit = linear_fit(ratio, None)
     row = fit.first()
-    p = slope_p_value(row["r"], row["n"])
+    p = slope_p_value(row["r"], row["n"])  # NULL where r is, or below three rows
     return ratio.sparkSession.createDataFrame([(*row, p)], fit.schema.simpleString()[7:-1].replace(":", " ") + ", p_value double")
 
 
+def slope_t(ratio: DataFrame, digits: int = 4) -> DataFrame:
+    """One row: rows, degrees of freedom and t of a zero slope; NULL where undefined."""
+    df, r = F.col("n") - 2, F.col("r")
+    t = r * F.sqrt(df / F.nullif(1 - r * r, F.lit(0.0)))
+    return _fit(ratio).select("n", df.alias("df"), F.round(F.when(df > 0, t), digits).alias("t"))
+
+
 def fit_line(ratio: DataFrame, digits: int = 6) -> DataFrame:
     """End points of the fitted line."""
     ends = F.array(F.col("x_min"), F.col("x_max"))

@@ -1,14 +1,14 @@
 """Command line: clean, nodesedges, stats, analysis.
 
-python -m matchup_graph.plans.jobs clean INPUT OUTPUT [PARTITIONS]
-python -m matchup_graph.plans.jobs nodesedges INPUT OUTPUT K [N_EDGES | N_NODES N_EDGES]
+python -m matchup_graph.plans.jobs clean INPUT OUTPUT [PARTITIONS] [--no-report]
+python -m matchup_graph.plans.jobs nodesedges INPUT OUTPUT K [N_EDGES | N_NODES N_EDGES] [--salt N] [--max-rows N] [--sequence]
 python -m matchup_graph.plans.jobs stats BASE OUTPUT
 python -m matchup_graph.plans.jobs analysis PREDICTIONS [OUTPUT] [--sample N]
 """
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.cards import check_k
 from ..operators import clean as C
@@ -17,15 +17,44 @@ from ..operators import nullmodel as N
 from ..sources import tables as T
 
 
-def clean_job(spark: SparkSession, source: str, target: str, partitions: int | None = None) -> None:
-    T.write_clean(C.clean_games(T.read_game_lines(spark, source)), target, partitions)
+def show(title: str, rows: DataFrame) -> None:
+    """Print a one-row report or a short table, one line a row."""
+    for row in rows.collect():
+        print(f"{title}: " + ", ".join(f"{k}={v}" for k, v in row.asDict().items()))
 
 
-def nodesedges_job(spark: SparkSession, source: str, target: str, k: int, n_nodes: int | None = None, n_edges: int | None = None, salt: int = 1) -> None:
+def clean_job(spark: SparkSession, source: str, target: str, partitions: int | None = None, report: bool = True) -> None:
+    """Write clean games; report: count what was dropped and why, which reads the lines again."""
+    lines = T.read_game_lines(spark, source)
+    T.write_clean(C.clean_games(lines), target, partitions)
+    if report:
+        show("clean", C.clean_report(lines))
+        show("rejected", C.reject_reasons(lines))
+
+
+def nodesedges_job(
+    spark: SparkSession, source: str, target: str, k: int, n_nodes: int | None = None, n_edges: int | None = None, salt: int = 1, max_rows: int | None = None, sequence: bool = False
+) -> None:
+    """Write nodes and edges of clean games.
+
+    The volume is counted first: a warning for heavy k, an error above max_rows.
+    Afterwards the tables' sizes are printed with the partitions that fit them.
+    sequence: the input is old sequence files of clean lines.
+    """
     check_k(k)
-    decoded = G.decode_games(T.read_clean(spark, source))
+    clean = C.valid_games(T.read_sequence_lines(spark, source)) if sequence else T.read_clean(spark, source)
+    decoded = G.decode_games(clean)
+    total, games = clean.count(), decoded.count()
+    node_rows, edge_rows = (games * n for n in G.rows_per_game(k))
+    print(f"games: {games}, skipped: {total - games}, node_rows: {node_rows}, edge_rows: {edge_rows}")
+    if max_rows is not None and edge_rows > max_rows:
+        raise ValueError(f"k={k} would give {edge_rows} match-up records; the limit is {max_rows}")
+    if k <= G.WARN_K:
+        print(f"warning: k={k} gives {G.rows_per_game(k)[1]} match-up records a game")
     T.write_lines(G.nodes(decoded, k), f"{target}/nodes", ["archetype"], n_nodes)
     T.write_lines(G.edges(decoded, k, salt=salt, partitions=n_edges), f"{target}/edges", ["source", "target"])
+    for table in ("nodes", "edges"):
+        show("written", T.line_sizing(T.read_game_lines(spark, f"{target}/{table}"), table))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -51,10 +80,10 @@ def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="matchup_graph")
     jobs = parser.add_subparsers(dest="job", required=True)
     p = jobs.add_parser("clean")
-    p.add_argument("input"), p.add_argument("output"), p.add_argument("partitions", type=int, nargs="?")
+    p.add_argument("input"), p.add_argument("output"), p.add_argument("partitions", type=int, nargs="?"), p.add_argument("--no-report", action="store_true")
     p = jobs.add_parser("nodesedges")
     p.add_argument("input"), p.add_argument("output"), p.add_argument("k", type=int), p.add_argument("partitions", type=int, nargs="*")
-    p.add_argument("--salt", type=int, default=1)
+    p.add_argument("--salt", type=int, default=1), p.add_argument("--max-rows", type=int), p.add_argument("--sequence", action="store_true")
     p = jobs.add_parser("stats")
     p.add_argument("base"), p.add_argument("output"), p.add_argument("--single", action="store_true")
     p = jobs.add_parser("analysis")
@@ -64,10 +93,10 @@ def main(args: list[str] | None = None) -> None:
         parser.error("at most two partition counts")
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.job == "clean":
-        clean_job(spark, a.input, a.output, a.partitions)
+        clean_job(spark, a.input, a.output, a.partitions, not a.no_report)
     elif a.job == "nodesedges":
         n_nodes, n_edges = ([None, None, *a.partitions])[-2:] if len(a.partitions) != 1 else (None, a.partitions[0])
-        nodesedges_job(spark, a.input, a.output, a.k, n_nodes, n_edges, a.salt)
+        nodesedges_job(spark, a.input, a.output, a.k, n_nodes, n_edges, a.salt, a.max_rows, a.sequence)
     elif a.job == "stats":
         stats_job(spark, a.base, a.output, a.single)
     else:

@@ -11,7 +11,8 @@ from .synth import game_lines, game_lines_sql
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return game_lines(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """Game lines from the events, which are dealt out first: a small table is one row group, which one task reads."""
+    return game_lines(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id").repartition(spark.sparkContext.defaultParallelism))
 
 
 def _clean(spark, d):
@@ -90,6 +91,7 @@ def queries() -> dict:
         "linear_fit": lambda s, d: N.linear_fit(_ratio(7)(s, d)),
         "linear_fit_k2": lambda s, d: N.linear_fit(_ratio(2)(s, d)),
         "linear_fit_p": lambda s, d: N.linear_fit_p(_ratio(7)(s, d)),
+        "slope_t": lambda s, d: N.slope_t(_ratio(7)(s, d)),
         "fit_line": lambda s, d: N.fit_line(_ratio(7)(s, d)),
         "sample_points": lambda s, d: N.sample_points(_ratio(7)(s, d), 5000),
         "read_nodes": lambda s, d: T.parse_node_lines(_with_bad(G.nodes(_decoded(s, d), 7), BAD_NODE_LINES)),
@@ -97,7 +99,7 @@ def queries() -> dict:
         "output_sizing": lambda s, d: T.sizing(G.nodes(x := _decoded(s, d), 7), "nodes").union(T.sizing(G.edges(x, 7), "edges")),
     }
     q |= {f"nodes_k{k}": (lambda s, d, k=k: G.nodes(_decoded(s, d), k)) for k in range(1, 9)}
-    q |= {f"edges_k{k}": (lambda s, d, k=k: G.edges(_decoded(s, d), k)) for k in (1, 2, 7, 8)}
+    q |= {f"edges_k{k}": (lambda s, d, k=k: G.edges(_decoded(s, d), k)) for k in range(1, 9)}
     return q
 
 
@@ -189,6 +191,7 @@ FROM (SELECT count(*) AS games FROM decoded), (SELECT count(*) AS n FROM clean),
         "prediction_ratio": _predicted(7) + " SELECT * FROM ratio",
         "linear_fit": _predicted(7) + _FIT,
         "linear_fit_k2": _predicted(2) + _FIT,
+        "slope_t": _predicted(7) + """ SELECT n, n - 2 AS df, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM (SELECT regr_count(predicted, observed)::bigint AS n, corr(observed, predicted) AS r FROM ratio)""",
         "fit_line": _predicted(7) + """ SELECT point, x, round(intercept + slope * x, 6) AS y FROM (SELECT regr_slope(predicted, observed) AS slope, regr_intercept(predicted, observed) AS intercept, min(observed) AS lo, max(observed) AS hi FROM ratio),
 LATERAL (SELECT cast(p AS int) AS point, CASE p WHEN 0 THEN lo ELSE hi END AS x FROM range(2) r(p))""",
         "sample_points": _predicted(7) + " SELECT * FROM ratio ORDER BY md5(concat(source, target, '42')), source, target LIMIT 5000",
@@ -200,5 +203,5 @@ SELECT {field(1)} AS source, {field(2)} AS target, {number(3)} AS count, coalesc
 SELECT t AS table_name, count(*) AS rows, cast(sum(length(line)) AS bigint) AS bytes, cast(greatest(1, ceil(sum(length(line)) / 134217728.0)) AS bigint) AS partitions FROM text GROUP BY t""",
     }
     sql |= {f"nodes_k{k}": _nodes(k) + " SELECT * FROM nodes" for k in range(1, 9)}
-    sql |= {f"edges_k{k}": _edges(k) + " SELECT * FROM edges" for k in (1, 2, 7, 8)}
+    sql |= {f"edges_k{k}": _edges(k) + " SELECT * FROM edges" for k in range(1, 9)}
     return {name: _CTE + ("\n" if rest.startswith(("SELECT", " SELECT")) else "") + rest for name, rest in sql.items()}

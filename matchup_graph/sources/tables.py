@@ -13,8 +13,12 @@ def read_game_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sequence_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of old (null, text) sequence files."""
-    return spark.sparkContext.sequenceFile(path).values().map(lambda line: (line,)).toDF("value string")
+    """(value) lines of old (null, text) sequence files.
+
+    Spark SQL has no reader for them; the JVM's own does the conversion and
+    writes nothing, and the pairs arrive in batches.
+    """
+    return spark.createDataFrame(spark.sparkContext.sequenceFile(path, "org.apache.hadoop.io.NullWritable", "org.apache.hadoop.io.Text"), "key string, value string").select("value")
 
 
 def write_clean(clean: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -80,7 +84,12 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREDICTION_SCHEMA).option("sep", ";").csv(path)
 
 
-def sizing(rows: DataFrame, table: str) -> DataFrame:
-    """One row: lines, their bytes as text, and the partitions that give files of 128 MiB."""
-    size = to_lines(rows).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("value")), F.lit(0)).cast("bigint").alias("bytes"))
+def line_sizing(lines: DataFrame, table: str) -> DataFrame:
+    """One row: text lines, their bytes, and the partitions that give files of 128 MiB."""
+    size = lines.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("value")), F.lit(0)).cast("bigint").alias("bytes"))
     return size.select(F.lit(table).alias("table_name"), "rows", "bytes", F.greatest(F.lit(1), F.ceil(F.col("bytes") / TARGET_FILE_BYTES)).cast("bigint").alias("partitions"))
+
+
+def sizing(rows: DataFrame, table: str) -> DataFrame:
+    """The same for a table's rows as they would be written."""
+    return line_sizing(to_lines(rows), table)

@@ -134,6 +134,22 @@ def test_guards(spark):
         G.edges(d, 4, salt=0)
 
 
+def test_lines_are_parsed_once(spark):
+    for games in (C.clean_games, C.clean_report, C.reject_reasons):
+        plan = games(frame(spark, [game()]))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == (2 if games is C.clean_report else 1)  # the report reads the lines twice
+
+
+def test_generation_report(spark):
+    games = [*GAMES, ("zz" + A[2:], B, 0), (A, B, 5)]
+    clean = spark.createDataFrame([(a, b, str(w)) for a, b, w in games], "deck0 string, deck1 string, winner string")
+    for k in (2, 7):
+        nodes, edges = brute(GAMES, k)
+        node_n, edge_n = G.rows_per_game(k)
+        assert tuple(G.generation_report(clean, k).first()) == (5, 2, 5 * node_n, 5 * edge_n, len(nodes), len(edges))
+    assert tuple(G.generation_report(clean.limit(0), 7).first()) == (0,) * 6
+
+
 def test_plans(spark):
     def plan(frame):
         return frame._jdf.queryExecution().executedPlan().toString()
@@ -170,13 +186,30 @@ def test_fit_sample_and_small_predictions(spark):
     assert N.sample_points(r, 2).collect() == N.sample_points(r, 2).collect()
 
 
+@pytest.mark.parametrize(
+    ("rows", "fit"),
+    [
+        ([], (0, None, None, None, None, None)),
+        ([(3, 2.0)], (1, None, None, None, None, None)),
+        ([(3, 2.0), (3, 5.0), (3, 7.0)], (3, None, None, None, None, None)),
+        ([(1, 2.0), (2, 2.0), (4, 2.0)], (3, 0.0, 2.0, None, 1.0, 0.0)),
+        ([(1, 2.0), (3, 6.0)], (2, 2.0, 0.0, 1.0, 1.0, None)),
+    ],
+)
+def test_degenerate_fits(spark, rows, fit):
+    r = ratio(spark, rows)
+    assert tuple(N.linear_fit(r).first()) == pytest.approx(fit)
+    assert N.linear_fit_p(r).first().p_value is None
+    assert N.fit_line(r).count() == 2 and N.slope_t(r).first().n == fit[0]
+
+
 def test_p_value():
     assert slope_p_value(0.5, 4) == pytest.approx(0.5)  # two degrees of freedom: 1 - t / sqrt(2 + t^2)
     assert slope_p_value(0.0, 10) == pytest.approx(1.0)
     assert slope_p_value(None, 10) is None and slope_p_value(0.5, 2) is None
 
 
-def test_jobs_end_to_end(spark, tmp_path):
+def test_jobs_end_to_end(spark, tmp_path, capsys):
     raw, base = str(tmp_path / "raw"), str(tmp_path / "out")
     frame(spark, [*at(0, 30, 45), game(u="#C", winner=1), "bad"]).write.text(raw)
     jobs.clean_job(spark, raw, f"{base}/clean", 2)
@@ -190,6 +223,18 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert p.count() == 128 and p.where("prediction <= 0 OR prediction IS NULL").count() == 0
     jobs.analysis_job(spark, f"{base}/stats", f"{base}/analysis", 10)
     assert spark.read.parquet(f"{base}/analysis/points").count() == 10
+    said = capsys.readouterr().out
+    assert "rejected: reason=not_json, n=1" in said and "output_rows=4" in said and "games: 4, skipped: 0" in said and "table_name=edges, rows=128" in said
+    with pytest.raises(ValueError):
+        jobs.nodesedges_job(spark, f"{base}/clean", base, 2, max_rows=100)
+
+
+def test_old_sequence_files(spark, tmp_path):
+    path, lines = str(tmp_path / "old"), [*at(0, 30), "bad"]
+    spark.sparkContext.parallelize([(None, x) for x in lines], 2).saveAsSequenceFile(path)
+    assert sorted(r.value for r in T.read_sequence_lines(spark, path).collect()) == sorted(lines)
+    jobs.nodesedges_job(spark, path, str(tmp_path / "out"), 8, sequence=True)
+    assert T.read_nodes(spark, str(tmp_path / "out/nodes")).agg(F.sum("count")).first()[0] == 4
 
 
 def test_malformed_table_lines(spark):
