@@ -1,202 +1,190 @@
-"""Byte-level BPE as a streaming transducer.
+"""Byte-level BPE: encoding by the compiled transducer, decoding by a byte-to-text machine.
 
-A token sequence is the BPE encoding of its bytes exactly if each neighbouring
-pair is the encoding of its own bytes.  So every prefix of a word has one last
-token, found from the last tokens of shorter prefixes, and a word is encoded
-from left to right.  How far to the right a boundary can still change is bounded
-by the merge list: see `sufficient_lookahead`.
+Batches of texts run through the transducer together; a text longer than BLOCK
+is streamed: its blocks are split and run one after the other, a pretoken that
+is longer than a block is fed to the transducer in parts, and what is emitted
+goes on at once, so memory does not grow with the text or with any pretoken.
 """
 
-import codecs
 import hashlib
-import json
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_texts
-from .tokens import byte_alphabet
+from .common import BLOCK, claim, text_batches, trim
+from .transducer import SEPARATOR, Key, Merges, Transducer, byte_pretokens, is_plain
 
 BYTE_FILE = "byte_bpe_50k.json"
-BLOCK = 1 << 16
-#: Prefixes of words are shared at every STEP bytes, SHARED times at most.
-STEP, SHARED = 3, 6
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
-#: The same split for texts of plain characters only: ASCII and those of Latin-1 whose class is a letter or a sign.
-_PLAIN = re.compile(r" ?[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\sa-zA-Z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+|\s+(?!\S)|\s+")
-_ODD = re.compile(r"[^\x20-\x7e\n\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]")
 _LAST_SYNC = regex.compile(r"(?r)\S(?=\s)")
+#: The classes that a pretoken is a run of; white space is the first.
+_RUNS = [regex.compile(p) for p in (r"\s*", r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*")]
 
 
-def split(text: str) -> list[str]:
-    """All pretokens of a text."""
-    return (_SPLIT if _ODD.search(text) else _PLAIN).findall(text)
+class Utf8Machine:
+    """Bytes -> text, one part at a time; its state is the start of a character that isn't complete."""
 
+    #: Bytes of a character by its first byte's upper half.
+    SIZE = [1] * 12 + [2, 2, 3, 4]
 
-def pretokens(text: str, size: int = BLOCK) -> Iterator[list[str]]:
-    """Lists of a text's pretokens, block by block.
+    def __init__(self):
+        self.held = b""
 
-    A block ends where a word is followed by white space, which no pretoken
-    crosses.  Where there is no such place, all but the block's last two matches
-    are final, as the text goes on behind them; only a single match that fills a
-    block makes it grow.
-    """
-    at, end = 0, size
-    while end < len(text):
-        sync = _LAST_SYNC.search(text, at, end)
-        if sync:
-            yield split(text[at : sync.end()])
-            at = sync.end()
-        elif len(found := split(text[at:end])) > 2:
-            yield found[:-2]
-            at += sum(map(len, found[:-2]))
-        end = max(at, end) + size
-    yield split(text[at:])
+    def feed(self, data: bytes, final: bool = False) -> str:
+        data = self.held + data
+        cut = len(data)
+        if not final:
+            for back in range(1, min(3, len(data)) + 1):
+                first = data[-back]
+                if first & 0xC0 != 0x80:
+                    if self.SIZE[first >> 4] > back:
+                        cut -= back
+                    break
+        self.held = data[cut:]
+        return data[:cut].decode("utf-8", "replace")
 
 
-class ByteBPE:
-    """Merges of a byte-level vocabulary file, on bytes."""
-
-    def __init__(self, path: str, limit: int = 120_000):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        byte = {ch: b for b, ch in enumerate(byte_alphabet())}
-        raw = lambda token: bytes(byte[ch] for ch in token)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.tokens = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        pairs = [(self.ids[raw(a)], self.ids[raw(b)]) for a, b in spec["model"]["merges"]]
-        self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
-        self.merged = [self.ids[self.tokens[a] + self.tokens[b]] for a, b in pairs]
-        self.longest = max(map(len, self.ids))
-        ends: dict[bytes, set[int]] = {}
-        for token in self.ids:
-            if len(token) > 2:
-                ends.setdefault(token[-3:], set()).add(len(token))
-        #: Lengths of longer tokens by their last three bytes, longest first.
-        self.lengths = {end: sorted(sizes, reverse=True) for end, sizes in ends.items()}
-        self.lookahead = sufficient_lookahead(pairs, self.merged, {i: len(t) for i, t in self.tokens.items()})
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.pair_ok = Memo(self._pair_ok, limit)
-        self.prefixes = Memo(self._prefix, 50_000)
-        self.alone = Memo(lambda i: self.merge(self.tokens[i]) == [i], 100_000)
-        self.words = Memo(lambda word: self.encode_word(word.encode()), limit)
-
-    def merge(self, data: bytes) -> list[int]:
-        """Plain BPE: apply the lowest-ranked merge, leftmost first, until none applies."""
-        ids = [self.ids[data[i : i + 1]] for i in range(len(data))]
-        far = len(self.ranks)
-        while len(ids) > 1:
-            order = [self.ranks.get(pair, far) for pair in zip(ids, ids[1:], strict=False)]
-            best = min(order)
-            if best == far:
-                break
-            at = order.index(best)
-            ids[at : at + 2] = [self.merged[best]]
-        return ids
-
-    def _pair_ok(self, pair: tuple[int, int]) -> bool:
-        return self.merge(self.tokens[pair[0]] + self.tokens[pair[1]]) == [*pair]
-
-    def _prefix(self, data: bytes) -> tuple[int, ...]:
-        """Last tokens of all prefixes of a word's first STEP, 2 STEP, ... bytes; words share them."""
-        last = list(self.prefixes[data[:-STEP]]) if len(data) > STEP else [-1]
-        for end in range(len(last), len(data) + 1):
-            last.append(self.last_token(data, end, end, last))
-        return tuple(last)
-
-    def encode_word(self, data: bytes, window: int = 4096) -> tuple[int, ...]:
-        """Ids of one pretoken; long ones keep a window of last tokens and emit what is stable."""
-        out: list[int] = []
-        n = len(data)
-        # last tokens of the prefixes from the last emitted boundary on
-        last = list(self.prefixes[data[: min(n // STEP, SHARED) * STEP]]) if n >= STEP else [-1]
-        start = 0
-        for end in range(len(last), n + 1):
-            last.append(self.last_token(data, end - start, end, last))
-            if end - start >= window + self.lookahead and end < n:
-                stable, at = [], end - start
-                while at:
-                    if at <= end - start - self.lookahead:
-                        stable.append(last[at])
-                    at -= len(self.tokens[last[at]])
-                out += stable[::-1]
-                gone = sum(len(self.tokens[i]) for i in stable)
-                start += gone
-                del last[:gone]
-        tail, at = [], n - start
-        while at:
-            tail.append(last[at])
-            at -= len(self.tokens[last[at]])
-        return tuple(out + tail[::-1])
-
-    def last_token(self, data: bytes, room: int, end: int, last: list[int]) -> int:
-        """The one token that can end the `room` bytes before `end`; last[-n] is that of the prefix n bytes shorter."""
-        ids, pair_ok = self.ids, self.pair_ok
-        if room > 2:
-            for size in self.lengths.get(data[end - 3 : end], ()):
-                if size <= room:
-                    token = ids.get(data[end - size : end])
-                    if token is not None and (self.alone[token] if size == room else pair_ok[last[-size], token]):
-                        return token
-        if room > 1:
-            token = ids.get(data[end - 2 : end])
-            if token is not None and (self.alone[token] if room == 2 else pair_ok[last[-2], token]):
-                return token
-        return ids[data[end - 1 : end]]
-
-    def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
-        """(ordinary text, None) and (special string, id) in turn."""
-        for part in self.split_special.split(text) if self.split_special else [text]:
-            if part:
-                yield part, self.special.get(part)
-
-    def encode_blocks(self, text: str, size: int = BLOCK) -> Iterator[list[int]]:
-        """A text's ids in parts of bounded size."""
-        for part, special in self.segments(text):
-            if special is not None:
-                yield [special]
-            else:
-                for words in pretokens(part, size):
-                    yield [i for ids in map(self.words.__getitem__, words) for i in ids]
+def text_blocks(data: bytes, size: int = BLOCK) -> Iterator[str]:
+    """Text of UTF-8 bytes in blocks."""
+    machine = Utf8Machine()
+    for at in range(0, len(data), size):
+        yield machine.feed(data[at : at + size], at + size >= len(data))
 
 
-def sufficient_lookahead(pairs: list[tuple[int, int]], merged: list[int], length: dict[int, int]) -> int:
-    """Bytes behind a boundary after which it can't change any more.
+def pretokens(blocks: Iterator[str], size: int = BLOCK) -> Iterator[tuple[list[str], bool]]:
+    """(pretokens, open), block by block: open means that the one pretoken given goes on in the next item.
 
-    A merge (a, b) can fail to happen because of what follows b only if an earlier
-    merge takes b, or a piece on b's right edge, together with what follows, and
-    that one can fail only by a still earlier merge on its own right edge.  Ranks
-    fall along such a chain, so the longest one, counted in bytes of the right
-    operands, is found in one pass over the merge list.
+    A block ends where a word is followed by white space, which no pretoken
+    crosses.  Where there is no such place, all but the last two matches are
+    final; a single match that fills half a block is a run of one class and is
+    handed on in parts, so no more than some blocks are held.  size is 16 at least.
     """
-    right_of: dict[int, int] = {}
-    reach: dict[int, int] = {}  # left operand -> longest chain that starts there, among earlier merges
-    longest = 0
-    for (a, b), new in zip(pairs, merged, strict=True):
-        edge, chain = b, 0
-        while edge is not None:
-            chain = max(chain, reach.get(edge, 0))
-            edge = right_of.get(edge)
-        chain += length[b]
-        reach[a] = max(reach.get(a, 0), chain)
-        right_of.setdefault(new, b)
-        longest = max(longest, chain)
-    return longest
-
-
-class Utf8Machine:
-    """Token bytes -> text, one part at a time; an incomplete character waits for its next bytes."""
+    held, run = "", None
+    for block in blocks:
+        if run is not None:
+            block, held = held + block, ""
+            end = run.match(block).end()
+            spaces = run is _RUNS[0]
+            if end == len(block):
+                held = block[end - spaces :]
+                yield [block[: end - spaces]], True
+                continue
+            # the last white space belongs to what follows
+            yield [block[: end - spaces]], False
+            block, run = block[end - spaces :], None
+        held += block
+        if len(held) < size // 2:
+            continue
+        sync = _LAST_SYNC.search(held)
+        if sync:
+            yield _SPLIT.findall(held[: sync.end()]), False
+            held = held[sync.end() :]
+            continue
+        found = _SPLIT.findall(held)
+        if len(found) > 2:
+            yield found[:-2], False
+            held = "".join(found[-2:])
+            continue
+        if len(found) == 2 and len(found[0]) > 2:
+            yield found[:1], False
+            held = found[1]
+            found = found[1:]
+        if len(found) == 1 and len(held) >= size // 2:
+            run = next(r for r in _RUNS if r.match(held, len(held) - 1).end() == len(held))
+            spaces = run is _RUNS[0]
+            yield [held[: len(held) - spaces]], True
+            held = held[len(held) - spaces :]
+    if run is not None:
+        yield [held], False
+    elif held:
+        yield _SPLIT.findall(held), False
 
-    def __init__(self):
-        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, data: bytes, final: bool = False) -> str:
-        return self.machine.decode(data, final)
+class ByteBPE:
+    """Encoder and decoder of a byte-level vocabulary file."""
+
+    def __init__(self, path: str):
+        self.merges = Merges(path)
+        self.machine = Transducer(self.merges)
+        top = max(self.merges.raw) + 1
+        #: Bytes, and the decimal number, of each id.
+        self.raw = [self.merges.raw.get(i, b"") for i in range(top)]
+        self.names = [b"%d" % i for i in range(top)]
+
+    def pieces(self, found: list[str], ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """The machine's run over given pretokens."""
+        data = [w.encode() for w in found]
+        ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        return self.machine.run(np.frombuffer(b"".join(data), np.uint8), starts[: len(data)], ends, ids)
+
+    def batch(self, texts: list[bytes], ids: bool = True) -> list:
+        """Ids of each text (or how many, with ids=False); all plain texts are one run, all others another."""
+        plain, odd, out = [], [], [None] * len(texts)
+        for i, text in enumerate(texts):
+            (plain if is_plain(text) else odd).append(i)
+        if plain:
+            data = np.frombuffer(b"".join([x for i in plain for x in (texts[i], SEPARATOR)]), np.uint8)
+            starts, ends = byte_pretokens(data)
+            borders = np.searchsorted(starts, np.cumsum([0, *(len(texts[i]) + 1 for i in plain)]))
+            self._deal(plain, borders, self.machine.run(data, starts, ends, ids), out)
+        if odd:
+            found = [_SPLIT.findall(texts[i].decode("utf-8", "replace")) for i in odd]
+            borders = np.cumsum([0, *map(len, found)])
+            self._deal(odd, borders, self.pieces([w for words in found for w in words], ids), out)
+        return out
+
+    @staticmethod
+    def _deal(owners: list[int], borders: np.ndarray, result: tuple[np.ndarray, np.ndarray | None], out: list) -> None:
+        counts, ids = result
+        at = np.concatenate([[0], np.cumsum(counts)])[borders].tolist()
+        for i, (lo, hi) in zip(owners, pairwise(at), strict=True):
+            out[i] = hi - lo if ids is None else ids[lo:hi]
+
+    def encode_texts(self, texts: list[bytes], ids: bool = True) -> list:
+        """Ids (or their number) of whole texts of bounded size, special strings among them."""
+        if not any(s in t for s in self.merges.special for t in texts):
+            return self.batch(texts, ids)
+        parts = [[*self.merges.segments(t)] for t in texts]
+        found = iter(self.batch([data for part in parts for data, special in part if special is None], ids))
+        if ids:
+            return [np.concatenate([np.empty(0, np.int32), *(next(found) if special is None else [special] for _, special in part)]).astype(np.int32) for part in parts]
+        return [sum(next(found) if special is None else 1 for _, special in part) for part in parts]
+
+    def stream(self, text: bytes, size: int = BLOCK) -> Iterator[list[int]]:
+        """Ids of a text of any length, in parts of bounded size, as soon as they are stable."""
+        for data, special in self.merges.segments(text):
+            if special is not None:
+                yield [special]
+                continue
+            key: Key | None = None
+            for found, more in pretokens(text_blocks(data, size), size):
+                if not more and key is None:
+                    yield self.pieces(found)[1].tolist()
+                    continue
+                key, out = self.machine.feed(key or self.machine.START, found[0].encode())
+                if not more:
+                    out += self.machine.finish(key)
+                    key = None
+                yield out
+
+    def digests(self, parts: Iterator[list[int]]) -> tuple[int, str, str]:
+        """(number of ids, SHA-256 of them as decimals with commas, SHA-256 of the text that they decode to)."""
+        ids_sha, text_sha, back = hashlib.sha256(), hashlib.sha256(), Utf8Machine()
+        n, comma = 0, b""
+        for ids in parts:
+            if ids:
+                ids_sha.update(comma + b",".join(map(self.names.__getitem__, ids)))
+                text_sha.update(back.feed(b"".join(map(self.raw.__getitem__, ids))).encode())
+                n, comma = n + len(ids), b","
+        text_sha.update(back.feed(b"", True).encode())
+        return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -206,54 +194,68 @@ def _load(file: str) -> ByteBPE:
 
 def byte_bpe(file: str = BYTE_FILE) -> ByteBPE:
     """One per Python worker."""
+    claim("byte bpe", _load.cache_clear)
     return _load(file)
 
 
-@lru_cache(maxsize=2)
-def _round_trips(file: str) -> Memo:
-    """Pretoken -> (its decimal ids, each with a comma behind it; the bytes that those ids decode to)."""
-    bpe = byte_bpe(file)
-    names = {i: f"{i}," for i in bpe.tokens}
-
-    def there_and_back(word: str) -> tuple[bytes, bytes]:
-        ids = bpe.encode_word(word.encode())
-        return "".join([names[i] for i in ids]).encode(), b"".join([bpe.tokens[i] for i in ids])
-
-    return Memo(there_and_back)
-
-
-def encode_decode(text: bytes | None, file: str = BYTE_FILE) -> tuple[int, str, str]:
-    """(n_tokens, SHA-256 of the decimal ids, SHA-256 of the decoded text), in one pass of bounded memory."""
-    bpe, both, ids_sha, text_sha, back = byte_bpe(file), _round_trips(file), hashlib.sha256(), hashlib.sha256(), Utf8Machine()
-    n, held = 0, b""
-    for part, special in bpe.segments((text or b"").decode("utf-8", "replace")):
-        for words in pretokens(part) if special is None else [[]]:
-            pairs = [both[w] for w in words] if special is None else [(b"%d," % special, bpe.tokens[special])]
-            names = held + b"".join([p[0] for p in pairs])
-            ids_sha.update(names[:-1])  # a comma goes out only in front of another id
-            n += names.count(b",") - len(held)
-            held = names[-1:]
-            text_sha.update(back.feed(b"".join([p[1] for p in pairs])).encode())
-    text_sha.update(back.feed(b"", True).encode())
-    return n, ids_sha.hexdigest(), text_sha.hexdigest()
+def map_encoded(docs: DataFrame, schema: str, each: Callable[[ByteBPE, list[bytes]], list[list]], types: list[pa.DataType], file: str) -> DataFrame:
+    """doc_id and the columns that each(bpe, texts) gives, over batches of texts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *(part.split()[0] for part in schema.split(", "))]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(file)
+        for whole in batches:
+            for part, texts in text_batches(whole):
+                columns = [pa.array(c, t) for c, t in zip(each(bpe, texts), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
+        trim()
+
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, {schema}")
 
 
 def encode(docs: DataFrame, file: str = BYTE_FILE) -> DataFrame:
-    """(doc_id, ids array<int>): a map over whole texts; NULL text gives no ids."""
+    """(doc_id, ids array<int>): a map over whole texts; NULL text gives no ids.
+
+    Each row is mapped alone, so repeated rows give repeated rows; other columns
+    are left out, whatever their names.
+    """
+    return map_encoded(docs, "ids array<int>", lambda bpe, texts: [bpe.encode_texts(texts) if len(texts) > 1 else [[i for p in bpe.stream(texts[0]) for i in p]]], [pa.list_(pa.int32())], file)
+
 
-    def each(text: bytes | None) -> tuple:
-        return ([i for ids in byte_bpe(file).encode_blocks((text or b"").decode("utf-8", "replace")) for i in ids],)
+def decode(rows: DataFrame, file: str = BYTE_FILE) -> DataFrame:
+    """(doc_id, text) of (doc_id, ids): NULL ids give NULL text, ids outside the vocabulary nothing."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    return map_texts(docs.select("doc_id", "text"), each, "ids array<int>", ["doc_id"])
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = byte_bpe(file).raw
+        for batch in batches:
+            out = []
+            for ids in batch.column("ids").to_pylist():
+                machine = Utf8Machine()
+                out.append(None if ids is None else machine.feed(b"".join([raw[i] for i in ids if 0 <= i < len(raw)]), True))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
+
+    return rows.select("doc_id", "ids").mapInArrow(texts, f"doc_id {kind}, text string")
 
 
 def round_trip(docs: DataFrame, file: str = BYTE_FILE) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row per row of docs.
 
     A map over rows, no shuffle.  NULL and empty texts give no tokens and the
-    digests of nothing; long texts are streamed in blocks.
+    digests of nothing; long texts are streamed in blocks.  Each row is mapped
+    alone, so repeated rows give repeated rows; other columns are left out,
+    whatever their names, and a NULL doc_id is carried.
     """
-    return map_texts(docs.select("doc_id", "text"), lambda text: encode_decode(text, file), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", ["doc_id"])
+
+    def each(bpe: ByteBPE, texts: list[bytes]) -> list[list]:
+        if len(texts) == 1:
+            found = [bpe.digests(bpe.stream(texts[0]))]
+        else:
+            found = [bpe.digests([ids.tolist()]) for ids in bpe.encode_texts(texts)]
+        return [*zip(*found, strict=True)]
+
+    return map_encoded(docs, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", each, [pa.int64(), pa.string(), pa.string()], file)
 
 
 def op4(docs: DataFrame) -> DataFrame:

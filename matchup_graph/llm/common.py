@@ -1,6 +1,8 @@
 """Small pieces that several operators share."""
 
-import tempfile
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: ASCII white space, as byte strings' own split() and strip() take it.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of text that are worked on together.
+BLOCK = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +25,19 @@ def conf(spark: SparkSession, key: str, default: str) -> str:
     return spark.conf.get(key, default) or default
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; it is an error if the session names none."""
+    folder = conf(spark, "spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the cluster's shared folder (spark.checkpoint.dir)."""
+    """Cut the lineage with a checkpoint in the cluster's shared folder."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(conf(frame.sparkSession, "spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
 
 
@@ -40,6 +52,20 @@ def blobs(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes | None]:
         yield value.as_py()
 
 
+def text_batches(batch: pa.RecordBatch, size: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch whose texts have about `size` bytes together, or one longer text alone; NULL is empty."""
+    start, texts, held = 0, [], 0
+    for i, blob in enumerate(blobs(batch)):
+        blob = blob or b""
+        if texts and held + len(blob) > size:
+            yield batch.slice(start, i - start), texts
+            start, texts, held = i, [], 0
+        texts.append(blob)
+        held += len(blob)
+    if texts:
+        yield batch.slice(start, batch.num_rows - start), texts
+
+
 def map_texts(frame: DataFrame, each: Callable[[bytes | None], tuple], schema: str, keep: list[str], batch_rows: int = 512) -> DataFrame:
     """Carry `keep` along and add `schema`'s columns, computed from the column `text` by each(bytes or None)."""
     carried = frame.select(*keep, "text")
@@ -55,10 +81,38 @@ def map_texts(frame: DataFrame, each: Callable[[bytes | None], tuple], schema: s
                 rows = [each(text) for text in blobs(part)]
                 columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array(c, t) for c, t in zip(columns, added.types, strict=True))], [*keep, *names])
+        trim()
 
     return carried.mapInArrow(run, whole)
 
 
+_owner: dict[str, list[Callable]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Note a cache of this Python worker under its owner; the caches of any other owner are emptied.
+
+    Workers live on from stage to stage, so without this each would hold what
+    all earlier operators have cached.
+    """
+    if owner not in _owner:
+        for one in [c for cs in _owner.values() for c in cs]:
+            one()
+        _owner.clear()
+        _owner[owner] = []
+        trim()
+    if clear not in _owner[owner]:
+        _owner[owner].append(clear)
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Longer strings are not memoised.
 LONG_KEY = 64
 

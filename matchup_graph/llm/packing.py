@@ -9,11 +9,12 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blobs, conf, cut
+from .common import conf, cut, text_batches, trim
 from .tokens import word_tokenizer
 
 CAPACITY = 4096
@@ -24,26 +25,28 @@ _PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and the end id, cut at the capacity.
 
-    NULL text is empty: one piece that holds the end id alone.
+    NULL text is empty: one piece that holds the end id alone.  Repeated rows
+    give repeated pieces, other columns are left out whatever their names, and
+    a NULL doc_id is carried.
     """
-    end = end_id.to_bytes(4, "little")
+    end = np.array([end_id], "<u4")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer().encode
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch, texts in text_batches(whole):
                 origin, rows = [], []
-                for i, text in enumerate(blobs(batch)):
-                    packed = encode(text) + end
+                for i, found in enumerate(encode(texts)):
+                    packed = np.concatenate([found.astype("<u4"), end]).tobytes()
                     for n, start in enumerate(range(0, len(packed) // 4, capacity)):
                         part = packed[4 * start : 4 * (start + capacity)]
                         origin.append(i)
-                        rows.append((n, start, len(part) // 4, zlib.crc32(part), part))
-                n, start, length, crc, part = zip(*rows, strict=True) if rows else [()] * 5
+                        rows.append((n, start, len(part) // 4, zlib.crc32(part), part if ids else None))
+                n, start, length, crc, part = zip(*rows, strict=True)
                 columns = [batch.column("doc_id").take(pa.array(origin, pa.int64())), pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(part, pa.binary())] * ids, names + ["ids"] * ids)
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(cut_up, f"doc_id {kind}, {_PIECES}" + ", ids binary" * ids)

@@ -1,76 +1,53 @@
-"""Ids of the word tokenizer, with a memo per word."""
+"""Ids of the word tokenizer for batches of texts."""
 
-import re
-import struct
 from functools import lru_cache
+from itertools import pairwise
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from .common import Memo
+from .common import claim
+from .transducer import SEPARATOR, Merges, Transducer, is_plain, word_pretokens
 
 WORD_FILE = "word_bpe_49k.json"
-#: What the tokenizer's own split keeps of plain characters: contractions, letters, single numbers, the rest.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-zA-Z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-#: Signs that end a run of letters and stand alone after it.
-_SIGNS = frozenset(b"%c" % c for c in b".,;:!?)]}")
-#: Characters whose class, case and composition no Unicode version changes.
-_PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]*")
-
-
-def byte_alphabet() -> list[str]:
-    """Byte -> the character that stands for it in byte-level vocabularies: itself if printable, else 256 and up."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in printable else next(spare)) for b in range(256)]
 
 
 class WordTokenizer:
-    """Packed ids of white-space separated words.
+    """Plain texts run through the compiled transducer together; the library takes all others, and those with special strings."""
 
-    The tokenizer drops white space and never joins over it, so the ids of a text
-    are its words' ids one after the other.
-    """
-
-    def __init__(self, path: str, limit: int = 120_000):
+    def __init__(self, path: str, limit: int = 200_000):
         self.whole = Tokenizer.from_file(path)
         self.whole.no_padding()
         self.whole.no_truncation()
-        self.model = self.whole.model
-        self.byte = {b: ord(ch) for b, ch in enumerate(byte_alphabet())}
-        self.parts = Memo(self._part, limit)
-        self.packed = Memo(self._pack, limit)
-
-    def _part(self, part: str) -> bytes:
-        # plain ASCII stands for itself in the byte alphabet
-        tokens = self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.byte))
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        self.merges = Merges(path)
+        self.machine = Transducer(self.merges, limit)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each whole text."""
+        plain, out = [], [None] * len(texts)
+        for i, text in enumerate(texts):
+            if is_plain(text) and not any(s in text for s in self.merges.special):
+                plain.append(i)
+            else:
+                out[i] = np.array(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
+        if plain:
+            data = np.frombuffer(b"".join([x for i in plain for x in (texts[i], SEPARATOR)]), np.uint8)
+            data, starts, ends = word_pretokens(data)
+            counts, ids = self.machine.run(data, starts, ends)
+            borders = np.searchsorted(starts, np.cumsum([0, *(len(texts[i]) + 1 for i in plain)]))
+            at = np.concatenate([[0], np.cumsum(counts)])[borders].tolist()
+            for i, (lo, hi) in zip(plain, pairwise(at), strict=True):
+                out[i] = ids[lo:hi]
+        return out
 
-    def _pack(self, word: bytes) -> bytes:
-        # most words are one run of letters, with one sign behind it or none
-        if word.isalpha():
-            return self.parts[word.lower().decode()]
-        if word[:-1].isalpha() and word[-1:] in _SIGNS:
-            return self.parts[word[:-1].lower().decode()] + self.parts[word[-1:].decode()]
-        text = word.decode("utf-8", "replace")
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
 
-    def encode(self, text: bytes | None) -> bytes:
-        """Little-endian unsigned 32-bit ids of a whole text."""
-        return self.encode_words((text or b"").split())
-
-    def encode_words(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.packed.__getitem__, words))
+@lru_cache(maxsize=2)
+def _load(file: str) -> WordTokenizer:
+    return WordTokenizer(public_tokenizers.path(file))
 
 
 def word_tokenizer(file: str = WORD_FILE) -> WordTokenizer:
     """One per Python worker."""
+    claim("word bpe", _load.cache_clear)
     return _load(file)
-
-
-@lru_cache(maxsize=2)
-def _load(file: str) -> WordTokenizer:
-    return WordTokenizer(public_tokenizers.path(file))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -184,9 +185,16 @@ def odd_texts(n):
 def test_bpe_and_counts_match_the_library(spark):
     library = Tokenizer.from_file(public_tokenizers.path(bpe.BYTE_FILE))
     own, machine = bpe.byte_bpe(), counts.transducer()
-    for s in odd_texts(1500):
-        ids = library.encode(s, add_special_tokens=False).ids
-        assert [i for part in own.encode_blocks(s, 16) for i in part] == ids
+    r = random.Random(5)
+    odd = [*odd_texts(1500)]
+    for letters in ("ab\n ", "ab  ", "a\n\n", " \n", "a.,'s", "lL'", "19 ", "ab ' ll", "é×÷ä a'", "¡«»é 're"):
+        odd += ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(150)]
+    expected = [library.encode(s, add_special_tokens=False).ids for s in odd]
+    assert [x.tolist() for x in own.encode_texts([s.encode() for s in odd])] == expected
+    assert own.encode_texts([s.encode() for s in odd], ids=False) == [*map(len, expected)]
+    for s, ids in zip(odd, expected, strict=True):
+        assert [i for part in own.stream(s.encode(), 16) for i in part] == ids
+    for s, ids in zip(odd[:1500], expected, strict=False):
         pieces = [s[i : i + 7] for i in range(0, len(s), 7)] or [""]
         assert counts.run(counts.scan([counts.chunk_map(c, machine) for c in pieces], machine)[-1], machine) == len(ids)
     texts = [t or "" for t in TEXTS]
@@ -194,19 +202,72 @@ def test_bpe_and_counts_match_the_library(spark):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     expected = [(i, len(x), sha(",".join(map(str, x))), sha(library.decode(x, skip_special_tokens=False))) for i, x in enumerate(ids)]
     assert [tuple(r) for r in bpe.op4(docs(spark)).orderBy("doc_id").collect()] == expected
-    assert [list(r.ids) for r in bpe.encode(docs(spark)).orderBy("doc_id").collect()] == ids
+    encoded = bpe.encode(docs(spark))
+    assert [list(r.ids) for r in encoded.orderBy("doc_id").collect()] == ids
+    assert [r.text for r in bpe.decode(encoded).orderBy("doc_id").collect()] == texts
     expected = [(i, len(t.encode()), len(x), len(x) > 512) for i, (t, x) in enumerate(zip(texts, ids, strict=True))]
-    assert [tuple(r) for r in counts.op6(docs(spark)).orderBy("doc_id").collect()] == expected
-    assert [tuple(r) for r in counts.token_counts(docs(spark), chunk=50).orderBy("doc_id").collect()] == expected
+    assert [tuple(r)[:4] for r in counts.op6(docs(spark)).orderBy("doc_id").collect()] == expected
+
+
+def test_many_chunks_are_composed(spark):
+    library = Tokenizer.from_file(public_tokenizers.path(bpe.BYTE_FILE))
+    ids = [library.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+    got = counts.token_counts(docs(spark), chunk=50).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [*map(len, ids)]
+    assert [r.n_chunks for r in got] == [min(256, max(1, -(-len(t or "") // 50))) for t in TEXTS] and max(r.n_chunks for r in got) == 256
+    for r in got:
+        assert r.tokens_before == sorted(r.tokens_before) and len(r.tokens_before) == r.n_chunks - 1 and all(n <= r.n_tokens for n in r.tokens_before)
+    # ordinary documents are more than one chunk
+    assert counts.token_counts(docs(spark, [prose(600, 1)])).first().n_chunks > 1
 
 
 @pytest.mark.parametrize("letters", ["ab", "thein", "0189", " x"])
-def test_long_words_are_streamed(letters):
-    own = bpe.byte_bpe()
+def test_long_pretokens_are_streamed(letters):
+    machine = bpe.byte_bpe().machine
     r = random.Random(5)
     data = "".join(r.choice(letters) for _ in range(2500)).encode()
-    assert own.lookahead > 0
-    assert list(own.encode_word(data, window=1)) == own.merge(data)
+    key, out = machine.START, []
+    for i in range(0, len(data), 7):
+        key, more = machine.feed(key, data[i : i + 7])
+        out += more
+        assert 0 < machine.pending(machine.state(key)) <= machine.merges.lookahead + machine.merges.longest
+    assert out + machine.finish(key) == machine.merges.merge(data.decode())
+
+
+def test_pairs_that_stay_apart():
+    m = bpe.byte_bpe().merges
+    r = random.Random(1)
+    ids = [i for i in m.tokens if m.alone[i]]
+    for _ in range(20_000):
+        a, b = r.choice(ids), r.choice(ids)
+        if r.random() < 0.5:
+            t = m.tokens[a]
+            k = r.randrange(1, len(t) + 1)
+            a, b = m.ids.get(t[:k]), m.ids.get(t[k:])
+            if None in (a, b) or not (m.alone[a] and m.alone[b]):
+                continue
+        assert m.pair_ok[a, b] == (m.merge(m.tokens[a] + m.tokens[b]) == [a, b])
+
+
+@pytest.mark.parametrize("unit", [b"abcdefgh", b" ", b"there is ", "é漢".encode()])
+def test_memory_does_not_grow_with_a_text(unit):
+    own, peaks = bpe.byte_bpe(), []
+    for n in (1 << 20, 1 << 22):
+        data = unit * (n // len(unit))
+        tracemalloc.start()
+        total = sum(map(len, own.stream(data, 1 << 15)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert total > 0
+    assert peaks[1] < 1.2 * peaks[0] + 200_000
+
+
+def test_utf8_machine():
+    text = "aé漢😀�z" * 3
+    data = text.encode() + b"\xe6\xbc"
+    for size in (1, 2, 3, 5):
+        machine = bpe.Utf8Machine()
+        assert "".join(machine.feed(data[i : i + size]) for i in range(0, len(data), size)) + machine.feed(b"", True) == data.decode("utf-8", "replace")
 
 
 def test_substrings_find_exact_and_fuzzy_passages(spark):
@@ -352,4 +413,4 @@ def test_pipeline(spark, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} in ({*range(8)}, {*range(8), 10})
     check_gapless([(r.sequence_id, r.offset, r.length) for r in rows])
-    assert word_tokenizer().encode(None) == b""
+    assert len(word_tokenizer().encode([b""])[0]) == 0
