@@ -41,8 +41,6 @@ class Params:
     drop: int = 16
 
 
-#: Eight bytes each.
-BROADCAST_IDS = 500_000
 #: Seeds in a key, where single ones don't lead to one place.
 RUNS = (2, 4, 8)
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)]
@@ -252,10 +250,11 @@ def shared_seeds(docs: DataFrame, p: Params) -> DataFrame:
     return found.join(shared, "seed").groupBy("doc_id").agg(F.collect_list(F.struct(place, "seed", "keep_id", "keep_pos")).alias("links"))
 
 
-def runs(pos: np.ndarray, seed: np.ndarray, keep: np.ndarray, keep_pos: np.ndarray, p: Params) -> Iterator[tuple[int, list[int]]]:
-    """(key, positions) of each run of neighbouring shared seeds that don't lead to one stretch of one document."""
+def runs(pos: np.ndarray, seed: np.ndarray, keep: np.ndarray, keep_pos: np.ndarray, known: np.ndarray, p: Params) -> Iterator[tuple[int, list[int]]]:
+    """(key, positions) of each run of neighbouring shared seeds that don't lead to one stretch of one document and aren't all known to be in passages."""
     order = np.argsort(pos, kind="stable")
-    pos, seed, keep, keep_pos = pos[order], seed[order].view(np.uint64), keep[order], keep_pos[order]
+    pos, seed, keep, keep_pos, known = pos[order], seed[order].view(np.uint64), keep[order], keep_pos[order], known[order]
+    unknown = np.concatenate([[0], np.cumsum(~known)])
     step = np.diff(pos)
     breaks = np.concatenate([[0], np.cumsum((np.diff(keep) != 0) | (np.diff(keep_pos) != step))])
     for size in RUNS:
@@ -266,7 +265,7 @@ def runs(pos: np.ndarray, seed: np.ndarray, keep: np.ndarray, keep_pos: np.ndarr
         for i in range(size):
             key = (key ^ seed[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(32)
-        wanted = (breaks[size - 1 :] > breaks[:n]) & (pos[size - 1 :] - pos[:n] <= size * p.min_words // 2)
+        wanted = (unknown[size:] > unknown[:n]) & (breaks[size - 1 :] > breaks[:n]) & (pos[size - 1 :] - pos[:n] <= size * p.min_words // 2)
         for i in np.flatnonzero(wanted):
             yield int(key[i].view(np.int64)), pos[i : i + size].tolist()
 
@@ -276,8 +275,17 @@ _LINE_KINDS = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary()]
 _LINE_SCHEMA = "doc_id bigint, keep_id bigint, origin int, stop int, keep_origin int, keep_stop int, matches binary"
 
 
-def promising(doc_id: int, pos: np.ndarray, keep: np.ndarray, keep_pos: np.ndarray, p: Params) -> Iterator[tuple]:
-    """Chains of two seeds or more, each with the stretches of both documents that its alignment reads."""
+def solid(pos: np.ndarray, keep_pos: np.ndarray, p: Params) -> bool:
+    """Whether a chain's seeds alone make a passage: enough words, and the words of seeds are enough of them."""
+    span, other = pos[-1] + p.k - pos[0], keep_pos[-1] + p.k - keep_pos[0]
+    if span < p.min_words:
+        return False
+    same = p.k + np.minimum(np.minimum(np.diff(pos), np.diff(keep_pos)), p.k).sum()
+    return bool(same >= p.similarity * max(span, other))
+
+
+def promising(doc_id: int, pos: np.ndarray, keep: np.ndarray, keep_pos: np.ndarray, p: Params) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Chains of two seeds or more, each with the stretches of both documents that its alignment reads, and the numbers of its matches."""
     order = np.argsort(keep, kind="stable")
     bounds = np.flatnonzero(np.diff(keep[order])) + 1
     for part in np.split(order, bounds):
@@ -290,7 +298,8 @@ def promising(doc_id: int, pos: np.ndarray, keep: np.ndarray, keep_pos: np.ndarr
                     continue
                 lo, hi, keep_lo, keep_hi = a[found[0]], a[found[-1]] + p.k, b[found[0]], b[found[-1]] + p.k
                 places = [x for j in found for x in (a[j], b[j])]
-                yield doc_id, int(keep[part[0]]), max(0, lo - p.margin), hi + p.margin, max(0, keep_lo - p.margin), keep_hi + p.margin, struct.pack(f"<{len(places)}i", *places)
+                line = doc_id, int(keep[part[0]]), max(0, lo - p.margin), hi + p.margin, max(0, keep_lo - p.margin), keep_hi + p.margin, struct.pack(f"<{len(places)}i", *places)
+                yield line, part[found]
 
 
 def _lines(rows: DataFrame, each: Callable[[int, pa.StructArray], Iterator[tuple]]) -> DataFrame:
@@ -314,9 +323,12 @@ def _chains(docs: DataFrame, p: Params) -> DataFrame:
 
     def seeds_of(doc_id: int, links: pa.StructArray) -> Iterator[tuple]:
         pos, seed, keep, keep_pos = (links.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "seed", "keep_id", "keep_pos"))
-        mine = keep < doc_id
-        yield from promising(doc_id, pos[mine], keep[mine], keep_pos[mine], p)
-        for key, places in runs(pos, seed, keep, keep_pos, p):  # lines without an origin
+        mine, known = np.flatnonzero(keep < doc_id), np.zeros(len(pos), bool)
+        for line, found in promising(doc_id, pos[mine], keep[mine], keep_pos[mine], p):
+            yield line
+            if solid(pos[mine[found]], keep_pos[mine[found]], p):
+                known[mine[found]] = True
+        for key, places in runs(pos, seed, keep, keep_pos, known, p):  # lines without an origin
             yield doc_id, key, None, None, None, None, struct.pack(f"<{len(places)}i", *places)
 
     def runs_of(doc_id: int, links: pa.StructArray) -> Iterator[tuple]:
@@ -326,7 +338,8 @@ def _chains(docs: DataFrame, p: Params) -> DataFrame:
             for x, y in zip(np.frombuffer(link["matches"], np.int32).tolist(), np.frombuffer(link["keep_matches"], np.int32).tolist(), strict=True)
         }
         pos, keep, keep_pos = np.array(sorted(found), np.int64).T
-        yield from promising(doc_id, pos, keep, keep_pos, p)
+        for line, _ in promising(doc_id, pos, keep, keep_pos, p):
+            yield line
 
     lines = cut(_lines(shared_seeds(docs, p), seeds_of))
     found = lines.where("origin IS NULL").select(F.col("keep_id").alias("key"), "doc_id", "matches")
@@ -336,14 +349,39 @@ def _chains(docs: DataFrame, p: Params) -> DataFrame:
     return lines.where("origin IS NOT NULL").union(_lines(by_doc, runs_of))
 
 
+def may_agree(a: np.ndarray, b: np.ndarray, p: Params) -> bool:
+    """False only if no passage of these stretches can be long and alike enough.
+
+    A passage of n words of which m = similarity * n agree has at most n - m
+    breaks on either side, so m - 1 - 2 (n - m) pairs of neighbouring words, at
+    least, are common to both.
+    """
+    pair = lambda x: (x[:-1].astype(np.uint64) << np.uint64(32)) | x[1:]
+    least = p.min_words * (3 * p.similarity - 2) - 1
+    there = np.sort(pair(b))
+    if not len(there):
+        return least <= 0
+    mine = pair(a)
+    at = np.minimum(np.searchsorted(there, mine), len(there) - 1)
+    return int((there[at] == mine).sum()) >= least
+
+
 def _aligned(rows: DataFrame, p: Params) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "n_words", "keep_id", "keep_start", "keep_words", "n_same"]
+        pair, found, around = None, [], p.window + p.k
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 out = []
                 for doc_id, keep_id, origin, keep_origin, matches, words, keep_words in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "keep_id", "origin", "keep_origin", "matches", "words", "keep_words")), strict=True):
+                    if pair != (doc_id, keep_id):
+                        pair, found = (doc_id, keep_id), []
+                    first, last = np.frombuffer(matches[:4], np.int32)[0], np.frombuffer(matches[-8:-4], np.int32)[0] + p.k
+                    if any(a <= max(0, first - around) and b >= last + around for a, b in found):
+                        continue  # inside a passage that goes on so far that this chain would have had its next seed there
+                    if not may_agree(np.frombuffer(words, np.uint32), np.frombuffer(keep_words, np.uint32), p):
+                        continue
                     places = np.frombuffer(matches, np.int32).reshape(-1, 2) - np.array([origin, keep_origin])
                     doc, other = np.frombuffer(words, np.uint32).tolist(), np.frombuffer(keep_words, np.uint32).tolist()
                     pairs = [tuple(x) for x in places.tolist()]
@@ -352,6 +390,7 @@ def _aligned(rows: DataFrame, p: Params) -> DataFrame:
                     s, e, os, oe, same = align(doc, other, pairs, p)
                     if e - s >= p.min_words and same >= p.similarity * max(e - s, oe - os):
                         out.append((doc_id, s + origin, e - s, keep_id, os + keep_origin, oe - os, same))
+                        found = [*found[-31:], (s + origin, e + origin)]
                 columns = list(zip(*out, strict=True)) if out else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
@@ -365,19 +404,19 @@ def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
     text; repeated rows of one are the same document.  Repeats inside one
     document aren't passages.
 
-    Words are fetched for the documents of chains alone: while there are at most
-    BROADCAST_IDS of them their ids are broadcast as a filter, beyond that all
-    documents' words go into the two joins; the result is the same.
+    Words are fetched for the documents of chains alone, by a semi-join on their
+    ids that Spark broadcasts or sorts as their size tells.
     """
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     chains = cut(_chains(docs, p))
     ids = cut(chains.select(F.explode(F.array("doc_id", "keep_id")).alias("doc_id")).distinct())
-    wanted = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else docs
-    codes = _code_rows(wanted)
+    codes = _code_rows(docs.join(ids, "doc_id", "left_semi"))
     stretch = lambda start, stop: F.substring(F.col("codes"), 4 * F.col(start) + 1, 4 * (F.col(stop) - F.col(start)))
     mine = chains.join(codes, "doc_id").withColumn("words", stretch("origin", "stop")).drop("codes")
     both = mine.join(codes.withColumnRenamed("doc_id", "keep_id"), "keep_id").withColumn("keep_words", stretch("keep_origin", "keep_stop"))
-    return _aligned(both.select("doc_id", "keep_id", "origin", "keep_origin", "matches", "words", "keep_words"), p).distinct()
+    # a pair's chains are in one task, in order, so that those inside a passage that is already found are left out
+    rows = both.select("doc_id", "keep_id", "origin", "keep_origin", "matches", "words", "keep_words").sortWithinPartitions("doc_id", "keep_id", "origin", "matches")
+    return _aligned(rows, p).distinct()
 
 
 def cut_words(text: str, ranges: list[tuple[int, int]]) -> str:
