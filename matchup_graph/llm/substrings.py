@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, cut
+from .common import blobs, cut, trim
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,8 @@ class Params:
     drop: int = 16
 
 
+#: Ids of eight bytes each that are broadcast at most.
+BROADCAST_IDS = 500_000
 #: Seeds in a key, where single ones don't lead to one place.
 RUNS = (2, 4, 8)
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)]
@@ -270,9 +272,9 @@ def runs(pos: np.ndarray, seed: np.ndarray, keep: np.ndarray, keep_pos: np.ndarr
             yield int(key[i].view(np.int64)), pos[i : i + size].tolist()
 
 
-_LINE = ["doc_id", "keep_id", "origin", "stop", "keep_origin", "keep_stop", "matches"]
-_LINE_KINDS = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary()]
-_LINE_SCHEMA = "doc_id bigint, keep_id bigint, origin int, stop int, keep_origin int, keep_stop int, matches binary"
+_LINE = ["doc_id", "keep_id", "origin", "stop", "keep_origin", "keep_stop", "matches", "sizes"]
+_LINE_KINDS = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.binary()]
+_LINE_SCHEMA = "doc_id bigint, keep_id bigint, origin int, stop int, keep_origin int, keep_stop int, matches binary, sizes binary"
 
 
 def solid(pos: np.ndarray, keep_pos: np.ndarray, p: Params) -> bool:
@@ -302,6 +304,29 @@ def promising(doc_id: int, pos: np.ndarray, keep: np.ndarray, keep_pos: np.ndarr
                 yield line, part[found]
 
 
+def together(lines: list[tuple]) -> Iterator[tuple]:
+    """Chains whose stretches overlap as one line, so that words are fetched once: a text that goes round has one chain a round.
+
+    A line has the union of its chains' stretches, all their matches, and how
+    many each has.  The union on the other side is no longer than its parts.
+    """
+    group: list = []
+    for line in sorted(lines, key=lambda x: (x[1], x[2], x[4])):
+        doc_id, keep_id, origin, stop, keep_origin, keep_stop, matches = line
+        if group and group[1] == keep_id and origin <= group[3]:
+            low, high, total = min(group[4], keep_origin), max(group[5], keep_stop), group[8] + keep_stop - keep_origin
+            if high - low <= total:
+                group[3:6], group[8] = [max(group[3], stop), low, high], total
+                group[6].append(matches)
+                group[7].append(len(matches) // 8)
+                continue
+        if group:
+            yield (*group[:6], b"".join(group[6]), np.array(group[7], "<i4").tobytes())
+        group = [doc_id, keep_id, origin, stop, keep_origin, keep_stop, [matches], [len(matches) // 8], keep_stop - keep_origin]
+    if group:
+        yield (*group[:6], b"".join(group[6]), np.array(group[7], "<i4").tobytes())
+
+
 def _lines(rows: DataFrame, each: Callable[[int, pa.StructArray], Iterator[tuple]]) -> DataFrame:
     """(doc_id, links) -> the lines that each(doc_id, links) gives."""
 
@@ -324,12 +349,14 @@ def _chains(docs: DataFrame, p: Params) -> DataFrame:
     def seeds_of(doc_id: int, links: pa.StructArray) -> Iterator[tuple]:
         pos, seed, keep, keep_pos = (links.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "seed", "keep_id", "keep_pos"))
         mine, known = np.flatnonzero(keep < doc_id), np.zeros(len(pos), bool)
+        lines = []
         for line, found in promising(doc_id, pos[mine], keep[mine], keep_pos[mine], p):
-            yield line
+            lines.append(line)
             if solid(pos[mine[found]], keep_pos[mine[found]], p):
                 known[mine[found]] = True
+        yield from together(lines)
         for key, places in runs(pos, seed, keep, keep_pos, known, p):  # lines without an origin
-            yield doc_id, key, None, None, None, None, struct.pack(f"<{len(places)}i", *places)
+            yield doc_id, key, None, None, None, None, struct.pack(f"<{len(places)}i", *places), None
 
     def runs_of(doc_id: int, links: pa.StructArray) -> Iterator[tuple]:
         found = {
@@ -338,8 +365,7 @@ def _chains(docs: DataFrame, p: Params) -> DataFrame:
             for x, y in zip(np.frombuffer(link["matches"], np.int32).tolist(), np.frombuffer(link["keep_matches"], np.int32).tolist(), strict=True)
         }
         pos, keep, keep_pos = np.array(sorted(found), np.int64).T
-        for line, _ in promising(doc_id, pos, keep, keep_pos, p):
-            yield line
+        yield from together([line for line, _ in promising(doc_id, pos, keep, keep_pos, p)])
 
     lines = cut(_lines(shared_seeds(docs, p), seeds_of))
     found = lines.where("origin IS NULL").select(F.col("keep_id").alias("key"), "doc_id", "matches")
@@ -367,32 +393,36 @@ def may_agree(a: np.ndarray, b: np.ndarray, p: Params) -> bool:
 
 
 def _aligned(rows: DataFrame, p: Params) -> DataFrame:
+    around = p.window + p.k
+    names = ["doc_id", "start", "n_words", "keep_id", "keep_start", "keep_words", "n_same"]
+
+    def line(doc_id: int, keep_id: int, origin: int, keep_origin: int, matches: bytes, sizes: bytes, words: bytes, keep_words: bytes) -> Iterator[tuple]:
+        places = np.frombuffer(matches, np.int32).reshape(-1, 2) - np.array([origin, keep_origin])
+        codes, keep_codes = np.frombuffer(words, np.uint32), np.frombuffer(keep_words, np.uint32)
+        doc, other = codes.tolist(), keep_codes.tolist()
+        found: list[tuple[int, int]] = []
+        for pairs in sorted(map(np.ndarray.tolist, np.split(places, np.cumsum(np.frombuffer(sizes, "<i4"))[:-1]))):
+            (first, keep_first), (last, keep_last) = pairs[0], pairs[-1]
+            if last + p.k > len(doc) or keep_last + p.k > len(other):
+                continue  # another text under the same doc_id
+            if any(a <= max(0, first - around) and b >= min(len(doc), last + p.k + around) for a, b in found):
+                continue  # inside a passage that goes on so far that this chain would have had its next seed there
+            lo, keep_lo = max(0, first - p.margin), max(0, keep_first - p.margin)
+            if not may_agree(codes[lo : last + p.k + p.margin], keep_codes[keep_lo : keep_last + p.k + p.margin], p):
+                continue
+            s, e, os, oe, same = align(doc, other, [*map(tuple, pairs)], p)
+            if e - s >= p.min_words and same >= p.similarity * max(e - s, oe - os):
+                yield doc_id, s + origin, e - s, keep_id, os + keep_origin, oe - os, same
+                found = [*found[-31:], (s, e)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "n_words", "keep_id", "keep_start", "keep_words", "n_same"]
-        pair, found, around = None, [], p.window + p.k
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                out = []
-                for doc_id, keep_id, origin, keep_origin, matches, words, keep_words in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "keep_id", "origin", "keep_origin", "matches", "words", "keep_words")), strict=True):
-                    if pair != (doc_id, keep_id):
-                        pair, found = (doc_id, keep_id), []
-                    first, last = np.frombuffer(matches[:4], np.int32)[0], np.frombuffer(matches[-8:-4], np.int32)[0] + p.k
-                    if any(a <= max(0, first - around) and b >= last + around for a, b in found):
-                        continue  # inside a passage that goes on so far that this chain would have had its next seed there
-                    if not may_agree(np.frombuffer(words, np.uint32), np.frombuffer(keep_words, np.uint32), p):
-                        continue
-                    places = np.frombuffer(matches, np.int32).reshape(-1, 2) - np.array([origin, keep_origin])
-                    doc, other = np.frombuffer(words, np.uint32).tolist(), np.frombuffer(keep_words, np.uint32).tolist()
-                    pairs = [tuple(x) for x in places.tolist()]
-                    if pairs[-1][0] + p.k > len(doc) or pairs[-1][1] + p.k > len(other):
-                        continue  # another text under the same doc_id
-                    s, e, os, oe, same = align(doc, other, pairs, p)
-                    if e - s >= p.min_words and same >= p.similarity * max(e - s, oe - os):
-                        out.append((doc_id, s + origin, e - s, keep_id, os + keep_origin, oe - os, same))
-                        found = [*found[-31:], (s + origin, e + origin)]
+                out = [x for row in zip(*(column.to_pylist() for column in batch.columns), strict=True) for x in line(*row)]
                 columns = list(zip(*out, strict=True)) if out else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        trim()
 
     return rows.mapInArrow(run, "doc_id bigint, start bigint, n_words bigint, keep_id bigint, keep_start bigint, keep_words bigint, n_same bigint")
 
@@ -405,18 +435,18 @@ def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
     document aren't passages.
 
     Words are fetched for the documents of chains alone, by a semi-join on their
-    ids that Spark broadcasts or sorts as their size tells.
+    ids: these are broadcast while there are at most BROADCAST_IDS of them.
+    Columns other than doc_id and text are left out, whatever their names.
     """
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     chains = cut(_chains(docs, p))
     ids = cut(chains.select(F.explode(F.array("doc_id", "keep_id")).alias("doc_id")).distinct())
-    codes = _code_rows(docs.join(ids, "doc_id", "left_semi"))
+    small = ids.count() <= BROADCAST_IDS
+    codes = _code_rows(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"))
     stretch = lambda start, stop: F.substring(F.col("codes"), 4 * F.col(start) + 1, 4 * (F.col(stop) - F.col(start)))
     mine = chains.join(codes, "doc_id").withColumn("words", stretch("origin", "stop")).drop("codes")
     both = mine.join(codes.withColumnRenamed("doc_id", "keep_id"), "keep_id").withColumn("keep_words", stretch("keep_origin", "keep_stop"))
-    # a pair's chains are in one task, in order, so that those inside a passage that is already found are left out
-    rows = both.select("doc_id", "keep_id", "origin", "keep_origin", "matches", "words", "keep_words").sortWithinPartitions("doc_id", "keep_id", "origin", "matches")
-    return _aligned(rows, p).distinct()
+    return _aligned(both.select("doc_id", "keep_id", "origin", "keep_origin", "matches", "sizes", "words", "keep_words"), p).distinct()
 
 
 def cut_words(text: str, ranges: list[tuple[int, int]]) -> str:
