@@ -5,7 +5,7 @@ one fingerprint, how its fields become canonical turns; a new layout needs a new
 mapping and no code.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import xxhash
@@ -120,22 +120,42 @@ def canonical_turns(frame: DataFrame, id_column: str | None = None, mappings: tu
 def canonical_json(frame: DataFrame, json_column: str, id_column: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(id, layout, turns): JSON records of mixed layouts; each row's own field paths pick its mapping.
 
-    The paths come from the record's variant schema with the types left out.
+    Only paths that some mapping names count, as in `select_mapping`: further
+    fields, of records and of messages, are ignored.  The fields of a list are
+    those of its first element; an empty list stands for any of its kind.
     Rows that are no JSON or match no mapping have NULL layout and turns.
     """
-    shape = F.regexp_replace(F.schema_of_variant(F.try_parse_json(json_column)), r": (?!OBJECT|ARRAY)[A-Z]+(\([0-9,]*\))?", "")
-    frame = frame.select(F.col(id_column).alias("id"), F.col(json_column).alias("record"), F.xxhash64(shape).alias("key"))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
-    for m in mappings:
-        if m.group:
+    record = F.col(json_column)
+    layouts = [m for m in mappings if not m.group]
+    inner: dict[str, set[str]] = {}
+    for m in layouts:
+        for top, names in _tops(m).items():
+            inner.setdefault(top, set()).update(names)
+    paths = []
+    for top, names in sorted(inner.items()):
+        there = F.array_contains(F.json_object_keys(record), top)
+        if not names:
+            paths.append(F.when(there, F.array(F.lit(top))))
             continue
+        fields = F.array(*[F.lit(n) for n in sorted(names)])
+        found = F.array_intersect(fields, F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{top}[0]")), fields))
+        paths.append(F.when(there, F.transform(found, _behind(f"{top}[]."))))
+    none = F.array().cast("array<string>")
+    shape = F.array_join(F.flatten(F.array(*[F.coalesce(p, none) for p in paths])), "\n")
+    frame = frame.select(F.col(id_column).alias("id"), record.alias("record"), F.when(F.json_object_keys(record).isNotNull(), F.xxhash64(shape)).alias("key"))
+    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
+    for m in layouts:
         value = F.from_json("record", _json_schema(m))
         rows = F.flatten(F.array(*[_step(role, path, m, value) for role, path in m.steps]))
-        hit = F.col("key") == F.xxhash64(F.lit(_shape(m)))
+        hit = F.col("key") == F.xxhash64(F.lit("\n".join(p for top, names in sorted(_tops(m).items()) for p in ([f"{top}[].{n}" for n in sorted(names)] or [top]))))
         layout, turns = F.when(hit, m.name).otherwise(layout), F.when(hit, rows).otherwise(turns)
     return frame.select("id", layout.alias("layout"), turns.alias("turns"))
 
 
+def _behind(prefix: str) -> Callable[[Column], Column]:
+    return lambda name: F.concat(F.lit(prefix), name)
+
+
 def _tops(m: Mapping) -> dict[str, list[str]]:
     tops: dict[str, list[str]] = {}
     for path in m.paths:
@@ -148,11 +168,6 @@ def _json_schema(m: Mapping) -> str:
     return ", ".join(f"`{top}` " + (f"array<struct<{','.join(f'`{i}`:string' for i in inner)}>>" if inner else "string") for top, inner in _tops(m).items())
 
 
-def _shape(m: Mapping) -> str:
-    """What schema_of_variant says of a record of this layout, without the types."""
-    return "OBJECT<" + ", ".join(f"{top}: ARRAY<OBJECT<{', '.join(sorted(inner))}>>" if inner else top for top, inner in sorted(_tops(m).items())) + ">"
-
-
 def escape(text: Column) -> Column:
     """No `<|` is left in the result; reversible."""
     return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<|"), F.lit("&lt;|"))

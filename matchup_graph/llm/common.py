@@ -41,6 +41,12 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared storage."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; NULL counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -13,6 +13,7 @@ parallel prefix scan over the chunks of a text.
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pyarrow as pa
 import regex
@@ -40,6 +41,11 @@ class CountTransducer:
     def counts(self, texts: list[bytes]) -> list[int]:
         return self.bpe.encode_texts(texts, ids=False)
 
+    def learn(self, texts: set[str]) -> None:
+        """Count short texts together, so that `count` knows them."""
+        new = [t for t in texts if t not in self.short]
+        self.short.update(zip(new, self.counts([t.encode() for t in new]), strict=True))
+
     def count(self, text: str) -> int:
         """One text, as a rule a few characters where two chunks meet."""
         return self.short[text] if text else 0
@@ -167,8 +173,11 @@ def token_counts(docs: DataFrame, file: str = BYTE_FILE, limit: int = LIMIT, chu
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(file)
-        for batch in batches:
-            prefixes = [scan([ChunkMap(m["head"], m["tokens"], m["tail"]) for m in maps], machine) for maps in batch.column("maps").to_pylist()]
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            all_maps = [[ChunkMap(m["head"], m["tokens"], m["tail"]) for m in maps] for maps in batch.column("maps").to_pylist()]
+            machine.short.clear()
+            machine.learn({m.head for maps in all_maps for m in maps[:1]} | {maps[-1].tail or "" for maps in all_maps} | {(a.tail or "") + b.head for maps in all_maps for a, b in pairwise(maps)})
+            prefixes = [scan(maps, machine) for maps in all_maps]
             n = [run(p[-1], machine) for p in prefixes]
             before = [[certain(m, machine) for m in p[:-1]] for p in prefixes]
             columns = [pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(map(len, prefixes), pa.int64()), pa.array(before, pa.list_(pa.int64()))]

@@ -56,27 +56,27 @@ class DigestIndex:
 
 
 def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """All columns of docs with text_sha256, keep_id, group_size and kept; the index gains docs' new digests.
+    """All columns of docs but text, with text_sha256, keep_id, group_size and kept; the index gains docs' new digests.
 
     NULL text equals the empty one.  keep_id is the smallest non-NULL doc_id of
     the first call that had the digest; group_size counts this call's rows.
     Of repeated rows with the kept doc_id one stays.  A group without any doc_id
     keeps one row.  Columns of docs that clash with an added name are dropped.
+    Texts are digested once.  Groups are summed before they are shuffled, and
+    the join that gives each row its group is one that Spark can split where
+    thousands of copies share a digest.
     """
-    added = {"text_sha256", "keep_id", "group_size", "kept"}
-    plain = docs.select(*[c for c in docs.columns if c.lower() not in added], digest(F.col("text")).alias("digest"))
-    digests = plain.select("digest", "doc_id")
+    added = {"text", "text_sha256", "keep_id", "group_size", "kept"}
+    columns = [c for c in docs.columns if c.lower() not in added]
+    rows = cut(docs.select(*columns, digest(F.col("text")).alias("text_sha256"), F.monotonically_increasing_id().alias("number of row")))
+    digests = rows.select(F.col("text_sha256").alias("digest"), "doc_id")
     index.append_batches(digests)
-    sizes = digests.groupBy("digest").agg(F.count("*").alias("group_size"))
-    same_id = Window.partitionBy("digest", "doc_id").orderBy("doc_id")
-    return (
-        plain.withColumn("nth", F.row_number().over(same_id))
-        .join(index.read(), "digest")
-        .join(sizes, "digest")
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1))
-        .withColumnRenamed("digest", "text_sha256")
-        .drop("nth")
-    )
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("number of row").alias("row"))
+    groups = rows.groupBy(F.col("text_sha256").alias("digest")).agg(F.count("*").alias("group_size"), F.min(order)["row"].alias("first row"))
+    known = groups.join(index.read(), "digest").withColumnRenamed("digest", "digest of group")
+    joined = rows.join(known, F.col("text_sha256") == F.col("digest of group"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("number of row") == F.col("first row"))
+    return joined.select(*columns, "text_sha256", "keep_id", "group_size", kept.alias("kept"))
 
 
 def apply_exact(docs: DataFrame) -> DataFrame:

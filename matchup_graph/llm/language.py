@@ -8,11 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blobs, crc_mod
+from .common import blobs, crc_mod, text_batches, trim
 
 BUCKETS = 1 << 14
 SAMPLE_PER_LANGUAGE = 400
 UNKNOWN = "und"
+SLICES = 64
 
 
 def subwords(text: str) -> np.ndarray:
@@ -107,6 +108,7 @@ def train(texts: list[np.ndarray], labels: list[str], dims: int = 16, epochs: in
         p = np.exp(s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         right, top = p.argmax(axis=1) == y[held], p.max(axis=1)
+        model.reject_below = float("inf")  # unless some threshold is precise enough
         for threshold in np.sort(top):
             if right[top >= threshold].mean() >= precision:
                 model.reject_below = float(threshold)
@@ -118,13 +120,17 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> t
     """Feature rows of at most per_language labelled documents of each language, chosen by hash among the training fold.
 
     The bound limits what the driver gets: per_language rows of distinct buckets
-    per language.  Ranking by language is limited before its shuffle, so a
-    language that most documents have doesn't fill one task.
+    per language.  Rows are ranked in SLICES hashed slices of a language first
+    and the best of these within the language, so a language that most
+    documents have is never ranked by one task.
     """
     fold = docs.where((crc_mod("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = fold.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("doc_id").distinct()
-    chosen = fold.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    hashed = fold.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("slice", F.pmod("h", F.lit(SLICES)))
+    first = lambda frame, *by: frame.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("nth") <= per_language).drop("nth")
+    ids = first(first(hashed.distinct(), "lang", "slice"), "lang").select("doc_id").distinct()
+    rows_of = fold.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    # a doc_id that many rows have counts once, with its smallest row
+    chosen = rows_of.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.lang", "r.text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,13 +152,15 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> t
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted), one row per row of docs: a map over whole texts.
 
+    Each row is judged alone, so repeated rows give repeated rows; texts are read
+    whole; other columns are left out, whatever their names.
     accepted is False where the calibrated probability lies under the threshold
     of the model, and for NULL texts and texts without letters, which are `und`.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part, _ in text_batches(whole)):
             out = [model.predict(None if b is None else b.decode("utf-8", "replace")) for b in blobs(batch)]
             columns = [batch.column("doc_id"), batch.column("held_out"), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_())))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "accepted"])

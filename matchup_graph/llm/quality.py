@@ -19,14 +19,21 @@ SYMBOLS = b"#*$%&|<>"
 BOILERPLATE = re.compile(
     rb"licensed under|all rights reserved|copyright (\(c\)|\xc2\xa9|\d{4})|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies"
     rb"|subscribe to our|sign up for our|click here|enable javascript|skip to (main )?content|back to top|spdx-license-identifier|without warranty of any kind"
+    rb"|tous droits r\xc3\xa9serv\xc3\xa9s|mentions l\xc3\xa9gales|politique de confidentialit\xc3\xa9|conditions d'utilisation|cliquez ici|haut de page"
+    rb"|alle rechte vorbehalten|datenschutzerkl\xc3\xa4rung|nutzungsbedingungen|hier klicken|zum seitenanfang|cookie-einstellungen"
+    rb"|todos los derechos reservados|pol\xc3\xadtica de (privacidad|cookies)|aviso legal|t\xc3\xa9rminos de uso|haga clic aqu\xc3\xad"
 )
 #: Signs between the items of a menu.
 SEPARATOR = re.compile(rb"\s+(?:[/|>]|->|\xc2\xb7|\xc2\xbb|\xe2\x80\xa2|\xe2\x80\xba|\xe2\x86\x92)\s+")
+#: Signs that only stand between the steps of a path through a site, where two items are enough.
+BREADCRUMB = re.compile(rb"\s+(?:\xc2\xbb|\xe2\x80\xba)\s+")
 #: One sign over and over.
 RULER = re.compile(rb"([-=_~.+*#])\1{2,}")
 LINK_WORDS = frozenset(
     b"home about contact login logout register sitemap products services blog news faq help search cart checkout account profile privacy terms"
-    b" careers support docs api next previous prev menu back share tweet subscribe download downloads forum gallery archive archives categories".split()
+    b" careers support docs api next previous prev menu back share tweet subscribe download downloads forum gallery archive archives categories"
+    b" accueil produits actualit\xc3\xa9s connexion panier recherche aide startseite produkte kontakt impressum datenschutz anmelden warenkorb suche hilfe"
+    b" inicio productos contacto noticias carrito buscar ayuda".split()
 )
 
 
@@ -73,6 +80,8 @@ def is_menu(line: bytes, words: list[bytes], rules: Rules) -> bool:
     if words[-1][-1:] in b".!?:;,":
         return False
     items = SEPARATOR.split(line.strip())
+    if len(items) == 2 and BREADCRUMB.search(line):
+        return all(len(item.split()) <= rules.item_words for item in items)
     if len(items) >= rules.menu_items:
         sizes = [len(item.split()) for item in items]
         # figures between signs are tables or sums
@@ -164,10 +173,15 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def apply_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Kept documents with failing lines removed, in docs' own columns; n_chars follows the text."""
-    judged = quality_rules(docs, rules).where("kept")
+    """Kept documents with failing lines removed, in docs' own columns, whatever their names; n_chars follows the text.
+
+    NULL and empty texts fail; NULLs in other columns stay; repeated rows are
+    judged one by one.
+    """
+    names = {c: f"{i} of document" for i, c in enumerate(docs.columns) if c != "text"}
+    judged = quality_rules(docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns]), rules).where("kept")
     new = {"text": F.col("clean_text")} | ({"n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return judged.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return judged.select(*[new.get(c, F.col(f"`{names.get(c, c)}`")).alias(c) for c in docs.columns])
 
 
 def op1(docs: DataFrame) -> DataFrame:

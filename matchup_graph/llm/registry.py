@@ -2,13 +2,13 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import bpe, chat, counts, exact, language, lm, packing, quality, simhash, substrings
 from .common import SPACE, documents
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it lies at the repository's top, which the subpackage alone doesn't need
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
@@ -34,5 +34,5 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op7_exact_dedup": _OP7_SQL, "op9_chat_formatting": chat.OP9_SQL}
-    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    """SQL of op7 and op9; no SQL expresses the pipeline's near-duplicate and passage stages (corpus_pipeline.ORACLE_SQL is None)."""
+    return {"op7_exact_dedup": _OP7_SQL, "op9_chat_formatting": chat.OP9_SQL}

@@ -3,10 +3,10 @@ import pytest
 from matchup_graph.llm import quality
 from test_operators import prose
 
-MENUS = ["Home / Products / Contact / Login", "Home · About · Contact", "Home » Docs » API", "Home About Contact Login Register", "home > news > archive", "Home • Our team • Press"]
+MENUS = ["Home / Products / Contact / Login", "Home · About · Contact", "Home » Docs » API", "Home About Contact Login Register", "home > news > archive", "Home • Our team • Press", "Accueil » Produits", "Startseite Produkte Kontakt Impressum"]
 
 
-@pytest.mark.parametrize("line", [*MENUS, "-----", "= = =", "Home\nAbout us\n\nProducts\nContact"])
+@pytest.mark.parametrize("line", [*MENUS, "-----", "= = =", "Tous droits réservés 2021", "Alle Rechte vorbehalten.", "Todos los derechos reservados", "Home\nAbout us\n\nProducts\nContact"])
 def test_menus_and_rulers_go(line):
     text = prose(200, 5)
     assert quality.clean_lines(f"{text}\n{line}\n{text[::-1]}".encode())[0].replace(b"\n\n", b"\n") == f"{text}\n{text[::-1]}".encode()
