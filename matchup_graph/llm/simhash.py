@@ -14,6 +14,7 @@ has at most 2^17 fingerprints, whatever the corpus.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,9 @@ def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     min-hashes give the candidates and whole sets decide.  In each band all are
     compared with the smallest doc_id; those that aren't near it are compared
     among themselves in the next round, until none is left, so candidates never
-    grow with the square of a band.
+    grow with the square of a band.  A link between one that is near the
+    smallest and one that isn't is tried in the other bands that both share.
+    NULL doc_ids are left out; NULL and empty texts are one shingle, the empty one.
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets = lambda frame: map_texts(frame, lambda text: (shingle_hashes(text, width).tobytes(),), "hashes binary", ["doc_id"])
@@ -157,21 +160,22 @@ def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(near, pa.bool_())], ["u", "v", "near"])
 
     keyed = map_texts(docs, lambda text: (band_keys(shingle_hashes(text, width)),), "bands array<bigint>", ["doc_id"])
-    waiting = keyed.select("doc_id", F.explode("bands").alias("band")).distinct()
-    known = None
+    bands = cut(keyed.select("doc_id", F.explode("bands").alias("band")).distinct())
+    least = lambda frame: frame.groupBy("band").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("last > v").drop("last")
+    # only documents that share a band with another one go on, and their sets are made once
+    waiting = cut(bands.join(least(bands).select("band"), "band", "left_semi"))
+    ids = cut(waiting.select("doc_id").distinct())
+    hashed = cut(sets(docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")))
+    left, right = hashed.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), hashed.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b"))
+    near = []
     while True:
-        least = waiting.groupBy("band").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("last > v").drop("last")
-        tried = cut(waiting.join(least, "band").where("doc_id > v").select(F.col("doc_id").alias("u"), "v", "band"))
-        pairs = tried.select("u", "v").distinct()
-        pairs = cut(pairs if known is None else pairs.join(known, ["u", "v"], "left_anti"))
-        ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-        wanted = sets(docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else docs)
-        both = pairs.join(wanted.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), "u").join(wanted.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b")), "v")
-        judged = both.select("u", "v", "a", "b").mapInArrow(verdicts, "u bigint, v bigint, near boolean").groupBy("u", "v").agg(F.max("near").alias("near"))
-        known = cut(judged if known is None else known.union(judged))
-        waiting = cut(tried.join(known.where("not near"), ["u", "v"]).select(F.col("u").alias("doc_id"), "band"))
+        tried = cut(waiting.join(least(waiting), "band").where("doc_id > v").select(F.col("doc_id").alias("u"), "v", "band"))
+        both = tried.select("u", "v").distinct().join(left, "u").join(right, "v").select("u", "v", "a", "b")
+        judged = cut(both.mapInArrow(verdicts, "u bigint, v bigint, near boolean").groupBy("u", "v").agg(F.max("near").alias("near")))
+        near.append(judged.where("near").select("u", "v"))
+        waiting = cut(tried.join(judged.where("not near"), ["u", "v"]).select(F.col("u").alias("doc_id"), "band"))
         if waiting.isEmpty():
-            return known.where("near").select("u", "v")
+            return reduce(DataFrame.union, near)
 
 
 def apply_simhash(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
