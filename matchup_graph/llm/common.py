@@ -41,6 +41,12 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what earlier rounds of a loop left in the driver: Spark's cleaner drops broadcasts and plans only after a collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the shared storage."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,4 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
         if new == state:
             break
         state = new
+        release(edges.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, map_texts, release
 from .components import components
 
 SEED = 42
@@ -174,6 +174,7 @@ def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
         judged = cut(both.mapInArrow(verdicts, "u bigint, v bigint, near boolean").groupBy("u", "v").agg(F.max("near").alias("near")))
         near.append(judged.where("near").select("u", "v"))
         waiting = cut(tried.join(judged.where("not near"), ["u", "v"]).select(F.col("u").alias("doc_id"), "band"))
+        release(docs.sparkSession)
         if waiting.isEmpty():
             return reduce(DataFrame.union, near)
 
