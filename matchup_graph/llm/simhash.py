@@ -119,6 +119,8 @@ def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
 
 #: Texts of similarity s share one of BANDS keys of ROWS min-hashes with probability 1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8.
 BANDS, ROWS = 20, 5
+#: Documents of a band that all others of it are compared with in one round, at most.
+HEADS = 16
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -138,11 +140,13 @@ def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 
     64 bits can't find them: at 0.8 fingerprints differ in about ten bits, so
     no segment that differs by one bit has enough bits to be a key.  Bands of
-    min-hashes give the candidates and whole sets decide.  In each band all are
-    compared with the smallest doc_id; those that aren't near it are compared
-    among themselves in the next round, until none is left, so candidates never
-    grow with the square of a band.  A link between one that is near the
-    smallest and one that isn't is tried in the other bands that both share.
+    min-hashes give the candidates and whole sets decide.  In each round all of
+    a band are compared with its heads, at first the smallest doc_id, then twice
+    as many a round up to HEADS; the heads and those near one leave the band,
+    and the rounds go on with the others until none is left.  So a round's
+    candidates grow with a band, not with its square, and the rounds with the
+    number of unlike texts in a band.  A link between one that is near a head
+    and one that isn't is tried in the other bands that both share.
     NULL doc_ids are left out; NULL and empty texts are one shingle, the empty one.
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -157,26 +161,32 @@ def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                     a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                     same = len(np.intersect1d(a, b, assume_unique=True))
                     near.append(same >= similarity * (len(a) + len(b) - same))
-                yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(near, pa.bool_())], ["u", "v", "near"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "v", "bands")), pa.array(near, pa.bool_())], ["u", "v", "bands", "near"])
 
     keyed = map_texts(docs, lambda text: (band_keys(shingle_hashes(text, width)),), "bands array<bigint>", ["doc_id"])
     bands = cut(keyed.select("doc_id", F.explode("bands").alias("band")).distinct())
-    least = lambda frame: frame.groupBy("band").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("last > v").drop("last")
+    several = lambda frame: frame.join(frame.groupBy("band").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("last > v").select("band"), "band", "left_semi")
     # only documents that share a band with another one go on, and their sets are made once
-    waiting = cut(bands.join(least(bands).select("band"), "band", "left_semi"))
+    waiting = cut(several(bands))
     ids = cut(waiting.select("doc_id").distinct())
     hashed = cut(sets(docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")))
     left, right = hashed.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), hashed.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b"))
-    near = []
+    near, heads = [], 1
     while True:
-        tried = cut(waiting.join(least(waiting), "band").where("doc_id > v").select(F.col("doc_id").alias("u"), "v", "band"))
-        both = tried.select("u", "v").distinct().join(left, "u").join(right, "v").select("u", "v", "a", "b")
-        judged = cut(both.mapInArrow(verdicts, "u bigint, v bigint, near boolean").groupBy("u", "v").agg(F.max("near").alias("near")))
+        # each band's heads, and all others of the band against each of them; a pair that shares several bands is compared once
+        head = waiting.groupBy("band", F.pmod(F.xxhash64("doc_id"), F.lit(heads)).alias("part")).agg(F.min("doc_id").alias("head")).drop("part")
+        tried = waiting.join(head, "band").where("doc_id <> head")
+        pairs = tried.groupBy(F.greatest("doc_id", "head").alias("u"), F.least("doc_id", "head").alias("v")).agg(F.collect_set("band").alias("bands"))
+        both = pairs.join(left, "u").join(right, "v").select("u", "v", "bands", "a", "b")
+        judged = cut(both.mapInArrow(verdicts, "u bigint, v bigint, bands array<bigint>, near boolean"))
         near.append(judged.where("near").select("u", "v"))
-        waiting = cut(tried.join(judged.where("not near"), ["u", "v"]).select(F.col("u").alias("doc_id"), "band"))
+        # heads and what is near one have met all that their band can tell them
+        met = head.select(F.col("head").alias("doc_id"), "band").union(judged.where("near").select(F.explode(F.array("u", "v")).alias("doc_id"), "bands").select("doc_id", F.explode("bands").alias("band")).distinct())
+        waiting = cut(several(waiting.join(met, ["doc_id", "band"], "left_anti")))
         release(docs.sparkSession)
         if waiting.isEmpty():
             return reduce(DataFrame.union, near)
+        heads = min(2 * heads, HEADS)
 
 
 def apply_simhash(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
