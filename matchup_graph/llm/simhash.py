@@ -120,7 +120,7 @@ def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
 #: Texts of similarity s share one of BANDS keys of ROWS min-hashes with probability 1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8.
 BANDS, ROWS = 20, 5
 #: Documents of a band that all others of it are compared with in one round, at most.
-HEADS = 16
+HEADS = 256
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -141,8 +141,9 @@ def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     64 bits can't find them: at 0.8 fingerprints differ in about ten bits, so
     no segment that differs by one bit has enough bits to be a key.  Bands of
     min-hashes give the candidates and whole sets decide.  In each round all of
-    a band are compared with its heads, at first the smallest doc_id, then twice
-    as many a round up to HEADS; the heads and those near one leave the band,
+    a band are compared with its heads, at first the smallest doc_id, then four
+    times as many a round up to HEADS, unless the sizes of the two sets rule the
+    similarity out; the heads and those near one leave the band,
     and the rounds go on with the others until none is left.  So a round's
     candidates grow with a band, not with its square, and the rounds with the
     number of unlike texts in a band.  A link between one that is near a head
@@ -163,8 +164,12 @@ def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                     near.append(same >= similarity * (len(a) + len(b) - same))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "v", "bands")), pa.array(near, pa.bool_())], ["u", "v", "bands", "near"])
 
-    keyed = map_texts(docs, lambda text: (band_keys(shingle_hashes(text, width)),), "bands array<bigint>", ["doc_id"])
-    bands = cut(keyed.select("doc_id", F.explode("bands").alias("band")).distinct())
+    def keys(text: bytes | None) -> tuple:
+        hashes = shingle_hashes(text, width)
+        return band_keys(hashes), len(hashes)
+
+    keyed = map_texts(docs, keys, "bands array<bigint>, n int", ["doc_id"])
+    bands = cut(keyed.select("doc_id", "n", F.explode("bands").alias("band")).distinct())
     several = lambda frame: frame.join(frame.groupBy("band").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("last > v").select("band"), "band", "left_semi")
     # only documents that share a band with another one go on, and their sets are made once
     waiting = cut(several(bands))
@@ -174,8 +179,9 @@ def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     near, heads = [], 1
     while True:
         # each band's heads, and all others of the band against each of them; a pair that shares several bands is compared once
-        head = waiting.groupBy("band", F.pmod(F.xxhash64("doc_id"), F.lit(heads)).alias("part")).agg(F.min("doc_id").alias("head")).drop("part")
-        tried = waiting.join(head, "band").where("doc_id <> head")
+        head = waiting.groupBy("band", F.pmod(F.xxhash64("doc_id"), F.lit(heads)).alias("part")).agg(F.min(F.struct("doc_id", "n")).alias("first"))
+        head = head.select("band", F.col("first.doc_id").alias("head"), F.col("first.n").alias("size"))
+        tried = waiting.join(head, "band").where((F.col("doc_id") != F.col("head")) & (F.least("n", "size") >= similarity * F.greatest("n", "size")))
         pairs = tried.groupBy(F.greatest("doc_id", "head").alias("u"), F.least("doc_id", "head").alias("v")).agg(F.collect_set("band").alias("bands"))
         both = pairs.join(left, "u").join(right, "v").select("u", "v", "bands", "a", "b")
         judged = cut(both.mapInArrow(verdicts, "u bigint, v bigint, bands array<bigint>, near boolean"))
@@ -186,7 +192,7 @@ def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
         release(docs.sparkSession)
         if waiting.isEmpty():
             return reduce(DataFrame.union, near)
-        heads = min(2 * heads, HEADS)
+        heads = min(4 * heads, HEADS)
 
 
 def apply_simhash(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
