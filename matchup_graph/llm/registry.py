@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, counts, exact, language, lm, packing, quality, simhash, substrings
+from . import bpe, chat, counts, exact, language, lm, negatives, packing, quality, resampling, sharding, simhash, substrings
 from .common import SPACE, documents
 
 
@@ -25,6 +25,9 @@ def queries() -> dict:
         "op8_language_id": over(language.op8),
         "op9_chat_formatting": lambda spark, sf_dir: chat.op9(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
         "op10_best_fit_packing": over(packing.op10),
+        "op11_hilbert_sharding": over(sharding.op11),
+        "op12_importance_resampling": lambda spark, sf_dir: resampling.op12(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
+        "op13_hard_negatives": lambda spark, sf_dir: negatives.op13(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
         "pipeline": pipeline,
     }
 
@@ -34,5 +37,11 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of op7 and op9; no SQL expresses the pipeline's near-duplicate and passage stages (corpus_pipeline.ORACLE_SQL is None)."""
-    return {"op7_exact_dedup": _OP7_SQL, "op9_chat_formatting": chat.OP9_SQL}
+    """SQL of op7, op9 and op11 to op13; no SQL expresses the pipeline's near-duplicate and passage stages (corpus_pipeline.ORACLE_SQL is None)."""
+    return {
+        "op7_exact_dedup": _OP7_SQL,
+        "op9_chat_formatting": chat.OP9_SQL,
+        "op11_hilbert_sharding": sharding.OP11_SQL,
+        "op12_importance_resampling": resampling.OP12_SQL,
+        "op13_hard_negatives": negatives.OP13_SQL,
+    }
