@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cards import DECK_SIZE, archetypes, card_ids, check_k, is_hex_deck, pack_deck, to_hex
+from .skew import deal
 
 WARN_K = 5
 
@@ -69,27 +70,51 @@ def packed_nodes(decoded: DataFrame, k: int) -> DataFrame:
     )
 
 
-def packed_edges(decoded: DataFrame, k: int, salt: int = 1, partitions: int | None = None) -> DataFrame:
+def deck_pairs(decoded: DataFrame) -> DataFrame:
+    """Games and own wins by directed pair of whole decks."""
+    return sides(decoded).groupBy("own", "other").agg(F.count("*").alias("count"), F.sum("win").alias("wins"))
+
+
+def _count_targets(dealt: DataFrame, keys: list[str], k: int, sums: list[str]) -> DataFrame:
+    """Rows that are dealt by `keys` -> sums by keys and target, without another shuffle."""
+    totals = [F.sum(c).alias(c) for c in sums]
+    by_deck = dealt.groupBy(*keys, "other").agg(*totals)
+    return by_deck.select(*keys, F.explode(archetypes(F.col("other"), k)).alias("target"), *sums).groupBy(*keys, "target").agg(*totals)
+
+
+def edges_of_pairs(pairs: DataFrame, k: int, partitions: int | None = None) -> DataFrame:
+    """Pairs of decks (own, other, sums...) -> the sums by packed (source, target), however popular a source is.
+
+    Pairs are counted before, so a pair that holds a third of all games is one
+    row for each of its sources.  A sketch of the sources finds those too heavy
+    for a task; only they are spread, by the other deck, and summed again.  All
+    three uses of the pairs read the same shuffle.
+    """
+    sums = [c for c in pairs.columns if c not in ("own", "other")]
+    rows = pairs.select(F.explode(archetypes(F.col("own"), k)).alias("source"), "other", *sums)
+    light, split = deal(rows, "source", "other", partitions)
+    spread = _count_targets(split, ["source", "salt"], k, sums).groupBy("source", "target").agg(*[F.sum(c).alias(c) for c in sums])
+    return _count_targets(light, ["source"], k, sums).unionByName(spread)
+
+
+def packed_edges(decoded: DataFrame, k: int, salt: int | None = None, partitions: int | None = None) -> DataFrame:
     """Match-ups by packed (source, target).
 
-    Rows are dealt once, by source, while they still carry the whole other deck:
-    2 C(8,k) rows a game are shuffled and not 2 C(8,k)^2, and both counts after
-    it keep that partitioning.  salt > 1 spreads a hot source over that many
-    tasks and adds a small final sum.
+    Rows are dealt by source while they still carry the whole other deck:
+    2 C(8,k) rows a game are shuffled at most and not 2 C(8,k)^2, and both counts
+    after it keep that partitioning.  Hot sources are found and spread by
+    themselves; salt sets the plain form instead, where each source has so many
+    parts: 1 deals once and doesn't look for hot sources.
     """
+    if salt is None:
+        return edges_of_pairs(deck_pairs(decoded), k, partitions)
     if salt < 1:
         raise ValueError(f"salt must be at least 1, not {salt}")
-    rows = sides(decoded).select(F.explode(archetypes(F.col("own"), k)).alias("source"), "other", "win")
+    rows = sides(decoded).select(F.explode(archetypes(F.col("own"), k)).alias("source"), "other", F.lit(1).cast("bigint").alias("count"), F.col("win").alias("wins"))
     keys = ["source"]
     if salt > 1:
         rows, keys = rows.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(salt))), ["source", "salt"]
-    dealt = rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)
-    by_deck = dealt.groupBy(*keys, "other").agg(F.count("*").alias("count"), F.sum("win").alias("wins"))
-    counted = (
-        by_deck.select(*keys, F.explode(archetypes(F.col("other"), k)).alias("target"), "count", "wins")
-        .groupBy(*keys, "target")
-        .agg(F.sum("count").alias("count"), F.sum("wins").alias("wins"))
-    )
+    counted = _count_targets(rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys), keys, k, ["count", "wins"])
     if salt > 1:
         counted = counted.groupBy("source", "target").agg(F.sum("count").alias("count"), F.sum("wins").alias("wins"))
     return counted
@@ -108,7 +133,7 @@ def nodes(decoded: DataFrame, k: int) -> DataFrame:
     return hex_nodes(packed_nodes(decoded, k), k)
 
 
-def edges(decoded: DataFrame, k: int, salt: int = 1, partitions: int | None = None, max_rows: int | None = None) -> DataFrame:
+def edges(decoded: DataFrame, k: int, salt: int | None = None, partitions: int | None = None, max_rows: int | None = None) -> DataFrame:
     """(source, target, count, wins) with archetypes in hex.
 
     max_rows: refuse, before any shuffle, a job that would give more match-up records.
@@ -137,16 +162,14 @@ def generation_report(clean: DataFrame, k: int) -> DataFrame:
 
     Games are counted by pair of decks first; all figures come from that one
     shuffle, which Spark reuses, so lines are cleaned once.  Undecodable games
-    are one pair of NULL decks, whose archetypes no count takes.
+    are one pair of NULL decks.  Hot sources are spread as for the edges.
     """
     node_n, edge_n = rows_per_game(k)
     good = F.coalesce(is_hex_deck(F.col("deck0")) & is_hex_deck(F.col("deck1")) & F.col("winner").isin("-1", "0", "1"), F.lit(False))
     decks = [F.when(good, pack_deck(card_ids(F.col(f"deck{i}")))).alias(f"d{i}") for i in (0, 1)]
     pairs = clean.select(*decks).groupBy("d0", "d1").agg(F.count("*").alias("games"))
     both = F.array(*[F.struct(F.col(a).alias("own"), F.col(b).alias("other"), "games") for a, b in (("d0", "d1"), ("d1", "d0"))])
-    rows = pairs.select(F.inline(both)).select(F.explode(archetypes(F.col("own"), k)).alias("source"), "other", "games")
-    found = rows.repartition("source").groupBy("source", "other").agg(F.sum("games").alias("games"))
-    edge_rows = found.select("source", F.explode(archetypes(F.col("other"), k)).alias("target"), "games").groupBy("source", "target").agg(F.sum("games").alias("games"))
+    edge_rows = edges_of_pairs(pairs.select(F.inline(both)).where("own IS NOT NULL").groupBy("own", "other").agg(F.sum("games").alias("games")), k)
     by_source = edge_rows.groupBy("source").agg(F.count("target").alias("targets"))
     known = F.col("d0").isNotNull()
     games = pairs.agg(*[F.coalesce(F.sum(F.when(x, F.col("games"))), F.lit(0)).cast("bigint").alias(n) for n, x in (("games", known), ("skipped", ~known))])

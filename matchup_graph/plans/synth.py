@@ -3,7 +3,9 @@
 Every event gives a base record; some also give a copy or a broken record.
 """
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (condition on event_id, seconds added to the date, change of the record)
@@ -76,3 +78,12 @@ def game_lines_sql() -> str:
     selects = [f"SELECT {_line(date(0), 'same')} AS line FROM base"]
     selects += [f"SELECT {_line(date(shift), change)} FROM base WHERE {when}" for when, shift, change in COPIES]
     return f"base AS (SELECT {_BASE} FROM events),\nraw AS (\n" + "\nUNION ALL ".join(selects) + ")"
+
+
+def zipf_games(spark: SparkSession, games: int, decks: int = 30_000, cards: int = 110) -> DataFrame:
+    """(d0, d1, winner)-like decoded games for measuring: deck n is played in proportion to 1 / n, low cards are the popular ones."""
+    part = lambda *by: F.pmod(F.xxhash64(*by), F.lit(1 << 30)) / float(1 << 30)  # noqa: E731  a fraction below 1
+    deck = lambda side: F.floor(F.exp(part("id", F.lit(side)) * math.log(decks))).cast("int")
+    card = lambda d, i: F.floor(cards * F.pow(part(d, F.lit(i)), 2)).cast("bigint")
+    drawn = spark.range(games).select("id", deck(0).alias("a"), deck(1).alias("b"))
+    return drawn.select(*[F.array(*[card(d, i) for i in range(8)]).alias(f"cards{n}") for n, d in enumerate("ab")], (F.pmod("id", F.lit(3)) - 1).cast("int").alias("winner"))

@@ -1,17 +1,21 @@
 import json
 from collections import Counter
 from itertools import combinations
+from statistics import median
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from matchup_graph.functions.cards import archetypes
 from matchup_graph.functions.stats import slope_p_value
 from matchup_graph.operators import clean as C
 from matchup_graph.operators import graph as G
 from matchup_graph.operators import nullmodel as N
+from matchup_graph.operators.skew import deal, heavy_keys
 from matchup_graph.plans import jobs
+from matchup_graph.plans.synth import zipf_games
 from matchup_graph.sources import tables as T
 
 A, B = "0102030405060708", "1112131415161718"
@@ -99,7 +103,7 @@ def test_nodes_and_edges_match_brute_force(spark, k):
     d = decoded(spark, GAMES)
     nodes, edges = brute(GAMES, k)
     assert {r.archetype: (r["count"], r.wins) for r in G.nodes(d, k).collect()} == nodes
-    for salt in (1, 3):
+    for salt in (None, 1, 3):
         assert {(r.source, r.target): (r["count"], r.wins) for r in G.edges(d, k, salt=salt).collect()} == edges
     if k in (1, 7, 8):
         plain = G.matchups(d, k).groupBy("source", "target").agg(F.count("*"), F.sum("win")).collect()
@@ -156,8 +160,45 @@ def test_plans(spark):
 
     p = plan(C.clean_games(frame(spark, [game()])))
     assert p.count("Exchange hashpartitioning") == 1 and "Python" not in p
-    p = plan(G.packed_edges(decoded(spark, GAMES), 2))
+    p = plan(G.packed_edges(decoded(spark, GAMES), 2, salt=1))
     assert p.count("Exchange hashpartitioning") == 1 and "Python" not in p
+    p = plan(G.packed_edges(decoded(spark, GAMES), 2))
+    assert "approx_top_k" in p and "Python" not in p
+
+
+def loads(dealt):
+    return sorted(r.n for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+
+
+@pytest.mark.parametrize("k", [1, 2, 7])
+def test_hot_sources_are_found_and_spread(spark, k):
+    n = 16
+    d = zipf_games(spark, 4000, decks=600).cache()
+    rows = G.deck_pairs(d).select(F.explode(archetypes(F.col("own"), k)).alias("source"), "other", "count").cache()
+    light, split = deal(rows, "source", "other", n)
+    assert rows.exceptAll(light.unionByName(split.drop("salt"))).isEmpty() and light.count() + split.count() == rows.count()
+    plain = rows.repartition(n, "source")
+    if k == 1:  # of 110 cards few are played often
+        assert loads(plain)[-1] > 3 * median(loads(plain))
+    for part in (light, split):
+        found = loads(part)
+        assert not found or found[-1] < 3 * median(found) or found[-1] < rows.count() / n  # a task below the mean of all may stand out in its exchange
+    # keys of three fourths of a partition's mean rows or more are listed, and none below half of it but for the sketch's error
+    exact = {r.source: r["count"] for r in rows.groupBy("source").count().collect()}
+    listed, mean = {r.source: r.parts for r in heavy_keys(rows, "source", n).collect()}, rows.count() / n
+    assert {s for s, c in exact.items() if c >= 0.75 * mean} <= set(listed) and all(exact[s] >= 0.25 * mean for s in listed)
+    assert all(parts >= 8 * exact[s] / mean - 3 for s, parts in listed.items())
+    assert G.packed_edges(d, k).exceptAll(G.packed_edges(d, k, salt=1)).isEmpty()
+
+
+def test_a_pair_that_holds_a_third_of_all_games(spark):
+    d = zipf_games(spark, 600, decks=60)
+    hot = spark.range(300).select(*[F.array(*[F.lit(16 * n + i).cast("bigint") for i in range(8)]).alias(f"cards{n}") for n in (0, 1)], F.lit(0).alias("winner"))
+    both = d.union(hot)
+    assert G.packed_edges(both, 2, partitions=8).exceptAll(G.packed_edges(both, 2, salt=1)).isEmpty()
+    rows = G.deck_pairs(both).select(F.explode(archetypes(F.col("own"), 2)).alias("source"), "other")
+    assert max(r["count"] for r in rows.groupBy("source", "other").count().collect()) <= 28 * 28  # one row for each own deck's subset, however many games
+    assert heavy_keys(rows.limit(0), "source", 8).count() == 0
 
 
 def test_predictions(spark):
