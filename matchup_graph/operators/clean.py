@@ -1,6 +1,9 @@
 """Parse raw game lines, validate them, and drop exact and near-simultaneous copies."""
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: Only the fields that a later step reads; numbers arrive as text so that "3" and 3 agree.
@@ -113,15 +116,68 @@ def reject_reasons(lines: DataFrame, column: str = "value") -> DataFrame:
     return flat.select(reason.alias("reason")).where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def copies_report(gaps: DataFrame, threshold_seconds: int = THRESHOLD_SECONDS) -> DataFrame:
-    """One row: exact and temporal copies, rows and bytes out, of games with their gaps."""
+REASONS = ("not_json", "players", "fields", "deck_length", "date_length", "timestamp")
+
+
+def observed_clean(lines: DataFrame, read: Observation, kept: Observation, threshold_seconds: int = THRESHOLD_SECONDS, column: str = "value") -> DataFrame:
+    """Clean games whose one pass also fills two observations: of the lines read, and of the games and their copies."""
+    reason = F.coalesce("reason", F.when(instant(F.col("date")).isNull(), "timestamp"))
+    flat = flatten(parse_games(lines, column)).withColumn("why", reason).observe(read, *_read_figures(F.col("why") == "timestamp"), *[F.count(F.when(F.col("why") == r, 1)).alias(f"rejected_{r}") for r in REASONS])
+    gaps = with_gaps(with_keys(flat).where(F.col("ts").isNotNull())).observe(kept, *_copy_figures(threshold_seconds))
+    return gaps.where(F.col("gap").isNull() | (F.col("gap") > threshold_seconds)).drop("gap", "same_line")
+
+
+def clean_and_report(lines: DataFrame, write: Callable[[DataFrame], int], threshold_seconds: int = THRESHOLD_SECONDS, column: str = "value") -> tuple[dict, dict]:
+    """Clean the lines and write the games with write(frame), which returns the rows written: the report's figures, and rejected rows by reason.
+
+    Figures are taken while the games are written, so lines are read once.
+    Spark may count a task twice when an executor is lost; then the figures no
+    longer add up or disagree with the rows written, and the lines are counted anew.
+    """
+    read, kept = Observation("read"), Observation("kept")
+    written = write(observed_clean(lines, read, kept, threshold_seconds, column))
+    figures, reasons = _figures(read, kept)
+    rejected = sum(n for r, n in reasons.items() if r != "timestamp")
+    copies = figures.get("exact_copies", 0) + figures.get("temporal_copies", 0)
+    if not figures or figures["input_rows"] != figures["valid_rows"] + rejected or figures["valid_rows"] - figures["bad_timestamps"] - copies != figures["output_rows"] or figures["output_rows"] != written:
+        return clean_report(lines, threshold_seconds, column).first().asDict(), {r["reason"]: r["n"] for r in reject_reasons(lines, column).collect()}
+    figures["reduction_pct"] = round(100 - 100 * figures["bytes_out"] / figures["bytes_in"], 4) if figures["bytes_in"] else None
+    return figures, reasons
+
+
+def _figures(read: Observation, kept: Observation) -> tuple[dict, dict]:
+    """What both have observed, and the rejected rows by reason; nothing where Spark saw beforehand that no rows come and left them out."""
+    try:
+        figures = read.get | kept.get
+    except Py4JJavaError:
+        return {}, {}
+    return figures, {r: n for r in REASONS if (n := figures.pop(f"rejected_{r}"))}
+
+
+def _read_figures(bad: Column) -> list[Column]:
+    """Figures of flat rows; bad marks accepted rows without a usable instant."""
+    return [
+        F.count("*").alias("input_rows"),
+        F.count(F.when(F.col("reason").isNull(), 1)).alias("valid_rows"),
+        F.count(F.when(F.col("reason").isNull() & bad, 1)).alias("bad_timestamps"),
+        F.coalesce(F.sum(F.length("line")), F.lit(0)).cast("bigint").alias("bytes_in"),
+    ]
+
+
+def _copy_figures(threshold_seconds: int) -> list[Column]:
+    """Figures of games with their gaps."""
     kept = F.col("gap").isNull() | (F.col("gap") > threshold_seconds)
-    return gaps.agg(
+    return [
         F.count(F.when(F.col("same_line"), 1)).alias("exact_copies"),
         F.count(F.when(~kept & ~F.col("same_line"), 1)).alias("temporal_copies"),
         F.count(F.when(kept, 1)).alias("output_rows"),
         F.coalesce(F.sum(F.when(kept, F.length("line"))), F.lit(0)).cast("bigint").alias("bytes_out"),
-    )
+    ]
+
+
+def copies_report(gaps: DataFrame, threshold_seconds: int = THRESHOLD_SECONDS) -> DataFrame:
+    """One row: exact and temporal copies, rows and bytes out, of games with their gaps."""
+    return gaps.agg(*_copy_figures(threshold_seconds))
 
 
 def clean_report(lines: DataFrame, threshold_seconds: int = THRESHOLD_SECONDS, column: str = "value") -> DataFrame:
@@ -130,12 +186,7 @@ def clean_report(lines: DataFrame, threshold_seconds: int = THRESHOLD_SECONDS, c
     Lines are read twice but the wide rows are shuffled once.
     """
     flat = flatten(parse_games(lines, column))
-    heads = flat.agg(
-        F.count("*").alias("input_rows"),
-        F.count(F.when(F.col("reason").isNull(), 1)).alias("valid_rows"),
-        F.count(F.when(F.col("reason").isNull() & instant(F.col("date")).isNull(), 1)).alias("bad_timestamps"),
-        F.coalesce(F.sum(F.length("line")), F.lit(0)).cast("bigint").alias("bytes_in"),
-    )
+    heads = flat.agg(*_read_figures(instant(F.col("date")).isNull()))
     tails = copies_report(with_gaps(with_keys(flat).where(F.col("ts").isNotNull())), threshold_seconds)
     return heads.crossJoin(F.broadcast(tails)).withColumn(
         "reduction_pct", F.when(F.col("bytes_in") > 0, F.round(100 - 100 * F.col("bytes_out") / F.col("bytes_in"), 4))

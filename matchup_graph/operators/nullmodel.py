@@ -6,6 +6,16 @@ from pyspark.sql import functions as F
 from ..functions.stats import slope_p_value
 
 
+def with_total(edge_rows: DataFrame, node_rows: DataFrame, side: str) -> DataFrame:
+    """Edges whose `side` is a counted node, with its count as total_<side>.
+
+    Tables bucketed by source and by archetype (write_bucketed) meet on the
+    source without a shuffle of either.
+    """
+    known = node_rows.where(F.col("count") > 0).select(F.col("archetype").alias(side), F.col("count").alias(f"total_{side}"))
+    return edge_rows.join(known, side)
+
+
 def predictions(edge_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
     """Edges with both node totals and count_source * count_target / total.
 
@@ -14,10 +24,8 @@ def predictions(edge_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
     Spark picks broadcast or sort-merge from the node table's size.
     """
     total = node_rows.agg(F.sum("count").alias("total"))
-    known = node_rows.where(F.col("count") > 0).select("archetype", F.col("count").alias("n"))
     return (
-        edge_rows.join(known.select(F.col("archetype").alias("source"), F.col("n").alias("total_source")), "source")
-        .join(known.select(F.col("archetype").alias("target"), F.col("n").alias("total_target")), "target")
+        with_total(with_total(edge_rows, node_rows, "source"), node_rows, "target")
         .crossJoin(F.broadcast(total.where(F.col("total") > 0)))
         .select(
             "source",
@@ -76,12 +84,21 @@ def linear_fit(ratio: DataFrame, digits: int | None = 6) -> DataFrame:
     return _fit(ratio).select("n", *[(F.round(c, digits) if digits is not None else F.col(c)).alias(c) for c in names])
 
 
-def linear_fit_p(ratio: DataFrame) -> DataFrame:
-    """The fit with the two-sided p-value of its slope, from the one-row result on the driver."""
-    fit = linear_fit(ratio, None)
-    row = fit.first()
-    p = slope_p_value(row["r"], row["n"])  # NULL where r is, or below three rows
-    return ratio.sparkSession.createDataFrame([(*row, p)], fit.schema.simpleString()[7:-1].replace(":", " ") + ", p_value double")
+def linear_fit_p(ratio: DataFrame, digits: int | None = None, p_digits: int | None = None) -> DataFrame:
+    """The fit with the two-sided p-value of its slope, all in one plan."""
+    p = slope_p_value(F.col("r"), F.col("n"))
+    rounded = lambda c, d: (F.round(c, d) if d is not None else c)
+    names = ["slope", "intercept", "r", "r2", "stderr"]
+    return _fit(ratio).select("n", *[rounded(F.col(c), digits).alias(c) for c in names], rounded(p, p_digits).alias("p_value"))
+
+
+def source_fits_p(ratio: DataFrame, digits: int = 6, p_digits: int = 8) -> DataFrame:
+    """By source: targets, correlation of predicted with observed counts, and the p-value of a zero slope."""
+    y, x = "predicted", "observed"
+    zero = F.lit(0.0)
+    sums = ratio.groupBy("source").agg(F.regr_count(y, x).alias("n"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"))
+    fits = sums.select("source", "n", (F.col("sxy") / F.nullif(F.sqrt("sxx") * F.sqrt("syy"), zero)).alias("r"))
+    return fits.select("source", "n", F.round("r", digits).alias("r"), F.round(slope_p_value(F.col("r"), F.col("n")), p_digits).alias("p_value"))
 
 
 def slope_t(ratio: DataFrame, digits: int = 4) -> DataFrame:
@@ -97,7 +114,24 @@ def fit_line(ratio: DataFrame, digits: int = 6) -> DataFrame:
     return _fit(ratio).select(F.posexplode(ends).alias("point", "x"), "slope", "intercept").select("point", "x", F.round(F.col("intercept") + F.col("slope") * F.col("x"), digits).alias("y"))
 
 
+#: Leading hexadecimal digits of a row's hash that the sample's histogram counts by: 65,536 cells at most.
+CELL_DIGITS = 4
+
+
 def sample_points(ratio: DataFrame, n: int = 50_000, seed: int = 42) -> DataFrame:
-    """The same n rows on each run, in hash order; all rows if there are fewer."""
-    order = F.md5(F.concat("source", "target", F.lit(str(seed))))
-    return ratio.orderBy(order, "source", "target").limit(n)
+    """The first n rows in hash order, so the same on each run; all rows if there are fewer.
+
+    Rows are counted by the head of their hash.  The counts name the cell in
+    which the n-th row lies: rows of lower cells are taken as they are, and only
+    that cell's are ordered, of which few are wanted.  No task holds n rows.
+    """
+    hashed = ratio.withColumn("hash of row", F.md5(F.concat("source", "target", F.lit(str(seed)))))
+    head = F.substring("hash of row", 1, CELL_DIGITS)
+    cells = sorted(hashed.groupBy(head.alias("head")).agg(F.count("*").alias("n")).collect())
+    taken = 0
+    for cell, rows in cells:
+        if taken + rows > n:
+            last = hashed.where(head == cell).orderBy("hash of row", "source", "target").limit(n - taken)
+            return hashed.where(head < cell).unionByName(last).drop("hash of row")
+        taken += rows
+    return ratio

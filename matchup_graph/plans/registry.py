@@ -3,9 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cards import archetypes
 from ..operators import clean as C
 from ..operators import graph as G
 from ..operators import nullmodel as N
+from ..operators.skew import HEAVY, PART, heavy_keys
 from ..sources import tables as T
 from .synth import game_lines, game_lines_sql
 
@@ -67,6 +69,23 @@ def _with_bad(rows: DataFrame, bad: list[str]) -> DataFrame:
     return T.to_lines(rows).union(rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in bad]))))
 
 
+def _estimate_holds(decoded: DataFrame, k: int) -> DataFrame:
+    """Exact distinct nodes and edges, and whether the sketches come within 3 % of them."""
+    exact = G.packed_nodes(decoded, k).agg(F.count("*").alias("nodes")).crossJoin(G.packed_edges(decoded, k).agg(F.count("*").alias("edges")))
+    about = G.distinct_estimate(decoded, k).withColumnsRenamed({"nodes": "n", "edges": "e"})
+    return exact.crossJoin(about).select("nodes", "edges", *[(F.abs(F.col(x) - F.col(y)) <= 0.03 * F.col(x)).alias(f"{x}_close") for x, y in (("nodes", "n"), ("edges", "e"))])
+
+
+#: Partitions that the registered query looks for hot sources with, on any cluster.
+HOT_PARTITIONS = 64
+
+
+def _hot(decoded: DataFrame, k: int) -> DataFrame:
+    """Sources of over half a partition's mean rows; with fewer sources than a sketch tracks the counts are exact."""
+    rows = G.deck_pairs(decoded).select(F.explode(archetypes(F.col("own"), k)).alias("source"))
+    return heavy_keys(rows, "source", HOT_PARTITIONS).select(G.to_hex(F.col("source"), k).alias("source"), "parts")
+
+
 def queries() -> dict:
     q = {
         "parse_games": _parse,
@@ -90,7 +109,10 @@ def queries() -> dict:
         "prediction_ratio": _ratio(7),
         "linear_fit": lambda s, d: N.linear_fit(_ratio(7)(s, d)),
         "linear_fit_k2": lambda s, d: N.linear_fit(_ratio(2)(s, d)),
-        "linear_fit_p": lambda s, d: N.linear_fit_p(_ratio(7)(s, d)),
+        "linear_fit_p": lambda s, d: N.linear_fit_p(_ratio(7)(s, d), 6, 12),
+        "source_fits_p": lambda s, d: N.source_fits_p(_ratio(7)(s, d)),
+        "distinct_estimate_k7": lambda s, d: _estimate_holds(_decoded(s, d), 7),
+        "hot_sources_k1": lambda s, d: _hot(_decoded(s, d), 1),
         "slope_t": lambda s, d: N.slope_t(_ratio(7)(s, d)),
         "fit_line": lambda s, d: N.fit_line(_ratio(7)(s, d)),
         "sample_points": lambda s, d: N.sample_points(_ratio(7)(s, d), 5000),
@@ -156,6 +178,13 @@ ratio AS (SELECT *, observed / predicted AS ratio FROM rounded)"""
 _FIT = """SELECT regr_count(predicted, observed)::bigint AS n, round(regr_slope(predicted, observed), 6) AS slope, round(regr_intercept(predicted, observed), 6) AS intercept,
   round(corr(observed, predicted), 6) AS r, round(regr_r2(predicted, observed), 6) AS r2,
   round(sqrt((1 - regr_r2(predicted, observed)) * regr_syy(predicted, observed) / regr_sxx(predicted, observed) / (regr_count(predicted, observed) - 2)), 6) AS stderr FROM ratio"""
+#: Two-sided p-value of fits(g, n, r): the tail of Student's t as a finite sum in cos(theta), theta = asin(|r|), which whole degrees of freedom have.
+_TAIL = """,
+angles AS (SELECT g, n, r, n - 2 AS df, 1 - r * r AS c2 FROM fits),
+terms(g, r, df, c2, j, term, total) AS (SELECT g, r, df, c2, df % 2, CASE WHEN df % 2 = 1 THEN sqrt(c2) ELSE 1.0 END::double, CASE WHEN df = 1 THEN 0.0 WHEN df % 2 = 1 THEN sqrt(c2) ELSE 1.0 END::double FROM angles WHERE df > 0
+  UNION ALL SELECT g, r, df, c2, j + 2, term * c2 * (j + 1) / (j + 2), total + CASE WHEN j + 4 <= df THEN term * c2 * (j + 1) / (j + 2) ELSE 0 END FROM terms WHERE j + 4 <= df),
+tails AS (SELECT g, greatest(0, 1 - CASE WHEN df % 2 = 1 THEN 2 / pi() * (asin(abs(r)) + abs(r) * last) ELSE abs(r) * last END) AS p_value
+  FROM (SELECT g, any_value(df) AS df, any_value(r) AS r, max(total) AS last FROM terms GROUP BY g))"""
 _CARDS = "array_to_string(list_transform({0}, lambda x: cast(cast(concat('0x', x) AS int) AS varchar)), ',')"
 
 
@@ -191,6 +220,12 @@ FROM (SELECT count(*) AS games FROM decoded), (SELECT count(*) AS n FROM clean),
         "prediction_ratio": _predicted(7) + " SELECT * FROM ratio",
         "linear_fit": _predicted(7) + _FIT,
         "linear_fit_k2": _predicted(2) + _FIT,
+        "linear_fit_p": _predicted(7) + ", fits AS (SELECT 0 AS g, regr_count(predicted, observed)::bigint AS n, corr(observed, predicted) AS r FROM ratio)" + _TAIL + f", fit AS ({_FIT}) SELECT fit.*, round(p_value, 12) AS p_value FROM fit, tails",
+        "source_fits_p": _predicted(7) + """, fits AS (SELECT source AS g, regr_count(predicted, observed)::bigint AS n, CASE WHEN regr_sxx(predicted, observed) > 0 AND regr_syy(predicted, observed) > 0 THEN corr(observed, predicted) END AS r FROM ratio GROUP BY source)""" + _TAIL + """
+SELECT g AS source, n, round(fits.r, 6) AS r, round(CASE WHEN fits.r IS NOT NULL THEN p_value END, 8) AS p_value FROM fits LEFT JOIN tails USING (g)""",
+        "distinct_estimate_k7": _edges(7) + " SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, true AS nodes_close, true AS edges_close",
+        "hot_sources_k1": _arch(1) + f""", rows AS (SELECT x.a AS source, count(*) AS n FROM (SELECT DISTINCT own, other FROM sided) JOIN arch x ON x.deck = own GROUP BY x.a)
+SELECT source, cast(ceil(n * {HOT_PARTITIONS} / (SELECT sum(n) FROM rows)::double / {PART}) AS int) AS parts FROM rows WHERE n * {HOT_PARTITIONS} / (SELECT sum(n) FROM rows)::double > {HEAVY}""",
         "slope_t": _predicted(7) + """ SELECT n, n - 2 AS df, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM (SELECT regr_count(predicted, observed)::bigint AS n, corr(observed, predicted) AS r FROM ratio)""",
         "fit_line": _predicted(7) + """ SELECT point, x, round(intercept + slope * x, 6) AS y FROM (SELECT regr_slope(predicted, observed) AS slope, regr_intercept(predicted, observed) AS intercept, min(observed) AS lo, max(observed) AS hi FROM ratio),
 LATERAL (SELECT cast(p AS int) AS point, CASE p WHEN 0 THEN lo ELSE hi END AS x FROM range(2) r(p))""",
@@ -204,4 +239,4 @@ SELECT t AS table_name, count(*) AS rows, cast(sum(length(line)) AS bigint) AS b
     }
     sql |= {f"nodes_k{k}": _nodes(k) + " SELECT * FROM nodes" for k in range(1, 9)}
     sql |= {f"edges_k{k}": _edges(k) + " SELECT * FROM edges" for k in range(1, 9)}
-    return {name: _CTE + ("\n" if rest.startswith(("SELECT", " SELECT")) else "") + rest for name, rest in sql.items()}
+    return {name: (_CTE.replace("WITH ", "WITH RECURSIVE ", 1) if name.endswith("_p") else _CTE) + ("\n" if rest.startswith(("SELECT", " SELECT")) else "") + rest for name, rest in sql.items()}

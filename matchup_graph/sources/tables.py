@@ -15,10 +15,17 @@ def read_game_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_sequence_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value) lines of old (null, text) sequence files.
 
-    Spark SQL has no reader for them; the JVM's own does the conversion and
-    writes nothing, and the pairs arrive in batches.
+    Spark SQL has no reader for them.  The pairs are read and turned into strings
+    on the JVM, by the converter that Spark has for such files, and become a
+    table there; no row passes through Python.
     """
-    return spark.createDataFrame(spark.sparkContext.sequenceFile(path, "org.apache.hadoop.io.NullWritable", "org.apache.hadoop.io.Text"), "key string, value string").select("value")
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    kind = lambda name: jvm.java.lang.Class.forName(f"org.apache.hadoop.io.{name}")
+    converter = jvm.org.apache.spark.api.python.WritableToJavaConverter(None)  # it needs a configuration for maps only
+    pairs = jvm.org.apache.spark.api.python.PythonHadoopUtil.convertRDD(context.sequenceFile(path, kind("NullWritable"), kind("Text")).rdd(), converter, converter)
+    tag = jvm.scala.reflect.ClassTag.Object()
+    lines = jvm.org.apache.spark.api.java.JavaPairRDD(pairs, tag, tag).values().rdd()
+    return DataFrame(spark._jsparkSession.createDataset(lines, jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
 
 
 def write_clean(clean: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -35,14 +42,65 @@ def to_lines(rows: DataFrame) -> DataFrame:
 
 
 def write_lines(rows: DataFrame, path: str, sort_by: list[str] | None = None, partitions: int | None = None, single: bool = False) -> None:
-    """Headless `;` text, replacing what is there; single: one file, for small tables only."""
-    if single:
-        rows = rows.coalesce(1)
-    elif partitions:
-        rows = rows.repartition(partitions, *(sort_by or [])[:1])
+    """Headless `;` text, replacing what is there, sorted within each file.
+
+    partitions: that many files of equal size, rows being dealt by all of
+    sort_by, so that a key which many rows share is spread.  single: one file,
+    which is written in parts by all tasks and merged afterwards.
+    """
+    if partitions:
+        rows = rows.repartition(partitions, *(sort_by or []))
     if sort_by:
         rows = rows.sortWithinPartitions(*sort_by)
     to_lines(rows).write.mode("overwrite").text(path)
+    if single:
+        merge_files(rows.sparkSession, path)
+
+
+def merge_files(spark: SparkSession, path: str) -> None:
+    """Join the part files of a folder, in their order, to one, through the file system and without a task.
+
+    The joined file is written under a hidden name first and takes its own name
+    once it is whole; the parts go last.
+    """
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(settings)
+    parts = sorted((s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    if len(parts) < 2:
+        return
+    hidden, whole = (jvm.org.apache.hadoop.fs.Path(folder, name) for name in ("_merging", "merged.txt"))
+    out = files.create(hidden, True)
+    try:
+        for part in parts:
+            source = files.open(part)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+    if not files.rename(hidden, whole):
+        raise OSError(f"can't name the merged file in {path}")
+    for part in parts:
+        files.delete(part, False)
+
+
+def files_for(rows: int, line_bytes: int, target: int = TARGET_FILE_BYTES) -> int:
+    """How many files of at most about `target` bytes hold so many lines; with several, each is over half of that."""
+    return max(1, -(-rows * line_bytes // target))
+
+
+def write_bucketed(rows: DataFrame, table: str, key: str, path: str | None = None, buckets: int | None = None) -> None:
+    """Write rows as Parquet bucketed and sorted by key, as a table of the session's catalog, replacing it.
+
+    Tables with equally many buckets meet on their keys without a shuffle:
+    edges by source and nodes by archetype.  path: where the files lie, which on
+    a cluster must be shared storage; else the warehouse.
+    """
+    n = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    writer = rows.repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def _whole(fields, i: int):

@@ -1,4 +1,6 @@
+import hashlib
 import json
+import math
 from collections import Counter
 from itertools import combinations
 from statistics import median
@@ -244,10 +246,110 @@ def test_degenerate_fits(spark, rows, fit):
     assert N.fit_line(r).count() == 2 and N.slope_t(r).first().n == fit[0]
 
 
-def test_p_value():
-    assert slope_p_value(0.5, 4) == pytest.approx(0.5)  # two degrees of freedom: 1 - t / sqrt(2 + t^2)
-    assert slope_p_value(0.0, 10) == pytest.approx(1.0)
-    assert slope_p_value(None, 10) is None and slope_p_value(0.5, 2) is None
+def simpson_p(r, n):
+    """The tail of Student's t by Simpson's rule over its angle: p = 1 - c * integral of cos^(df - 1) from 0 to asin |r|."""
+    df = n - 2
+    top, steps = math.asin(abs(r)), 4000
+    f = lambda x: math.cos(x) ** (df - 1)
+    h = top / steps
+    area = h / 3 * sum(f(i * h) * (1 if i in (0, steps) else 4 if i % 2 else 2) for i in range(steps + 1))
+    return 1 - 2 * area * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+
+
+def test_p_values(spark):
+    cases = [(r, n) for r in (0.9999, 0.9, -0.5, 0.1, -0.01, 0.001) for n in (3, 4, 5, 8, 30, 101, 1000, 20_000)]
+    rows = spark.createDataFrame(cases, "r double, n bigint").select("r", "n", slope_p_value(F.col("r"), F.col("n")).alias("p")).collect()
+    for x in rows:
+        assert x.p == pytest.approx(simpson_p(x.r, x.n), rel=1e-7, abs=1e-11), x
+    odd = spark.createDataFrame([(None, 10), (0.5, 2), (1.0, 10), (-1.0, 10), (0.0, 10), (0.5, 4)], "r double, n bigint").select(slope_p_value(F.col("r"), F.col("n")).alias("p")).collect()
+    assert [x.p for x in odd] == [None, None, 0.0, 0.0, 1.0, pytest.approx(0.5)]  # two degrees of freedom: 1 - |r|
+    # a billion rows: t is nearly normal, p = erfc(t / sqrt 2)
+    t = 2.5
+    r = t / math.sqrt(10**9 - 2 + t * t)
+    big = spark.createDataFrame([(r, 10**9)], "r double, n bigint").select(slope_p_value(F.col("r"), F.col("n")).alias("p")).first().p
+    assert big == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-7)
+
+
+def test_fit_with_p_value_is_one_plan(spark):
+    frame_ = N.linear_fit_p(ratio(spark, [(1, 2.0), (2, 3.0), (4, 4.0)]))
+    assert "Python" not in frame_._jdf.queryExecution().executedPlan().toString() and "LocalRelation [n" not in frame_._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sample_is_the_first_rows_in_hash_order(spark):
+    rows = [(f"s{i}", f"t{i % 7}", i, 1.0 + i) for i in range(3000)] + [("dup", "dup", 1, 2.0)] * 3
+    r = N.prediction_ratio(spark.createDataFrame(rows, "source string, target string, observed bigint, prediction double"))
+    order = sorted((hashlib.md5(f"{s}{t}42".encode()).hexdigest(), s, t) for s, t, *_ in rows)
+    for n in (0, 1, 2, 700, 3002, 3003, 5000):
+        assert sorted((x.source, x.target) for x in N.sample_points(r, n).collect()) == sorted((s, t) for _, s, t in order[:n])
+    assert N.sample_points(r.limit(0), 5).count() == 0
+
+
+def test_clean_counts_while_it_writes(spark, tmp_path, monkeypatch):
+    lines = frame(spark, [game(), game(), *at(20, 25), game("2025-11-11"), "{", game(a="0"), "", game(u="#C", rnd=None)])
+    written = []
+
+    def write(games):
+        written.append(games._jdf.queryExecution().executedPlan().toString())
+        games.write.parquet(str(tmp_path / f"out{len(written)}"))
+        return spark.read.parquet(str(tmp_path / f"out{len(written)}")).count()
+
+    expected = C.clean_report(lines).first().asDict(), {r["reason"]: r["n"] for r in C.reject_reasons(lines).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(C, "clean_report", None)  # not needed as long as the figures add up
+        assert C.clean_and_report(lines, write) == expected
+    assert written[0].count("Scan ExistingRDD") + written[0].count("LocalTableScan") == 1 and written[0].count("Exchange hashpartitioning") == 1
+    again = C.clean_and_report(lines, lambda games: write(games) + 1)  # figures that disagree with what is written are counted anew
+    assert again == expected
+    nothing = C.clean_and_report(frame(spark, []), write)
+    assert nothing == (C.clean_report(frame(spark, [])).first().asDict(), {})
+
+
+def test_bucketed_tables_meet_without_a_shuffle_of_edges(spark, tmp_path):
+    d = decoded(spark, GAMES)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        T.write_bucketed(G.nodes(d, 7), "t_nodes", "archetype", str(tmp_path / "n"), 4)
+        T.write_bucketed(G.edges(d, 7), "t_edges", "source", str(tmp_path / "e"), 4)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        nodes, edges = spark.table("t_nodes"), spark.table("t_edges")
+        plan = N.with_total(edges, nodes, "source")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert sorted(map(tuple, N.predictions(edges, nodes).collect())) == sorted(map(tuple, N.predictions(G.edges(d, 7), G.nodes(d, 7)).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE IF EXISTS t_nodes"), spark.sql("DROP TABLE IF EXISTS t_edges")
+
+
+def test_distinct_estimates(spark):
+    d = zipf_games(spark, 1500, decks=400)
+    for k in (2, 7):
+        exact = G.packed_nodes(d, k).count(), G.packed_edges(d, k).count()
+        about = G.distinct_estimate(d, k).first()
+        assert all(abs(x - y) <= 0.03 * x for x, y in zip(exact, about, strict=True)), (exact, about)
+    assert tuple(G.distinct_estimate(d.limit(0), 2).first()) == (0, 0)
+
+
+def test_files_have_the_target_size_whatever_the_skew(spark, tmp_path):
+    d, k, target = zipf_games(spark, 1500, decks=400), 2, 2_000_000
+    edges = G.edges(d, k).cache()
+    n = T.files_for(G.distinct_estimate(d, k).first()["edges"], G.line_bytes(k, 2), target)
+    T.write_lines(edges, str(tmp_path / "e"), ["source", "target"], n)
+    sizes = [p.stat().st_size for p in (tmp_path / "e").glob("part-*")]
+    assert len(sizes) == n > 2 and all(0.5 * target < s < 1.25 * target for s in sizes), sizes
+    for p in (tmp_path / "e").glob("part-*"):  # each file is in the order of its keys
+        keys = [tuple(x.split(";")[:2]) for x in p.read_text().split()]
+        assert keys == sorted(keys)
+    assert T.files_for(0, 10) == 1 and T.files_for(100, 10, 1000) == 1 and T.files_for(101, 10, 1000) == 2
+
+
+def test_one_file_is_merged_from_parts(spark, tmp_path):
+    rows, path = spark.range(1000).repartition(5).select(F.col("id").cast("string").alias("a"), F.lit("é").alias("b")), tmp_path / "one"
+    for _ in range(2):
+        T.write_lines(rows, str(path), ["a"], single=True)
+    assert sorted(p.name for p in path.iterdir() if not p.name.startswith((".", "_SUCCESS"))) == ["merged.txt"]
+    assert sorted(r.value for r in spark.read.text(str(path)).collect()) == sorted(f"{i};é" for i in range(1000))
+    T.write_lines(rows.limit(0), str(tmp_path / "none"), single=True)
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
 
 
 def test_jobs_end_to_end(spark, tmp_path, capsys):
@@ -257,15 +359,18 @@ def test_jobs_end_to_end(spark, tmp_path, capsys):
     with pytest.raises(FileNotFoundError):
         jobs.stats_job(spark, base, f"{base}/stats")
     for _ in range(2):
-        jobs.nodesedges_job(spark, f"{base}/clean", base, 7, 1, 3)
+        jobs.nodesedges_job(spark, f"{base}/clean", base, 7, 1, 3, tables="job")
     assert T.read_nodes(spark, f"{base}/nodes").agg(F.sum("count")).first()[0] == 4 * 16
     jobs.stats_job(spark, base, f"{base}/stats", single=True)
     p = T.read_predictions(spark, f"{base}/stats")
+    jobs.stats_job(spark, base, f"{base}/stats2", tables="job")
+    assert sorted(map(tuple, T.read_predictions(spark, f"{base}/stats2").collect())) == sorted(map(tuple, p.collect()))
+    spark.sql("DROP TABLE job_nodes"), spark.sql("DROP TABLE job_edges")
     assert p.count() == 128 and p.where("prediction <= 0 OR prediction IS NULL").count() == 0
     jobs.analysis_job(spark, f"{base}/stats", f"{base}/analysis", 10)
     assert spark.read.parquet(f"{base}/analysis/points").count() == 10
     said = capsys.readouterr().out
-    assert "rejected: reason=not_json, n=1" in said and "output_rows=4" in said and "games: 4, skipped: 0" in said and "table_name=edges, rows=128" in said
+    assert "rejected: reason=not_json, n=1" in said and "output_rows=4" in said and "games: 4, skipped: 0" in said and "table_name=edges, rows=128" in said and "estimated: nodes=16, edges=128, nodes_files=1, edges_files=3" in said and "wall_s=" in said
     with pytest.raises(ValueError):
         jobs.nodesedges_job(spark, f"{base}/clean", base, 2, max_rows=100)
 
@@ -273,7 +378,9 @@ def test_jobs_end_to_end(spark, tmp_path, capsys):
 def test_old_sequence_files(spark, tmp_path):
     path, lines = str(tmp_path / "old"), [*at(0, 30), "bad"]
     spark.sparkContext.parallelize([(None, x) for x in lines], 2).saveAsSequenceFile(path)
-    assert sorted(r.value for r in T.read_sequence_lines(spark, path).collect()) == sorted(lines)
+    read = T.read_sequence_lines(spark, path)
+    assert sorted(r.value for r in read.collect()) == sorted(lines) and read.columns == ["value"]
+    assert "Python" not in read._jdf.queryExecution().executedPlan().toString() and "PythonRDD" not in read._jdf.rdd().toDebugString()
     jobs.nodesedges_job(spark, path, str(tmp_path / "out"), 8, sequence=True)
     assert T.read_nodes(spark, str(tmp_path / "out/nodes")).agg(F.sum("count")).first()[0] == 4
 
