@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Sketches that share the keys among them, so that no single task merges all.
-GROUPS = 64
+#: One sketch for so many partitions, so that no single task merges those of all keys, and sketches in all, below what Spark aggregates by hash.
+PER_SKETCH, MOST_GROUPS = 16, 64
 #: A key is heavy from this share of a partition's mean; its rows go to parts of about PART of the mean, so that hashing evens out.
 HEAVY, PART = 0.5, 0.125
 #: Items that a sketch tracks at least; Spark allows up to a million.
@@ -15,7 +15,7 @@ def partitions_of(rows: DataFrame, partitions: int | None) -> int:
     return partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def heavy_keys(rows: DataFrame, key: str, partitions: int | None = None, groups: int = GROUPS) -> DataFrame:
+def heavy_keys(rows: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     """(key, parts) of keys with over HEAVY of a partition's mean rows, and how many parts to split them into.
 
     Keys are hashed to groups, and each group has a frequent-items sketch that
@@ -26,7 +26,7 @@ def heavy_keys(rows: DataFrame, key: str, partitions: int | None = None, groups:
     partitions / HEAVY keys, all others being lighter.  NULL keys are never listed.
     """
     n = partitions_of(rows, partitions)
-    most = int(n / HEAVY) + 1
+    most, groups = int(n / HEAVY) + 1, max(1, min(MOST_GROUPS, n // PER_SKETCH))
     items = min(MOST_ITEMS, max(LEAST_ITEMS, 16 * n // groups, most))
     grouped = rows.where(F.col(key).isNotNull()).groupBy(F.pmod(F.xxhash64(key), F.lit(groups)).alias("group"))
     sketches = grouped.agg(F.expr(f"approx_top_k({key}, {most}, {items})").alias("top"), F.count("*").alias("rows"))
