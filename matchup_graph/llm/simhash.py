@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, release
+from .common import cut, map_texts, release, trim
 from .components import components
 
 SEED = 42
@@ -135,19 +135,73 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(band.tobytes(), n) - (1 << 63) for n, band in enumerate(bands)]
 
 
+#: Bands of so many documents or fewer are compared whole, in one group.
+WHOLE_BAND = 256
+
+
+def forest(hashes: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the sets of a group as all their pairs of at least `similarity` would; pairs that are joined already aren't compared."""
+    root, found = list(range(len(hashes))), []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, a in enumerate(hashes):
+        for j in range(i):
+            b = hashes[j]
+            if min(len(a), len(b)) < similarity * max(len(a), len(b)) or top(i) == top(j):
+                continue
+            same = len(np.intersect1d(a, b, assume_unique=True))
+            if same >= similarity * (len(a) + len(b) - same):
+                root[top(i)] = top(j)
+                found.append((i, j))
+    return found
+
+
+def grouped_links(members: DataFrame, hashed: DataFrame, similarity: float) -> DataFrame:
+    """(group, doc_id), at most WHOLE_BAND documents a group -> links (u, v), u > v, that join each group as all its pairs would."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, sets = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            ends = [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in forest(sets, similarity)]
+            return pa.RecordBatch.from_arrays([pa.array([e[n] for e in ends], pa.int64()) for n in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            for group, doc_id, blob in zip(batch.column("group").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("hashes"), strict=True):
+                if group != last:
+                    if len(ids) > 1:
+                        yield flush()
+                    last, ids, sets = group, [], []
+                ids.append(doc_id)
+                sets.append(np.frombuffer(blob.as_py(), np.uint64))
+        if len(ids) > 1:
+            yield flush()
+        trim()
+
+    rows = members.join(hashed, "doc_id").select("group", "doc_id", "hashes")
+    return rows.repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(run, "u bigint, v bigint")
+
+
 def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(u, v), u > v: documents of one band whose shingle sets have a Jaccard similarity of at least `similarity`.
 
     64 bits can't find them: at 0.8 fingerprints differ in about ten bits, so
     no segment that differs by one bit has enough bits to be a key.  Bands of
-    min-hashes give the candidates and whole sets decide.  In each round all of
-    a band are compared with its heads, at first the smallest doc_id, then four
-    times as many a round up to HEADS, unless the sizes of the two sets rule the
-    similarity out; the heads and those near one leave the band,
-    and the rounds go on with the others until none is left.  So a round's
-    candidates grow with a band, not with its square, and the rounds with the
-    number of unlike texts in a band.  A link between one that is near a head
-    and one that isn't is tried in the other bands that both share.
+    min-hashes give the candidates and whole sets decide.  The documents of a
+    band of WHOLE_BAND or fewer meet in one group, where they are joined exactly
+    as all their pairs would join them; bands of the same documents are one group.
+    Larger bands go in rounds: all of a band are compared with its heads, at
+    first the smallest doc_id, then four times as many a round up to HEADS,
+    unless the sizes of the two sets rule the similarity out; the heads and those
+    near one leave the band, and the rounds go on with the others.  So a round's
+    candidates grow with a band, not with its square.  A link between one that
+    is near a head and one that isn't is tried in the other bands that both
+    share.  Links are enough to give the components, they are not all pairs.
     NULL doc_ids are left out; NULL and empty texts are one shingle, the empty one.
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -176,8 +230,13 @@ def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     ids = cut(waiting.select("doc_id").distinct())
     hashed = cut(sets(docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")))
     left, right = hashed.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), hashed.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b"))
-    near, heads = [], 1
-    while True:
+    sizes = waiting.groupBy("band").agg(F.count("*").alias("members"))
+    small = waiting.join(sizes.where(F.col("members") <= WHOLE_BAND), "band")
+    groups = small.groupBy("band").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).select("ids").distinct().withColumn("group", F.monotonically_increasing_id())
+    members = groups.select("group", F.explode("ids").alias("doc_id"))
+    near, heads = [cut(grouped_links(cut(members), hashed, similarity))], 1
+    waiting = cut(waiting.join(sizes.where(F.col("members") > WHOLE_BAND), "band", "left_semi"))
+    while not waiting.isEmpty():
         # each band's heads, and all others of the band against each of them; a pair that shares several bands is compared once
         head = waiting.groupBy("band", F.pmod(F.xxhash64("doc_id"), F.lit(heads)).alias("part")).agg(F.min(F.struct("doc_id", "n")).alias("first"))
         head = head.select("band", F.col("first.doc_id").alias("head"), F.col("first.n").alias("size"))
@@ -190,9 +249,8 @@ def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
         met = head.select(F.col("head").alias("doc_id"), "band").union(judged.where("near").select(F.explode(F.array("u", "v")).alias("doc_id"), "bands").select("doc_id", F.explode("bands").alias("band")).distinct())
         waiting = cut(several(waiting.join(met, ["doc_id", "band"], "left_anti")))
         release(docs.sparkSession)
-        if waiting.isEmpty():
-            return reduce(DataFrame.union, near)
         heads = min(4 * heads, HEADS)
+    return reduce(DataFrame.union, near)
 
 
 def apply_simhash(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
