@@ -33,8 +33,8 @@ N_IDS = 49408
 FOLDS = 10
 #: Words of at least a count that at most this many words have go to every worker; all others are joined.
 FREQUENT_WORDS = 300_000
-#: Shards of a round at most; each gives one vector of weights to the driver.
-MAX_SHARDS = 256
+#: Shards whose weights one task sums up; the driver gets these sums, one for so many shards.
+SHARDS_PER_SUM = 64
 _FLUSH = 400_000
 
 
@@ -371,12 +371,14 @@ def fit(table: DataFrame, tokens: int, v: Vocabulary, shape: Shape) -> Params:
     """One pass over all training texts in `rounds` parts.
 
     A round's texts are dealt by hash over shards, whose number follows from the
-    number of tokens; a shard is trained in hash order from the round's first
-    weights, and the shards' weights are averaged by their steps, in order.
+    number of tokens and grows with it; a shard is trained in hash order from
+    the round's first weights.  The shards' weights are averaged by their steps,
+    in order: tasks sum up neighbouring shards, the driver these sums, so it gets
+    one vector of some ten thousand numbers for SHARDS_PER_SUM shards.
     """
     p = start(shape)
     names = sorted(p)
-    count = int(min(MAX_SHARDS, max(1, tokens // (shape.rounds * shape.shard_tokens))))
+    count = int(max(1, tokens // (shape.rounds * shape.shard_tokens)))
     dealt = table.select("hash", "ids", F.pmod(F.xxhash64("hash"), F.lit(count * shape.rounds)).cast("int").alias("shard"))
     for number in range(shape.rounds):
         now = p
@@ -406,10 +408,26 @@ def fit(table: DataFrame, tokens: int, v: Vocabulary, shape: Shape) -> Params:
             trim()
 
         mine = dealt.where(F.pmod("shard", F.lit(shape.rounds)) == number)
-        got = mine.repartition(count, "shard").sortWithinPartitions("shard", "hash", "ids").mapInArrow(rows, "shard int, steps bigint, weights binary").toArrow().sort_by("shard")
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, steps, total = None, 0, None
+            put = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([steps], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "steps", "total"])
+            for batch in batches:
+                for shard, n, weights in zip(batch.column("shard").to_pylist(), batch.column("steps").to_pylist(), batch.column("weights"), strict=True):
+                    if shard // SHARDS_PER_SUM != part:
+                        if total is not None:
+                            yield put()
+                        part, steps, total = shard // SHARDS_PER_SUM, 0, 0.0
+                    steps, total = steps + n, total + n * np.frombuffer(weights.as_py(), "<f4").astype(np.float64)
+            if total is not None:
+                yield put()
+
+        # shards are neighbours by number: each partition has its even share of them
+        trained = mine.repartitionByRange(count, "shard").sortWithinPartitions("shard", "hash", "ids").mapInArrow(rows, "shard int, steps bigint, weights binary")
+        summed = trained.repartition(-(-count // SHARDS_PER_SUM), F.floor(F.col("shard") / SHARDS_PER_SUM)).sortWithinPartitions("shard").mapInArrow(sums, "part int, steps bigint, total binary")
+        got = summed.toArrow().sort_by("part")
         steps = got.column("steps").to_numpy()
         if steps.sum():
-            flat = sum(n / steps.sum() * np.frombuffer(w.as_py(), "<f4").astype(np.float64) for n, w in zip(steps, got.column("weights"), strict=True))
+            flat = sum(np.frombuffer(w.as_py(), np.float64) for w in got.column("total")) / steps.sum()
             at, p = 0, {}
             for n in names:
                 p[n] = flat[at : at + now[n].size].reshape(now[n].shape).astype(np.float32)
@@ -483,9 +501,10 @@ def score(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     tagged = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     scored = tagged.mapInArrow(rows, f"row bigint, doc_id {kind}, word binary, times bigint, n_tokens bigint, n_known bigint, base double, score double, n_subwords bigint")
     c = F.coalesce("n", F.lit(0))
-    rare = F.col("word").isNotNull()
-    # a document's own row has no word; it takes part in the join and finds nothing
-    summed = scored.join(words, "word", "left").groupBy("row").agg(
+    rare = F.col("is_word")
+    # a document's own row has no word: it gets a key that is none, of its own, and finds nothing
+    keyed = scored.withColumn("key", F.coalesce("word", F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary"))).drop("word")
+    summed = keyed.withColumn("is_word", F.substring("key", 1, 1) != F.lit(b" ")).join(words.withColumnRenamed("word", "key"), "key", "left").groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.when(rare & (c > 0), F.col("times")).otherwise(F.col("n_known"))).alias("n_known"),

@@ -19,6 +19,8 @@ SYMBOLS = b"#*$%&|<>"
 BOILERPLATE = re.compile(
     rb"licensed under|all rights reserved|copyright (\(c\)|\xc2\xa9|\d{4})|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies"
     rb"|subscribe to our|sign up for our|click here|enable javascript|skip to (main )?content|back to top|spdx-license-identifier|without warranty of any kind"
+    rb"|(we|site|website|page) uses? cookies|uses? cookies to (improve|enhance|give|ensure)|powered by (wordpress|drupal|joomla|blogger|shopify)|leave a (comment|reply)|share (this )?on (facebook|twitter|linkedin)"
+    rb"|utilis(e|ons) des cookies|(verwende[nt]|nutz(t|en)) cookies|(usamos|utiliza(mos)?) cookies"
     rb"|tous droits r\xc3\xa9serv\xc3\xa9s|mentions l\xc3\xa9gales|politique de confidentialit\xc3\xa9|conditions d'utilisation|cliquez ici|haut de page"
     rb"|alle rechte vorbehalten|datenschutzerkl\xc3\xa4rung|nutzungsbedingungen|hier klicken|zum seitenanfang|cookie-einstellungen"
     rb"|todos los derechos reservados|pol\xc3\xadtica de (privacidad|cookies)|aviso legal|t\xc3\xa9rminos de uso|haga clic aqu\xc3\xad"
@@ -53,6 +55,7 @@ class Rules:
     stutter_words: int = 6
     stutter_share: float = 0.5
     repeat_words: int = 5
+    phrase_share: float = 0.06
     lost_share: float = 0.4
     min_words: int = 50
     repeat_share: float = 0.5
@@ -126,7 +129,7 @@ def line_fault(line: bytes, words: list[bytes], rules: Rules) -> str | None:
             return "shouting"
     if n >= rules.stutter_words and sum(a == b for a, b in zip(words, words[1:], strict=False)) > rules.stutter_share * n:
         return "stutter"
-    if BOILERPLATE.search(line.lower()):
+    if sum(len(found[0].split()) for found in BOILERPLATE.finditer(line.lower())) > rules.phrase_share * n:
         return "boilerplate"
     return None
 

@@ -21,3 +21,19 @@ def test_menus_and_rulers_go(line):
 def test_prose_stays(line):
     text = f"{prose(100, 5)}\n{line}".encode()
     assert quality.clean_lines(text)[0] == text
+
+
+FURNITURE = ["Nous utilisons des cookies", "Diese Website verwendet Cookies", "We use cookies to improve your experience", "Powered by WordPress", "Leave a comment", "Share on Facebook", "Copyright 2021 Acme. All rights reserved. Read our privacy policy and terms of use."]
+
+
+@pytest.mark.parametrize("line", FURNITURE)
+def test_furniture_goes(line):
+    assert quality.line_fault(line.encode(), line.encode().split(), quality.Rules()) == "boilerplate"
+
+
+@pytest.mark.parametrize("phrase", ["privacy policy", "click here", "all rights reserved"])
+def test_one_phrase_does_not_take_a_long_line_with_it(phrase):
+    words = prose(400, 3).replace("\n", " ").split()
+    text = " ".join([*words[:200], *phrase.split(), *words[200:]]).encode()
+    kept = quality.judge(text)
+    assert kept[6] and kept[7] == 0 and kept[9].encode() == text
