@@ -135,8 +135,8 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(band.tobytes(), n) - (1 << 63) for n, band in enumerate(bands)]
 
 
-#: Bands of so many documents or fewer are compared whole, in one group.
-WHOLE_BAND = 256
+#: Bands of so many documents or fewer are compared whole, in one group, whose sets one task holds: 5 MB for texts of 300 words.
+WHOLE_BAND = 2048
 
 
 def forest(hashes: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
