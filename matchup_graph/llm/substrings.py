@@ -5,9 +5,10 @@
    has one.
 2. A seed that several documents share links each of them to the one with the
    smallest doc_id: links grow with the seeds and never with their square.
-   Where neighbouring seeds lead to different places, each run of 2, 4 or 8 of
-   them is a key of its own and links to the first document with that run, so
-   a passage whose parts come first in several documents is found as a whole.
+   Where near seeds lead to different places, each pair of them, up to 6 seeds
+   apart, and each run of 4 or 8 is a key of its own and links to the first
+   document with that key, so a passage whose parts come first in several
+   documents is found as a whole, also where edits took seeds between.
 3. The links of a document to one earlier document are chained: matches in
    order in both, a gap costs in proportion to its words on both sides, the best
    predecessor comes from a Fenwick tree of prefix maxima.
@@ -44,7 +45,9 @@ class Params:
 #: Ids of eight bytes each that are broadcast at most.
 BROADCAST_IDS = 500_000
 #: Seeds in a key, where single ones don't lead to one place.
-RUNS = (2, 4, 8)
+RUNS = (4, 8)
+#: A pair of seeds in a key has fewer shared seeds than this between them: edits leave out seeds on one side only.
+REACH = 12
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)]
 
 
@@ -194,13 +197,17 @@ def align(doc: list[int], other: list[int], matches: list[tuple[int, int]], p: P
         same += p.k - skip
         end, other_end = x + p.k, y + p.k
     before, after = (doc[max(0, a - p.margin) : a][::-1], other[max(0, b - p.margin) : b][::-1]), (doc[end : end + p.margin], other[other_end : other_end + p.margin])
-    for cost in (2, 1, 4):  # a cost of 4 keeps the agreement of what is added at 0.8
+    best = None
+    for cost in (2, 1, 4):  # a cost of 1 goes on over more differing words, one of 4 keeps the agreement of what is added at 0.8
         m, n, more = extend(*before, p, cost)
         u, v, last = extend(*after, p, cost)
         out = a - m, end + u, b - n, other_end + v, same + more + last
-        if out[1] - out[0] >= p.min_words and out[4] >= p.similarity * max(out[1] - out[0], out[3] - out[2]):
+        long, alike = out[1] - out[0] >= p.min_words, out[4] >= p.similarity * max(out[1] - out[0], out[3] - out[2])
+        if long and alike and (best is None or out[1] - out[0] > best[1] - best[0]):
+            best = out
+        if best and cost == 1:
             break
-    return out
+    return best or out
 
 
 def _code_rows(docs: DataFrame) -> DataFrame:
@@ -253,23 +260,24 @@ def shared_seeds(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def runs(pos: np.ndarray, seed: np.ndarray, keep: np.ndarray, keep_pos: np.ndarray, known: np.ndarray, p: Params) -> Iterator[tuple[int, list[int]]]:
-    """(key, positions) of each run of neighbouring shared seeds that don't lead to one stretch of one document and aren't all known to be in passages."""
+    """(key, positions) of each pair or run of near shared seeds that don't lead to one stretch of one document and aren't all known to be in passages."""
     order = np.argsort(pos, kind="stable")
     pos, seed, keep, keep_pos, known = pos[order], seed[order].view(np.uint64), keep[order], keep_pos[order], known[order]
     unknown = np.concatenate([[0], np.cumsum(~known)])
     step = np.diff(pos)
     breaks = np.concatenate([[0], np.cumsum((np.diff(keep) != 0) | (np.diff(keep_pos) != step))])
-    for size in RUNS:
-        n = len(pos) - size + 1
+    for members in [*((0, i) for i in range(1, REACH + 1)), *(tuple(range(size)) for size in RUNS)]:
+        last = members[-1]
+        n = len(pos) - last
         if n < 1:
-            break
-        key = np.full(n, size, np.uint64)
-        for i in range(size):
+            continue
+        key = np.full(n, len(members), np.uint64)
+        for i in members:
             key = (key ^ seed[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(32)
-        wanted = (unknown[size:] > unknown[:n]) & (breaks[size - 1 :] > breaks[:n]) & (pos[size - 1 :] - pos[:n] <= size * p.min_words // 2)
+        wanted = (unknown[last + 1 :] > unknown[:n]) & (breaks[last:] > breaks[:n]) & (pos[last:] - pos[:n] <= len(members) * p.min_words // 2)
         for i in np.flatnonzero(wanted):
-            yield int(key[i].view(np.int64)), pos[i : i + size].tolist()
+            yield int(key[i].view(np.int64)), [int(pos[i + j]) for j in members]
 
 
 _LINE = ["doc_id", "keep_id", "origin", "stop", "keep_origin", "keep_stop", "matches", "sizes"]
@@ -401,7 +409,9 @@ def _aligned(rows: DataFrame, p: Params) -> DataFrame:
         codes, keep_codes = np.frombuffer(words, np.uint32), np.frombuffer(keep_words, np.uint32)
         doc, other = codes.tolist(), keep_codes.tolist()
         found: list[tuple[int, int]] = []
-        for pairs in sorted(map(np.ndarray.tolist, np.split(places, np.cumsum(np.frombuffer(sizes, "<i4"))[:-1]))):
+        waiting = sorted(map(np.ndarray.tolist, np.split(places, np.cumsum(np.frombuffer(sizes, "<i4"))[:-1])), reverse=True)
+        while waiting:
+            pairs = waiting.pop()
             (first, keep_first), (last, keep_last) = pairs[0], pairs[-1]
             if last + p.k > len(doc) or keep_last + p.k > len(other):
                 continue  # another text under the same doc_id
@@ -414,6 +424,10 @@ def _aligned(rows: DataFrame, p: Params) -> DataFrame:
             if e - s >= p.min_words and same >= p.similarity * max(e - s, oe - os):
                 yield doc_id, s + origin, e - s, keep_id, os + keep_origin, oe - os, same
                 found = [*found[-31:], (s, e)]
+            elif len(pairs) > 2:  # it may hold a passage and more: once again in two, cut where most words differ
+                gaps = [max(c - a, d - b) for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False)]
+                at = gaps.index(max(gaps)) + 1
+                waiting += [part for part in (pairs[at:], pairs[:at]) if len(part) > 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

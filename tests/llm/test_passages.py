@@ -68,3 +68,19 @@ def test_passages_with_edits_are_found(spark):
         assert got <= set(range(1, 120, 2))
         print(share, len(wanted), len(set(wanted) - got))
         assert len(got & set(wanted)) >= least * len(wanted)
+
+
+def test_edited_passages_split_between_earlier_documents_are_covered(spark):
+    r = random.Random(5)
+    for share, least in ((0.0, 1.0), (0.05, 0.97), (0.1, 0.9), (0.15, 0.8)):
+        texts = []
+        for i in range(60):
+            passage, around = prose(100, 10000 + i).split(), [prose(80, 20000 + 10 * i + j).split() for j in range(4)]
+            edited = [r.choice(WORDS) if r.random() < share else w for w in passage]
+            # 45 words each in the first two documents, all in the third, all with edits in the fourth
+            texts += [" ".join(a[:40] + part + a[40:]) for a, part in zip(around, (passage[:45], passage[55:], passage, edited))]
+        rows = substrings.op5(docs(spark, texts)).collect()
+        shares = [len(covered(rows, n) & set(range(40, 140))) for n in range(3, 240, 4)]
+        assert {x.doc_id for x in rows} <= set(range(3, 240, 4))
+        print(share, sum(n >= 90 for n in shares), sum(n > 0 for n in shares))
+        assert sum(n >= 90 for n in shares) >= least * 60 and sum(n > 0 for n in shares) >= 0.9 * 60
