@@ -5,7 +5,7 @@
    has one.
 2. A seed that several documents share links each of them to the one with the
    smallest doc_id: links grow with the seeds and never with their square.
-   Where near seeds lead to different places, each pair of them, up to 6 seeds
+   Where near seeds lead to different places, each pair of them, up to 12 seeds
    apart, and each run of 4 or 8 is a key of its own and links to the first
    document with that key, so a passage whose parts come first in several
    documents is found as a whole, also where edits took seeds between.
@@ -48,6 +48,8 @@ BROADCAST_IDS = 500_000
 RUNS = (4, 8)
 #: A pair of seeds in a key has fewer shared seeds than this between them: edits leave out seeds on one side only.
 REACH = 12
+#: Bits of a distance within a key.
+SPAN = 16
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)]
 
 
@@ -259,30 +261,39 @@ def shared_seeds(docs: DataFrame, p: Params) -> DataFrame:
     return found.join(shared, "seed").groupBy("doc_id").agg(F.collect_list(F.struct(place, "seed", "keep_id", "keep_pos")).alias("links"))
 
 
-def runs(pos: np.ndarray, seed: np.ndarray, keep: np.ndarray, keep_pos: np.ndarray, known: np.ndarray, p: Params) -> Iterator[tuple[int, list[int]]]:
-    """(key, positions) of each pair or run of near shared seeds that don't lead to one stretch of one document and aren't all known to be in passages."""
+def runs(pos: np.ndarray, seed: np.ndarray, keep: np.ndarray, keep_pos: np.ndarray, known: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places) of the pairs and runs of near shared seeds that don't lead to one stretch of one document and aren't all known to be in passages.
+
+    A place is the position of the first seed, shifted by SPAN bits, and the
+    distance of the last one; its complement where the key was there before.
+    """
     order = np.argsort(pos, kind="stable")
-    pos, seed, keep, keep_pos, known = pos[order], seed[order].view(np.uint64), keep[order], keep_pos[order], known[order]
+    pos, seed, keep, keep_pos, known = pos[order].astype(np.int64), seed[order].view(np.uint64), keep[order], keep_pos[order], known[order]
     unknown = np.concatenate([[0], np.cumsum(~known)])
-    step = np.diff(pos)
-    breaks = np.concatenate([[0], np.cumsum((np.diff(keep) != 0) | (np.diff(keep_pos) != step))])
+    breaks = np.concatenate([[0], np.cumsum((np.diff(keep) != 0) | (np.diff(keep_pos) != np.diff(pos)))])
+    keys, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for members in [*((0, i) for i in range(1, REACH + 1)), *(tuple(range(size)) for size in RUNS)]:
         last = members[-1]
         n = len(pos) - last
         if n < 1:
             continue
-        key = np.full(n, len(members), np.uint64)
+        span = pos[last:] - pos[:n]
+        at = np.flatnonzero((unknown[last + 1 :] > unknown[:n]) & (breaks[last:] > breaks[:n]) & (span <= len(members) * p.min_words // 2))
+        key = np.full(len(at), len(members), np.uint64)
         for i in members:
-            key = (key ^ seed[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            key = (key ^ seed[at + i]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(32)
-        wanted = (unknown[last + 1 :] > unknown[:n]) & (breaks[last:] > breaks[:n]) & (pos[last:] - pos[:n] <= len(members) * p.min_words // 2)
-        for i in np.flatnonzero(wanted):
-            yield int(key[i].view(np.int64)), [int(pos[i + j]) for j in members]
+        keys.append(key.view(np.int64))
+        places.append((pos[at] << SPAN) | span[at])
+    key, place = np.concatenate(keys), np.concatenate(places)
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    return key, np.where(np.concatenate([[False], key[1:] == key[:-1]])[: len(key)], ~place, place)
 
 
-_LINE = ["doc_id", "keep_id", "origin", "stop", "keep_origin", "keep_stop", "matches", "sizes"]
-_LINE_KINDS = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.binary()]
-_LINE_SCHEMA = "doc_id bigint, keep_id bigint, origin int, stop int, keep_origin int, keep_stop int, matches binary, sizes binary"
+_LINE = ["doc_id", "keep_id", "origin", "stop", "keep_origin", "keep_stop", "matches", "sizes", "place"]
+_LINE_KINDS = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.binary(), pa.int64()]
+_LINE_SCHEMA = "doc_id bigint, keep_id bigint, origin int, stop int, keep_origin int, keep_stop int, matches binary, sizes binary, place bigint"
 
 
 def solid(pos: np.ndarray, keep_pos: np.ndarray, p: Params) -> bool:
@@ -335,26 +346,35 @@ def together(lines: list[tuple]) -> Iterator[tuple]:
         yield (*group[:6], b"".join(group[6]), np.array(group[7], "<i4").tobytes())
 
 
-def _lines(rows: DataFrame, each: Callable[[int, pa.StructArray], Iterator[tuple]]) -> DataFrame:
-    """(doc_id, links) -> the lines that each(doc_id, links) gives."""
+def _lines(rows: DataFrame, each: Callable[[int, pa.StructArray], tuple[list[tuple], np.ndarray, np.ndarray]]) -> DataFrame:
+    """(doc_id, links) -> the lines that each(doc_id, links) gives, and its keys of runs as rows with a place and no stretches."""
+    lines, keys = slice(0, len(_LINE) - 1), [_LINE.index(n) for n in ("doc_id", "keep_id", "place")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 lists, out = batch.column("links"), []
+                runs_of = [[np.empty(0, np.int64)] for _ in keys]
                 for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                    out.extend(each(doc_id, lists[i].values))
-                columns = list(zip(*out, strict=True)) if out else [()] * len(_LINE)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _LINE_KINDS, strict=True)], _LINE)
+                    found, key, place = each(doc_id, lists[i].values)
+                    out.extend(found)
+                    for column, values in zip(runs_of, (np.full(len(key), doc_id, np.int64), key, place), strict=True):
+                        column.append(values)
+                columns = list(zip(*out, strict=True)) if out else [()] * len(_LINE[lines])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, _LINE_KINDS[lines], strict=True)), pa.nulls(len(out), _LINE_KINDS[-1])], _LINE)
+                many = dict(zip(keys, map(np.concatenate, runs_of), strict=True))
+                size = len(many[0])
+                yield pa.RecordBatch.from_arrays([pa.array(many[j], t) if j in many else pa.nulls(size, t) for j, t in enumerate(_LINE_KINDS)], _LINE)
 
     return rows.mapInArrow(run, _LINE_SCHEMA)
 
 
 def _chains(docs: DataFrame, p: Params) -> DataFrame:
-    """One row per promising chain, over links of single seeds and links of runs."""
+    """One row per promising chain, over links of single seeds and links of pairs and runs, of which the first and the last seed are matches."""
+    none = np.empty(0, np.int64)
 
-    def seeds_of(doc_id: int, links: pa.StructArray) -> Iterator[tuple]:
+    def seeds_of(doc_id: int, links: pa.StructArray) -> tuple[list[tuple], np.ndarray, np.ndarray]:
         pos, seed, keep, keep_pos = (links.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "seed", "keep_id", "keep_pos"))
         mine, known = np.flatnonzero(keep < doc_id), np.zeros(len(pos), bool)
         lines = []
@@ -362,25 +382,21 @@ def _chains(docs: DataFrame, p: Params) -> DataFrame:
             lines.append(line)
             if solid(pos[mine[found]], keep_pos[mine[found]], p):
                 known[mine[found]] = True
-        yield from together(lines)
-        for key, places in runs(pos, seed, keep, keep_pos, known, p):  # lines without an origin
-            yield doc_id, key, None, None, None, None, struct.pack(f"<{len(places)}i", *places), None
-
-    def runs_of(doc_id: int, links: pa.StructArray) -> Iterator[tuple]:
-        found = {
-            (x, link["keep_id"], y)
-            for link in links.to_pylist()
-            for x, y in zip(np.frombuffer(link["matches"], np.int32).tolist(), np.frombuffer(link["keep_matches"], np.int32).tolist(), strict=True)
-        }
-        pos, keep, keep_pos = np.array(sorted(found), np.int64).T
-        yield from together([line for line, _ in promising(doc_id, pos, keep, keep_pos, p)])
+        return [*together(lines)], *runs(pos, seed, keep, keep_pos, known, p)
+
+    def runs_of(doc_id: int, links: pa.StructArray) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        place, keep, keep_place = (links.field(n).to_numpy(zero_copy_only=False) for n in ("place", "keep_id", "keep_place"))
+        span = (1 << SPAN) - 1
+        ends = [np.stack([place >> SPAN, keep, keep_place >> SPAN]), np.stack([(place >> SPAN) + (place & span), keep, (keep_place >> SPAN) + (keep_place & span)])]
+        pos, keep, keep_pos = np.unique(np.concatenate(ends, axis=1), axis=1)
+        return [*together([line for line, _ in promising(doc_id, pos, keep, keep_pos, p)])], none, none
 
     lines = cut(_lines(shared_seeds(docs, p), seeds_of))
-    found = lines.where("origin IS NULL").select(F.col("keep_id").alias("key"), "doc_id", "matches")
-    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "matches")).alias("keep"), F.max("doc_id").alias("last_id")).where("last_id > keep.doc_id")
-    link = F.struct("matches", F.col("keep.doc_id").alias("keep_id"), F.col("keep.matches").alias("keep_matches"))
-    by_doc = found.join(first, "key").where("doc_id > keep.doc_id").groupBy("doc_id").agg(F.collect_list(link).alias("links"))
-    return lines.where("origin IS NOT NULL").union(_lines(by_doc, runs_of))
+    found = lines.where("place IS NOT NULL").select(F.col("keep_id").alias("key"), "doc_id", "place")
+    first = found.groupBy("key").agg(F.min("doc_id").alias("keep_id"), F.min_by("place", F.expr("CASE WHEN place >= 0 THEN doc_id END")).alias("keep_place"), F.max("doc_id").alias("last_id"))
+    place = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place")
+    by_doc = found.join(first.where("last_id > keep_id").drop("last_id"), "key").where("doc_id > keep_id").groupBy("doc_id").agg(F.collect_list(F.struct(place, "keep_id", "keep_place")).alias("links"))
+    return lines.where("place IS NULL").union(_lines(by_doc, runs_of)).drop("place")
 
 
 def may_agree(a: np.ndarray, b: np.ndarray, p: Params) -> bool:
