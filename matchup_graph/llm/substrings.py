@@ -5,8 +5,8 @@
    has one.
 2. A seed that several documents share links each of them to the one with the
    smallest doc_id: links grow with the seeds and never with their square.
-   Where near seeds lead to different places, each pair of them, up to 12 seeds
-   apart, and each run of 4 or 8 is a key of its own and links to the first
+   Where near seeds lead to different places, each pair of them, up to 8 seeds
+   apart, with its distance and each run of 4 or 8 is a key of its own and links to the first
    document with that key, so a passage whose parts come first in several
    documents is found as a whole, also where edits took seeds between.
 3. The links of a document to one earlier document are chained: matches in
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, cut, trim
+from .common import blobs, cut, stored, trim
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ BROADCAST_IDS = 500_000
 #: Seeds in a key, where single ones don't lead to one place.
 RUNS = (4, 8)
 #: A pair of seeds in a key has fewer shared seeds than this between them: edits leave out seeds on one side only.
-REACH = 12
+REACH = 8
 #: Bits of a distance within a key.
 SPAN = 16
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)]
@@ -207,7 +207,7 @@ def align(doc: list[int], other: list[int], matches: list[tuple[int, int]], p: P
         long, alike = out[1] - out[0] >= p.min_words, out[4] >= p.similarity * max(out[1] - out[0], out[3] - out[2])
         if long and alike and (best is None or out[1] - out[0] > best[1] - best[0]):
             best = out
-        if best and cost == 1:
+        if best and (cost == 1 or best[4] > 0.95 * (best[1] - best[0])):  # what agrees nearly everywhere ends where it ends
             break
     return best or out
 
@@ -279,7 +279,9 @@ def runs(pos: np.ndarray, seed: np.ndarray, keep: np.ndarray, keep_pos: np.ndarr
             continue
         span = pos[last:] - pos[:n]
         at = np.flatnonzero((unknown[last + 1 :] > unknown[:n]) & (breaks[last:] > breaks[:n]) & (span <= len(members) * p.min_words // 2))
-        key = np.full(len(at), len(members), np.uint64)
+        # edits of single words leave a distance as it is; only of neighbours is it left open
+        key = span[at].astype(np.uint64) << np.uint64(8) if len(members) == 2 and last > 1 else np.zeros(len(at), np.uint64)
+        key += np.uint64(len(members))
         for i in members:
             key = (key ^ seed[at + i]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(32)
@@ -391,7 +393,7 @@ def _chains(docs: DataFrame, p: Params) -> DataFrame:
         pos, keep, keep_pos = np.unique(np.concatenate(ends, axis=1), axis=1)
         return [*together([line for line, _ in promising(doc_id, pos, keep, keep_pos, p)])], none, none
 
-    lines = cut(_lines(shared_seeds(docs, p), seeds_of))
+    lines = stored(_lines(shared_seeds(docs, p), seeds_of))
     found = lines.where("place IS NOT NULL").select(F.col("keep_id").alias("key"), "doc_id", "place")
     first = found.groupBy("key").agg(F.min("doc_id").alias("keep_id"), F.min_by("place", F.expr("CASE WHEN place >= 0 THEN doc_id END")).alias("keep_place"), F.max("doc_id").alias("last_id"))
     place = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place")
@@ -425,9 +427,10 @@ def _aligned(rows: DataFrame, p: Params) -> DataFrame:
         codes, keep_codes = np.frombuffer(words, np.uint32), np.frombuffer(keep_words, np.uint32)
         doc, other = codes.tolist(), keep_codes.tolist()
         found: list[tuple[int, int]] = []
-        waiting = sorted(map(np.ndarray.tolist, np.split(places, np.cumsum(np.frombuffer(sizes, "<i4"))[:-1])), reverse=True)
+        chains = sorted(map(np.ndarray.tolist, np.split(places, np.cumsum(np.frombuffer(sizes, "<i4"))[:-1])), reverse=True)
+        waiting = [(pairs, p.margin) for pairs in chains]
         while waiting:
-            pairs = waiting.pop()
+            pairs, most = waiting.pop()
             (first, keep_first), (last, keep_last) = pairs[0], pairs[-1]
             if last + p.k > len(doc) or keep_last + p.k > len(other):
                 continue  # another text under the same doc_id
@@ -440,10 +443,14 @@ def _aligned(rows: DataFrame, p: Params) -> DataFrame:
             if e - s >= p.min_words and same >= p.similarity * max(e - s, oe - os):
                 yield doc_id, s + origin, e - s, keep_id, os + keep_origin, oe - os, same
                 found = [*found[-31:], (s, e)]
-            elif len(pairs) > 2:  # it may hold a passage and more: once again in two, cut where most words differ
-                gaps = [max(c - a, d - b) for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False)]
-                at = gaps.index(max(gaps)) + 1
-                waiting += [part for part in (pairs[at:], pairs[:at]) if len(part) > 1]
+                continue
+            while most > 2 * p.k:  # it may hold a passage and more: once again in parts, cut at wide gaps, at most twice
+                most //= 2
+                a, b = zip(*pairs, strict=True)
+                parts = pieces([*range(len(pairs))], a, b, most)
+                if len(parts) > 1:
+                    waiting += [([pairs[j] for j in part], most) for part in reversed(parts) if len(part) > 1]
+                    break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
