@@ -19,7 +19,7 @@
 
 import struct
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -146,70 +146,100 @@ def _common(a: list[int], b: list[int]) -> int:
     return row[-1]
 
 
-def extend(a: list[int], b: list[int], p: Params, cost: int) -> tuple[int, int, int]:
-    """(words of a, words of b, words in common) of the best start of both lists.
+def _filled(rows: list[np.ndarray], size: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
+    out = np.full((len(rows), size), fill, np.int64)
+    for i, row in enumerate(rows):
+        out[i, : len(row)] = row
+    return out, np.array([len(row) for row in rows], np.int64)
 
-    A common word counts 1, each differing, extra or missing one -cost; lists
-    shift against each other by at most `band` words, and the search ends where
-    all falls `drop` * cost / 2 below the best.
+
+def extend(a: list[np.ndarray], b: list[np.ndarray], p: Params, cost: int) -> np.ndarray:
+    """Rows of (words of a, words of b, words in common): for each pair of stretches, of `margin` words at most, their best starts.
+
+    A common word counts 1, each differing, extra or missing one -cost; of equal
+    sums the one with more words in common counts.  Stretches shift against each
+    other by at most `band` words, and the search ends where all falls
+    `drop` * cost / 2 below the best.  All pairs are worked on together.
     """
-    i, n = 0, min(len(a), len(b))
-    while i < n and a[i] == b[i]:
-        i += 1
-    best, found = 0, (0, 0, 0)
-    if i < n:
-        x, y, low = a[i:], b[i:], -p.drop * cost // 2
-        row = {j: (-cost * j, 0) for j in range(min(p.band, len(y)) + 1)}
-        for u in range(1, len(x) + 1):
-            word, new, left, top = x[u - 1], {}, None, best + low - 1
-            for j in range(max(0, u - p.band), min(len(y), u + p.band) + 1):
-                value = None
-                up, slant = row.get(j), row.get(j - 1)
-                if slant is not None:
-                    value = (slant[0] + 1, slant[1] + 1) if word == y[j - 1] else (slant[0] - cost, slant[1])
-                if up is not None and (value is None or up[0] - cost > value[0]):
-                    value = (up[0] - cost, up[1])
-                if left is not None and (value is None or left[0] - cost > value[0]):
-                    value = (left[0] - cost, left[1])
-                if value is None:
-                    continue
-                new[j] = left = value
-                if value[0] > top:
-                    top = value[0]
-                if value[0] > best:
-                    best, found = value[0], (u, j, value[1])
-            row = new
-            if top < best + low:
-                break
-    return i + found[0], i + found[1], i + found[2]
-
-
-def align(doc: list[int], other: list[int], matches: list[tuple[int, int]], p: Params) -> tuple[int, int, int, int, int]:
-    """(start, end, other start, other end, words in common) of a chain between two word lists."""
-    a, b = matches[0]
-    same = 0
-    end, other_end = matches[0]
-    for x, y in matches:
-        skip = max(0, end - x, other_end - y)
-        if skip >= p.k:
-            continue
-        gap, other_gap = doc[end : x + skip], other[other_end : y + skip]
-        if gap or other_gap:
-            same += len(gap) if gap == other_gap else _common(gap, other_gap)
-        same += p.k - skip
-        end, other_end = x + p.k, y + p.k
-    before, after = (doc[max(0, a - p.margin) : a][::-1], other[max(0, b - p.margin) : b][::-1]), (doc[end : end + p.margin], other[other_end : other_end + p.margin])
-    best = None
-    for cost in (2, 1, 4):  # a cost of 1 goes on over more differing words, one of 4 keeps the agreement of what is added at 0.8
-        m, n, more = extend(*before, p, cost)
-        u, v, last = extend(*after, p, cost)
-        out = a - m, end + u, b - n, other_end + v, same + more + last
-        long, alike = out[1] - out[0] >= p.min_words, out[4] >= p.similarity * max(out[1] - out[0], out[3] - out[2])
-        if long and alike and (best is None or out[1] - out[0] > best[1] - best[0]):
-            best = out
-        if best and (cost == 1 or best[4] > 0.95 * (best[1] - best[0])):  # what agrees nearly everywhere ends where it ends
+    (x, rows), (y, cols) = _filled(a, p.margin, -1), _filled(b, p.margin, -2)
+    same = np.logical_and.accumulate(x == y, axis=1).sum(axis=1)
+    out = np.stack([same] * 3, axis=1)
+    at = np.flatnonzero(same < np.minimum(rows, cols))
+    rows, cols = rows[at] - same[at], cols[at] - same[at]
+    rest = same[at][:, None] + np.arange(p.margin)
+    x = np.take_along_axis(np.pad(x[at], ((0, 0), (0, p.margin)), constant_values=-1), rest, 1)
+    y = np.take_along_axis(np.pad(y[at], ((0, 0), (0, p.margin)), constant_values=-2), rest, 1)
+    y = np.pad(y, ((0, 0), (p.band, 2 * p.band)), constant_values=-2)
+    # a cell holds its sum times `unit`, plus its words in common; column c of row u stands for word u - band + c of b
+    width, never = 2 * p.band + 1, -(1 << 28)
+    unit = 1 << p.margin.bit_length()
+    step, low = cost * unit, -p.drop * cost // 2
+    ramp = step * np.arange(width)
+    offset = np.arange(width) - p.band
+    row = np.full((len(at), width + 1), never, np.int64)
+    row[:, :-1] = np.where((offset >= 0) & (offset <= cols[:, None]), -step * offset, never)
+    best, live = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+    for u in range(1, p.margin + 1):
+        live &= rows >= u
+        if 4 * live.sum() < 3 * len(live):
+            at, x, y, row, rows, cols, best, live = (v[live] for v in (at, x, y, row, rows, cols, best, live))
+        if not len(at):
             break
-    return best or out
+        slant = row[:, :-1] + np.where(y[:, u - 1 : u - 1 + width] == x[:, u - 1 : u], unit + 1, -step)
+        there = (u + offset >= 0) & (u + offset <= cols[:, None])
+        cells = np.where(there, np.maximum(slant, row[:, 1:] - step), never)
+        row[:, :-1] = np.where(there, np.maximum.accumulate(cells + ramp, axis=1) - ramp, never)
+        column = row.argmax(axis=1)
+        top = row[np.arange(len(at)), column]
+        value = top // unit
+        better = live & (value > best)
+        best[better] = value[better]
+        i = at[better]
+        out[i] = same[i][:, None] + np.stack([np.full(len(i), u), u + offset[column[better]], top[better] % unit], axis=1)
+        live &= value >= best + low
+    return out
+
+
+def align(stretches: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]], p: Params) -> list[tuple[int, int, int, int, int]]:
+    """For each chain (words, other words, matches): (start, end, other start, other end, words in common)."""
+    bodies, before, after = [], [], []
+    for doc, other, matches in stretches:
+        a, b = matches[0]
+        same = 0
+        end, other_end = matches[0]
+        for x, y in matches:
+            skip = max(0, end - x, other_end - y)
+            if skip >= p.k:
+                continue
+            if x + skip > end or y + skip > other_end:
+                gap, other_gap = doc[end : x + skip].tolist(), other[other_end : y + skip].tolist()
+                same += len(gap) if gap == other_gap else _common(gap, other_gap)
+            same += p.k - skip
+            end, other_end = x + p.k, y + p.k
+        bodies.append((a, end, b, other_end, same))
+        before.append((doc[max(0, a - p.margin) : a][::-1], other[max(0, b - p.margin) : b][::-1]))
+        after.append((doc[end : end + p.margin], other[other_end : other_end + p.margin]))
+    best: list = [None] * len(bodies)
+    last: list = [None] * len(bodies)
+    todo = [*range(len(bodies))]
+    for cost in (2, 1, 4):  # a cost of 1 goes on over more differing words, one of 4 keeps the agreement of what is added at 0.8
+        ends = extend(*zip(*[before[i] for i in todo], *[after[i] for i in todo], strict=True), p, cost).tolist() if todo else []
+        again = []
+        for i, (m, n, more), (u, v, yet) in zip(todo, ends[: len(todo)], ends[len(todo) :], strict=True):
+            a, end, b, other_end, same = bodies[i]
+            out = last[i] = a - m, end + u, b - n, other_end + v, same + more + yet
+            if is_passage(out, p) and (best[i] is None or out[1] - out[0] > best[i][1] - best[i][0]):
+                best[i] = out
+            # what agrees nearly everywhere ends where it ends
+            if not (best[i] and (cost == 1 or best[i][4] > 0.95 * (best[i][1] - best[i][0]))):
+                again.append(i)
+        todo = again
+    return [one or two for one, two in zip(best, last, strict=True)]
+
+
+def is_passage(found: tuple[int, int, int, int, int], p: Params) -> bool:
+    start, end, other_start, other_end, same = found
+    return end - start >= p.min_words and same >= p.similarity * max(end - start, other_end - other_start)
 
 
 def _code_rows(docs: DataFrame) -> DataFrame:
@@ -418,45 +448,78 @@ def may_agree(a: np.ndarray, b: np.ndarray, p: Params) -> bool:
     return int((there[at] == mine).sum()) >= least
 
 
-def _aligned(rows: DataFrame, p: Params) -> DataFrame:
-    around = p.window + p.k
-    names = ["doc_id", "start", "n_words", "keep_id", "keep_start", "keep_words", "n_same"]
+@dataclass
+class _Chain:
+    """A chain of a line: its matches, the widest gap it may have, what its alignment found, and its parts where that is no passage."""
+
+    line: int
+    pairs: list[tuple[int, int]]
+    most: int
+    found: tuple[int, int, int, int, int] | None = None
+    parts: list["_Chain"] = field(default_factory=list)
+
+
+def _parts(chain: _Chain, p: Params) -> list[_Chain]:
+    """A chain that is no passage may hold one and more: its parts between wide gaps; a chain is cut at most twice."""
+    most = chain.most
+    a, b = zip(*chain.pairs, strict=True)
+    while most > 2 * p.k:
+        most //= 2
+        parts = pieces([*range(len(a))], a, b, most)
+        if len(parts) > 1:
+            return [_Chain(chain.line, [chain.pairs[j] for j in part], most) for part in parts if len(part) > 1]
+    return []
 
-    def line(doc_id: int, keep_id: int, origin: int, keep_origin: int, matches: bytes, sizes: bytes, words: bytes, keep_words: bytes) -> Iterator[tuple]:
+
+def aligned(lines: list[tuple], p: Params) -> Iterator[tuple]:
+    """Passages of lines (doc_id, keep_id, origin, keep_origin, matches, sizes, words, keep_words); chains are aligned in blocks of 1,024."""
+    around = p.window + p.k
+    codes = [(np.frombuffer(x[6], np.uint32), np.frombuffer(x[7], np.uint32)) for x in lines]
+    whole: list[list[_Chain]] = []
+    for i, (_, _, origin, keep_origin, matches, sizes, _, _) in enumerate(lines):
         places = np.frombuffer(matches, np.int32).reshape(-1, 2) - np.array([origin, keep_origin])
-        codes, keep_codes = np.frombuffer(words, np.uint32), np.frombuffer(keep_words, np.uint32)
-        doc, other = codes.tolist(), keep_codes.tolist()
-        found: list[tuple[int, int]] = []
-        chains = sorted(map(np.ndarray.tolist, np.split(places, np.cumsum(np.frombuffer(sizes, "<i4"))[:-1])), reverse=True)
-        waiting = [(pairs, p.margin) for pairs in chains]
-        while waiting:
-            pairs, most = waiting.pop()
-            (first, keep_first), (last, keep_last) = pairs[0], pairs[-1]
+        chains = sorted((c.tolist() for c in np.split(places, np.cumsum(np.frombuffer(sizes, "<i4"))[:-1])), reverse=True)
+        whole.append([_Chain(i, pairs, p.margin) for pairs in chains])
+    waiting = [c for chains in whole for c in chains]
+    while waiting:
+        block, waiting = waiting[-1024:], waiting[:-1024]
+        likely = []
+        for c in block:
+            (first, keep_first), (last, keep_last) = c.pairs[0], c.pairs[-1]
+            doc, other = codes[c.line]
             if last + p.k > len(doc) or keep_last + p.k > len(other):
                 continue  # another text under the same doc_id
-            if any(a <= max(0, first - around) and b >= min(len(doc), last + p.k + around) for a, b in found):
-                continue  # inside a passage that goes on so far that this chain would have had its next seed there
             lo, keep_lo = max(0, first - p.margin), max(0, keep_first - p.margin)
-            if not may_agree(codes[lo : last + p.k + p.margin], keep_codes[keep_lo : keep_last + p.k + p.margin], p):
-                continue
-            s, e, os, oe, same = align(doc, other, [*map(tuple, pairs)], p)
-            if e - s >= p.min_words and same >= p.similarity * max(e - s, oe - os):
+            if may_agree(doc[lo : last + p.k + p.margin], other[keep_lo : keep_last + p.k + p.margin], p):
+                likely.append(c)
+        for c, out in zip(likely, align([(*codes[c.line], c.pairs) for c in likely], p), strict=True):
+            if is_passage(out, p):
+                c.found = out
+            else:
+                c.parts = _parts(c, p)
+                waiting += c.parts
+    for (doc_id, keep_id, origin, keep_origin, *_), (doc, _), chains in zip(lines, codes, whole, strict=True):
+        inside: list[tuple[int, int]] = []
+        left = chains
+        while left:
+            c = left.pop()
+            if any(a <= max(0, c.pairs[0][0] - around) and b >= min(len(doc), c.pairs[-1][0] + p.k + around) for a, b in inside):
+                continue  # inside a passage that goes on so far that this chain would have had its next seed there
+            if c.found:
+                s, e, os, oe, same = c.found
                 yield doc_id, s + origin, e - s, keep_id, os + keep_origin, oe - os, same
-                found = [*found[-31:], (s, e)]
-                continue
-            while most > 2 * p.k:  # it may hold a passage and more: once again in parts, cut at wide gaps, at most twice
-                most //= 2
-                a, b = zip(*pairs, strict=True)
-                parts = pieces([*range(len(pairs))], a, b, most)
-                if len(parts) > 1:
-                    waiting += [([pairs[j] for j in part], most) for part in reversed(parts) if len(part) > 1]
-                    break
+                inside = [*inside[-31:], (s, e)]
+            left += reversed(c.parts)
+
+
+def _aligned(rows: DataFrame, p: Params) -> DataFrame:
+    names = ["doc_id", "start", "n_words", "keep_id", "keep_start", "keep_words", "n_same"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                out = [x for row in zip(*(column.to_pylist() for column in batch.columns), strict=True) for x in line(*row)]
+                out = [*aligned([*zip(*(column.to_pylist() for column in batch.columns), strict=True)], p)]
                 columns = list(zip(*out, strict=True)) if out else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
         trim()

@@ -84,3 +84,35 @@ def test_edited_passages_split_between_earlier_documents_are_covered(spark):
         assert {x.doc_id for x in rows} <= set(range(3, 240, 4))
         print(share, sum(n >= 90 for n in shares), sum(n > 0 for n in shares))
         assert sum(n >= 90 for n in shares) >= least * 60 and sum(n > 0 for n in shares) >= 0.9 * 60
+
+
+def best_starts(a, b, p, cost):
+    """(value, words in common) -> starts of both lists with them, over the whole band and without an early end."""
+    cells = {(0, 0): (0, 0)}
+    for i in range(len(a) + 1):
+        for j in range(max(0, i - p.band), min(len(b), i + p.band) + 1):
+            options = [cells[0, 0]] if i == j == 0 else []
+            if (i - 1, j - 1) in cells:
+                value, same = cells[i - 1, j - 1]
+                options.append((value + 1, same + 1) if a[i - 1] == b[j - 1] else (value - cost, same))
+            options += [(cells[c][0] - cost, cells[c][1]) for c in ((i - 1, j), (i, j - 1)) if c in cells]
+            cells[i, j] = max(options)
+    best = max(value for value, _ in cells.values())
+    return best, {(i, j, same) for (i, j), (value, same) in cells.items() if value == best}
+
+
+def test_extension_equals_a_plain_alignment(spark):
+    r, p = random.Random(2), substrings.Params(drop=1000)
+    a, b = [[], [1, 2], [], [5]], [[], [], [3], [6]]
+    for _ in range(300):
+        x = [r.randrange(40) for _ in range(r.randrange(p.margin + 1))]
+        y = [w for word in x for w in ([word] if r.random() < 0.85 else r.choice([[], [r.randrange(40)], [word, 3]]))]
+        a.append(x)
+        b.append(y[: p.margin])
+    for cost in (1, 2, 4):
+        got = substrings.extend([np.array(x, np.uint32) for x in a], [np.array(y, np.uint32) for y in b], p, cost).tolist()
+        for x, y, found in zip(a, b, got, strict=True):
+            # equal words at the start are taken first, as no alignment gains by leaving them
+            n = next((i for i, (v, w) in enumerate(zip(x, y)) if v != w), min(len(x), len(y)))
+            _, starts = best_starts(x[n:], y[n:], p, cost)
+            assert (found[0] - n, found[1] - n, found[2] - n) in starts
