@@ -71,8 +71,12 @@ def seeds(codes: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     if n > p.window:
-        low = np.lib.stride_tricks.sliding_window_view(h, p.window).argmin(axis=1) + np.arange(n - p.window + 1)
-        at = np.unique(low)
+        least, low = h[: n - p.window + 1].copy(), np.arange(n - p.window + 1)
+        for i in range(1, p.window):
+            smaller = h[i : i + len(least)] < least
+            np.copyto(least, h[i : i + len(least)], where=smaller)
+            np.copyto(low, np.arange(i, i + len(low)), where=smaller)
+        at = low[np.concatenate([[True], low[1:] != low[:-1]])]  # the first smallest one never moves back
     else:
         at = np.array([h.argmin()])
     return h[at].view(np.int64), at
@@ -85,11 +89,18 @@ def chain(pos: list[int], other: list[int], k: int, gap_cost: float) -> list[lis
     over matches j that lie before i on both sides.
     """
     n = len(pos)
-    order = sorted(range(n), key=lambda i: (pos[i], other[i]))
+    order = sorted(range(n), key=[*zip(pos, other, strict=True)].__getitem__)
+    score, before = [float(k)] * n, [-1] * n
+    if all(pos[j] < pos[i] and other[j] < other[i] for j, i in zip(order, order[1:], strict=False)):
+        # all in order on both sides: gaps add up, so a match's best predecessor is the one just before
+        for j, i in zip(order, order[1:], strict=False):
+            gain = score[j] + gap_cost * (pos[j] + other[j]) - gap_cost * (pos[i] + other[i])
+            if gain > 0:
+                score[i], before[i] = k + gain, j
+        return _taken(pos, other, score, before)
     rank = {v: r for r, v in enumerate(sorted(set(other)), 1)}
     size = len(rank)
     tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (size + 1)
-    score, before = [0.0] * n, [-1] * n
     waiting: list[tuple[int, float, int]] = []
     here = None
     for i in order:
@@ -112,8 +123,13 @@ def chain(pos: list[int], other: list[int], k: int, gap_cost: float) -> list[lis
         if gain > 0:
             before[i] = best[1]
         waiting.append((mine, score[i] + place, i))
-    chains, used = [], [False] * n
-    for i in sorted(range(n), key=lambda i: (-score[i], pos[i], other[i])):
+    return _taken(pos, other, score, before)
+
+
+def _taken(pos: list[int], other: list[int], score: list[float], before: list[int]) -> list[list[int]]:
+    """Chains from their best ends back, each up to a match that a better one has."""
+    chains, used = [], [False] * len(pos)
+    for i in sorted(range(len(pos)), key=[*zip([-x for x in score], pos, other, strict=True)].__getitem__):
         found = []
         while i >= 0 and not used[i]:
             used[i] = True
@@ -174,9 +190,9 @@ def extend(a: list[np.ndarray], b: list[np.ndarray], p: Params, cost: int) -> np
     width, never = 2 * p.band + 1, -(1 << 28)
     unit = 1 << p.margin.bit_length()
     step, low = cost * unit, -p.drop * cost // 2
-    ramp = step * np.arange(width)
+    ramp = step * np.arange(width, dtype=np.int32)
     offset = np.arange(width) - p.band
-    row = np.full((len(at), width + 1), never, np.int64)
+    row = np.full((len(at), width + 1), never, np.int32)
     row[:, :-1] = np.where((offset >= 0) & (offset <= cols[:, None]), -step * offset, never)
     best, live = np.zeros(len(at), np.int64), np.ones(len(at), bool)
     for u in range(1, p.margin + 1):
@@ -185,9 +201,9 @@ def extend(a: list[np.ndarray], b: list[np.ndarray], p: Params, cost: int) -> np
             at, x, y, row, rows, cols, best, live = (v[live] for v in (at, x, y, row, rows, cols, best, live))
         if not len(at):
             break
-        slant = row[:, :-1] + np.where(y[:, u - 1 : u - 1 + width] == x[:, u - 1 : u], unit + 1, -step)
+        slant = row[:, :-1] + np.where(y[:, u - 1 : u - 1 + width] == x[:, u - 1 : u], np.int32(unit + 1), np.int32(-step))
         there = (u + offset >= 0) & (u + offset <= cols[:, None])
-        cells = np.where(there, np.maximum(slant, row[:, 1:] - step), never)
+        cells = np.where(there, np.maximum(slant, row[:, 1:] - step), np.int32(never))
         row[:, :-1] = np.where(there, np.maximum.accumulate(cells + ramp, axis=1) - ramp, never)
         column = row.argmax(axis=1)
         top = row[np.arange(len(at)), column]
