@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: ASCII white space, as byte strings' own split() and strip() take it.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Whether Spark removes the shuffle files of a query when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that are worked on together.
 BLOCK = 1 << 19
 
@@ -43,10 +45,18 @@ def cut(frame: DataFrame) -> DataFrame:
 
 
 def stored(frame: DataFrame) -> DataFrame:
-    """Cut the lineage with Parquet files in the shared folder: many narrow rows take a fraction of a checkpoint's space there."""
-    path = f"{shared_folder(frame.sparkSession)}/stored-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """Cut the lineage with Parquet files in the shared folder: many narrow rows take a fraction of a checkpoint's space there.
+
+    Once they are written, the shuffle files that led to them are removed.
+    """
+    spark = frame.sparkSession
+    path, before = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}", conf(spark, FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -555,7 +555,7 @@ def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
     Columns other than doc_id and text are left out, whatever their names.
     """
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    chains = cut(_chains(docs, p))
+    chains = stored(_chains(docs, p))
     ids = cut(chains.select(F.explode(F.array("doc_id", "keep_id")).alias("doc_id")).distinct())
     small = ids.count() <= BROADCAST_IDS
     codes = _code_rows(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"))
