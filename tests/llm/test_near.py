@@ -114,3 +114,21 @@ def test_near_rounds_reach_pairs_behind_a_smaller_stranger(spark, monkeypatch):
     monkeypatch.setattr(simhash, "WHOLE_BAND", 1)
     texts = [prose(100, 1), prose(100, 2), prose(100, 2) + " more", prose(100, 3), prose(100, 3) + " more", None, ""]
     assert sorted(r.doc_id for r in simhash.apply_simhash(docs(spark, texts)).collect()) == [0, 1, 3, 5]
+
+
+def test_near_stage_takes_simhash_links(spark, monkeypatch):
+    """No two documents share a band here: only fingerprints can find the copies, and whole sets must refuse equal fingerprints of unlike texts."""
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: [])
+    base = prose(400, 9).split()
+    variants = [" ".join([*base[:i], "zz", *base[i:]]) for i in range(0, 400, 9)]
+    fp = lambda text: simhash.fingerprint(text.encode())
+    apart = {}
+    for text in variants:
+        apart.setdefault(bin((fp(text) ^ fp(" ".join(base))) & (2**64 - 1)).count("1"), text)
+    near = [text for bits, text in sorted(apart.items()) if bits <= 2]
+    assert near
+    alike = ["x " * 2000 + prose(60, 1), "x " * 2000 + prose(60, 2)]
+    assert fp(alike[0]) == fp(alike[1])
+    texts = [" ".join(base), *near, *alike, prose(300, 4)]
+    kept = sorted(r.doc_id for r in simhash.apply_simhash(docs(spark, texts)).collect())
+    assert kept == [0, *range(1 + len(near), len(texts))]
