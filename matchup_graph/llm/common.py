@@ -97,7 +97,7 @@ def text_batches(batch: pa.RecordBatch, size: int = BLOCK) -> Iterator[tuple[pa.
 
 
 def map_texts(frame: DataFrame, each: Callable[[bytes | None], tuple], schema: str, keep: list[str], batch_rows: int = 512) -> DataFrame:
-    """Carry `keep` along and add `schema`'s columns, computed from the column `text` by each(bytes or None)."""
+    """Carry `keep` along and add `schema`'s columns, computed from the column `text` by each(bytes or None), which has no caches."""
     carried = frame.select(*keep, "text")
     types = {f.name: f.dataType.simpleString() for f in carried.select(*keep).schema}
     added = to_arrow_schema(StructType.fromDDL(schema))
@@ -105,6 +105,7 @@ def map_texts(frame: DataFrame, each: Callable[[bytes | None], tuple], schema: s
     whole = ", ".join([*(f"`{k}` {types[k]}" for k in keep), schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("texts")
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(at, batch_rows)
@@ -119,8 +120,8 @@ def map_texts(frame: DataFrame, each: Callable[[bytes | None], tuple], schema: s
 _owner: dict[str, list[Callable]] = {}
 
 
-def claim(owner: str, clear: Callable[[], None]) -> None:
-    """Note a cache of this Python worker under its owner; the caches of any other owner are emptied.
+def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Note a cache of this Python worker under its owner, who may have none; the caches of any other owner are emptied.
 
     Workers live on from stage to stage, so without this each would hold what
     all earlier operators have cached.
@@ -131,7 +132,7 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
         _owner.clear()
         _owner[owner] = []
         trim()
-    if clear not in _owner[owner]:
+    if clear and clear not in _owner[owner]:
         _owner[owner].append(clear)
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, release, trim
+from .common import claim, cut, map_texts, release, trim
 from .components import components
 
 SEED = 42
@@ -166,6 +166,7 @@ def grouped_links(members: DataFrame, hashed: DataFrame, similarity: float) -> D
     """(group, doc_id), at most WHOLE_BAND documents a group -> links (u, v), u > v, that join each group as all its pairs would."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sets")
         last, ids, sets = None, [], []
 
         def flush() -> pa.RecordBatch:
@@ -211,6 +212,7 @@ def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     sets = lambda frame: map_texts(frame, lambda text: (shingle_hashes(text, width).tobytes(),), "hashes binary", ["doc_id"])
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sets")
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)

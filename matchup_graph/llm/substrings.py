@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, cut, stored, trim
+from .common import blobs, claim, cut, stored, trim
 
 
 @dataclass(frozen=True)
@@ -262,6 +262,7 @@ def _code_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, codes): word hashes, cut to 32 bits, as bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("passages")
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -275,6 +276,7 @@ def _seed_rows(docs: DataFrame, p: Params) -> DataFrame:
     """(seed, doc_id, pos); pos is ~pos where the document has the seed before."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("passages")
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -399,6 +401,7 @@ def _lines(rows: DataFrame, each: Callable[[int, pa.StructArray], tuple[list[tup
     lines, keys = slice(0, len(_LINE) - 1), [_LINE.index(n) for n in ("doc_id", "keep_id", "place")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("passages")
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
@@ -532,6 +535,7 @@ def _aligned(rows: DataFrame, p: Params) -> DataFrame:
     names = ["doc_id", "start", "n_words", "keep_id", "keep_start", "keep_words", "n_same"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("passages")
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)

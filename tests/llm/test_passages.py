@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from matchup_graph.llm import substrings
+from matchup_graph.llm import common, simhash, substrings, tokens
 from test_operators import WORDS, docs, prose
 
 
@@ -116,3 +117,33 @@ def test_extension_equals_a_plain_alignment(spark):
             n = next((i for i, (v, w) in enumerate(zip(x, y)) if v != w), min(len(x), len(y)))
             _, starts = best_starts(x[n:], y[n:], p, cost)
             assert (found[0] - n, found[1] - n, found[2] - n) in starts
+
+
+class Task:
+    """Stands for a table: runs a map in this process, over no rows."""
+
+    schema = ()
+
+    def __getattr__(self, name):
+        return lambda *_: self
+
+    def mapInArrow(self, run, schema):
+        return [*run(iter([]))]
+
+
+@pytest.mark.parametrize(
+    "stage",
+    [
+        lambda rows: substrings._seed_rows(rows, substrings.Params()),
+        lambda rows: substrings._code_rows(rows),
+        lambda rows: substrings._lines(rows, lambda doc_id, links: ([], [], [])),
+        lambda rows: substrings._aligned(rows, substrings.Params()),
+        lambda rows: common.map_texts(rows, lambda text: (), "n int", []),
+        lambda rows: simhash.grouped_links(rows, rows, 0.8),
+    ],
+)
+def test_a_workers_tokenizer_goes_before_other_stages(spark, stage):
+    tokens.word_tokenizer()
+    assert tokens._load.cache_info().currsize == 1
+    stage(Task())
+    assert tokens._load.cache_info().currsize == 0
