@@ -36,6 +36,8 @@ FREQUENT_WORDS = 300_000
 #: Shards whose weights one task sums up; the driver gets these sums, one for so many shards.
 SHARDS_PER_SUM = 64
 _FLUSH = 400_000
+#: Strides of a gradient that are worked on together.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -198,18 +200,36 @@ class Network:
         v = self.v
         z = self.forward(rows)[0]
         before, goal = rows[self.shape.context :], v.row[targets]
-        out = np.log(z[np.arange(len(z)), v.kind[goal]] / z.sum(axis=1)) + v.inner[before, goal] + v.share[targets]
+        out = np.log(z.ravel().take(np.arange(0, z.size, z.shape[1]) + v.kind[goal]) / (z @ np.ones(z.shape[1], np.float32)))
+        out += v.inner.ravel().take(before * len(v.inner) + goal)  # flat places are found faster than pairs of them
+        out += v.share[targets]
         return np.where(targets >= 0, out, np.float32(0))
 
     def gradient(self, rows: np.ndarray, targets: np.ndarray) -> tuple[float, Params]:
-        """Mean loss of the classes and its gradient, that of the tables side by side for the rows that occur."""
+        """Mean loss of the classes and its gradient, that of the tables side by side for the rows that occur.
+
+        Windows are worked on in blocks that stay in a core's cache, and their gradients are summed.
+        """
+        d, step, context = self.shape.dims, BLOCK * self.shape.stride, self.shape.context
+        m = max(1, int((targets >= 0).sum()))
+        loss, g, table, there = 0.0, {"u": 0, "rel": 0}, np.zeros((self.shape.rows, 3 * d), np.float32), np.zeros(self.shape.rows, bool)
+        for at in range(0, max(1, len(targets)), step):
+            more, part = self._gradient(rows[at : at + context + step], targets[at : at + step], m)
+            loss += more
+            g = {n: g[n] + part[n] for n in g}
+            table[part["rows"]] += part["qkv"]
+            there[part["rows"]] = True
+        seen = np.flatnonzero(there)
+        return loss, g | {"rows": seen, "qkv": table[seen]}
+
+    def _gradient(self, rows: np.ndarray, targets: np.ndarray, m: int) -> tuple[float, Params]:
+        """A block's share of the loss and of its gradient, of `m` targets in all."""
         d, stride, context, window = self.shape.dims, self.shape.stride, self.shape.context, self.shape.window
         z, q, k, v, w, c, norm = self.forward(rows)
         many, place = len(q), np.arange(len(z))
         has = targets >= 0
-        m = max(1, int(has.sum()))
         goal = self.v.kind[self.v.row[targets]]
-        z *= (np.float32(1) / z.sum(axis=1))[:, None]
+        z *= (np.float32(1) / (z @ np.ones(z.shape[1], np.float32)))[:, None]
         took = z[place, goal]
         loss = float(-np.log(np.maximum(took[has], 1e-30)).sum() / m)
         z[place, goal] -= 1
@@ -218,13 +238,14 @@ class Network:
         g = {"u": c.reshape(-1, d).T @ z}
         back = np.empty((many, stride, d + 1), np.float32)
         np.multiply(dc, norm, out=back[:, :, :d])
-        back[:, :, d] = -(back[:, :, :d] * c).sum(axis=2)
-        dv = np.matmul(w.transpose(0, 2, 1), back[:, :, :d])
+        back[:, :, d] = -np.einsum("ijk,ijk->ij", back[:, :, :d], c)
+        both = np.empty((many, window, 2 * d), np.float32)
+        np.matmul(w.transpose(0, 2, 1), back[:, :, :d], out=both[:, :, d:])
         w *= np.matmul(back, v.transpose(0, 2, 1))
+        np.matmul(w.transpose(0, 2, 1), q, out=both[:, :, :d])
         g["rel"] = np.bincount(self.far.ravel(), weights=(w.sum(axis=0) * self.causal).ravel(), minlength=window).astype(np.float32)
         all_of = np.zeros((len(rows), 3 * d), np.float32)
         all_of[context:, :d] = np.matmul(w, k).reshape(-1, d)
-        both = np.concatenate([np.matmul(w.transpose(0, 2, 1), q), dv], axis=2)
         for at in range(0, window, stride):  # windows overlap by whole strides
             all_of[at : at + many * stride, d:] += both[:, at : at + stride].reshape(-1, 2 * d)
         order = np.argsort(rows.astype(np.int16), kind="stable")
@@ -264,7 +285,7 @@ class Trainer:
         self.net.refresh(seen)
 
 
-def score_texts(texts: list[np.ndarray], net: Network, batch: int = 512) -> np.ndarray:
+def score_texts(texts: list[np.ndarray], net: Network, batch: int = 128) -> np.ndarray:
     """Natural log probability of each text's ids and its end."""
     shape, total = net.shape, np.zeros(len(texts))
     if not texts:
@@ -295,9 +316,10 @@ def encoded(training: DataFrame) -> DataFrame:
 
         for whole in batches:
             for batch, texts in text_batches(whole):
+                texts = [*map(bytes.lower, texts)]
                 for text in texts:
-                    found.update(text.lower().split())
-                ids = [x.astype("<u2").tobytes() for x in encode([*map(bytes.lower, texts)])]
+                    found.update(text.split())
+                ids = [x.astype("<u2").tobytes() for x in encode(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.int64())], names)
                 if len(found) > _FLUSH:
                     yield words()

@@ -90,6 +90,20 @@ def test_gradient():
         assert full[n][i] == pytest.approx((up - down) / float(high - low), rel=1e-2)
 
 
+@pytest.mark.parametrize("block", [1, 2, 5])
+def test_gradient_is_the_same_in_blocks(monkeypatch, block):
+    shape = lm.Shape(dims=4, context=3, stride=3, classes=4, rows=32)
+    p, v = model(shape)
+    rows, targets, _ = lm.layout([np.arange(20), np.arange(5, 9), np.arange(11)], v, shape)
+    net = lm.Network(p, v, shape)
+    loss, whole = net.gradient(rows, targets[shape.context :])
+    monkeypatch.setattr(lm, "BLOCK", block)
+    again, parts = net.gradient(rows, targets[shape.context :])
+    assert again == pytest.approx(loss)
+    for n in whole:
+        np.testing.assert_allclose(parts[n], whole[n], rtol=1e-4, atol=1e-6)
+
+
 def test_batches_have_the_ids_of_the_library():
     t, r = tokens.word_tokenizer(), random.Random(3)
     texts = ["Word word, WORD. don't a1 ab; (x) it's, ciónes. ÉTÉ! naïve: ,, a, 's A's ét <|endoftext|> x<|END Ωmega 漢字 ſ İ K ª µm ²x", "", "ÉTÉ ÄÖÜß ×÷ 'TIS 12 3a4"]
