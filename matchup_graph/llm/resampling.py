@@ -14,6 +14,7 @@ plane k weigh 2**(j + k), so the sums of powers of two are exact.
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +47,17 @@ def word_blocks(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+@lru_cache(maxsize=1)
+def _known(buckets: int) -> Memo:
+    return Memo(lambda feature: zlib.crc32(feature) % buckets)
+
+
 class Buckets:
-    """Bucket counts of texts; the buckets of frequent words are remembered."""
+    """Bucket counts of texts; the buckets of frequent words are remembered, in one table per Python worker that its tasks share."""
 
     def __init__(self, buckets: int = BUCKETS, run: int = RUN):
-        self.buckets, self.run = buckets, run
-        self.known = Memo(lambda feature: zlib.crc32(feature) % buckets)
-        claim("buckets", self.known.clear)
+        claim("buckets", _known.cache_clear)
+        self.buckets, self.run, self.known = buckets, run, _known(buckets)
 
     def count(self, text: bytes) -> tuple[int, np.ndarray]:
         """Words, and the buckets of all runs of 1 to `run` words, repeats included."""

@@ -1,5 +1,6 @@
 """Importance resampling against plain sums."""
 
+import gc
 import hashlib
 import math
 import random
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchup_graph.llm import resampling as R
-from matchup_graph.llm.common import BLOCK
+from matchup_graph.llm.common import BLOCK, Memo
 
 
 def features(text, run):
@@ -80,3 +81,14 @@ def test_planes_give_exact_sums():
     found[1] = np.full(100_000, 3, np.int32)
     assert R.Gains(gains).weigh(found) == [int(gains[x].sum()) for x in found]
     assert R.Gains(np.zeros(100, np.int64)).weigh([np.array([1, 1])]) == [0]
+
+
+def test_tasks_of_a_worker_share_one_table_of_buckets():
+    tables = lambda: sum(isinstance(x, Memo) for x in gc.get_objects())
+    R.Buckets().count(b"first")
+    gc.collect()
+    before = tables()
+    for task in range(8):
+        assert R.Buckets(100 if task % 2 else R.BUCKETS).count(b"a task's own words %d" % task)[1].max() < (100 if task % 2 else R.BUCKETS)
+    gc.collect()
+    assert tables() == before
