@@ -6,6 +6,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,27 @@ def text_batches(batch: pa.RecordBatch, size: int = BLOCK) -> Iterator[tuple[pa.
         yield batch.slice(start, batch.num_rows - start), texts
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def coded_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(code of each word in order, words by code, number of words of each text); words are those of bytes.split().
+
+    Words and the gaps between them are slices of one line, which Arrow numbers,
+    so no word becomes a Python object.  Gaps have codes too, which none of the
+    words has.
+    """
+    line = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+    white = _WHITE[line]
+    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    many = np.diff(np.searchsorted(edges[::2], np.cumsum(sizes), "right"), prepend=0)
+    bounds = np.concatenate([[0], edges, [len(line)]]).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(line)]).dictionary_encode()
+    return coded.indices.to_numpy()[1::2], coded.dictionary, many
+
+
 def map_texts(frame: DataFrame, each: Callable[[bytes | None], tuple], schema: str, keep: list[str], batch_rows: int = 512) -> DataFrame:
     """Carry `keep` along and add `schema`'s columns, computed from the column `text` by each(bytes or None), which has no caches."""
     carried = frame.select(*keep, "text")

@@ -15,17 +15,17 @@ in hash order.
 """
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import crc_mod, cut, text_batches, trim
+from .common import coded_words, crc_mod, cut, stored, text_batches, trim
 from .tokens import word_tokenizer
 
 BOS, END = 49406, 49407
@@ -35,9 +35,10 @@ FOLDS = 10
 FREQUENT_WORDS = 300_000
 #: Shards whose weights one task sums up; the driver gets these sums, one for so many shards.
 SHARDS_PER_SUM = 64
-_FLUSH = 400_000
+#: Different words that a task goes on with at most, and bytes of text whose words are numbered together.
+_FLUSH, _LINE = 400_000, 1 << 23
 #: Strides of a gradient that are worked on together.
-BLOCK = 256
+BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -299,35 +300,41 @@ def score_texts(texts: list[np.ndarray], net: Network, batch: int = 128) -> np.n
     return total
 
 
-def train_fold(docs: DataFrame) -> DataFrame:
-    return docs.where(crc_mod("doc_id", FOLDS) != 0)
-
-
-def encoded(training: DataFrame) -> DataFrame:
-    """One pass over the texts: rows with ids (hash, ids as 16-bit numbers), and rows with words (word, n) summed in each task."""
+def encoded(docs: DataFrame) -> DataFrame:
+    """One pass over the texts: rows with ids (doc_id, hash, trains, ids as 16-bit numbers), and rows with words of training texts (word, n) summed in each task."""
+    kind, arrow_kind = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
+    names = ["doc_id", "hash", "trains", "ids", "word", "n"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, found = word_tokenizer().encode, Counter()
-        names = ["hash", "ids", "word", "n"]
+        encode, held = word_tokenizer().encode, []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
 
-        def words() -> pa.RecordBatch:
-            n = len(found)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names)
+        def words(found: pa.Table) -> Iterator[pa.RecordBatch]:
+            for part in found.combine_chunks().to_batches():
+                empty = [pa.nulls(part.num_rows, t) for t in (arrow_kind, pa.int64(), pa.bool_(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*empty, *part.columns], names)
 
         for whole in batches:
             for batch, texts in text_batches(whole):
-                texts = [*map(bytes.lower, texts)]
-                for text in texts:
-                    found.update(text.split())
-                ids = [x.astype("<u2").tobytes() for x in encode(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.int64())], names)
-                if len(found) > _FLUSH:
-                    yield words()
-                    found.clear()
-        yield words()
+                ids = [x.astype("<u2").tobytes() for x in encode([*map(bytes.lower, texts)])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:3]), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.int64())], names)
+            for _, texts in text_batches(whole.filter(whole.column("trains")), _LINE):
+                code, by_code, _ = coded_words([*map(bytes.lower, texts)])
+                times = np.bincount(code, minlength=len(by_code))
+                there = np.flatnonzero(times)
+                held.append(pa.table([by_code.take(pa.array(there)), times[there]], ["word", "n"]))
+                if sum(map(len, held)) > 2 * _FLUSH:
+                    held = [summed()]
+                    if len(held[0]) > _FLUSH:
+                        yield from words(held.pop())
+        if held:
+            yield from words(summed())
         trim()
 
-    return training.select(F.xxhash64("doc_id", "text").alias("hash"), "text").mapInArrow(rows, "hash bigint, ids binary, word binary, n bigint")
+    trains = (crc_mod("doc_id", FOLDS) != 0).alias("trains")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("hash"), trains, "text").mapInArrow(rows, f"doc_id {kind}, hash bigint, trains boolean, ids binary, word binary, n bigint")
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -443,8 +450,8 @@ def fit(table: DataFrame, tokens: int, v: Vocabulary, shape: Shape) -> Params:
             if total is not None:
                 yield put()
 
-        # shards are neighbours by number: each partition has its even share of them
-        trained = mine.repartitionByRange(count, "shard").sortWithinPartitions("shard", "hash", "ids").mapInArrow(rows, "shard int, steps bigint, weights binary")
+        # a partition for each shard
+        trained = mine.repartitionById(count, F.floor(F.col("shard") / shape.rounds).cast("int")).sortWithinPartitions("shard", "hash", "ids").mapInArrow(rows, "shard int, steps bigint, weights binary")
         summed = trained.repartition(-(-count // SHARDS_PER_SUM), F.floor(F.col("shard") / SHARDS_PER_SUM)).sortWithinPartitions("shard").mapInArrow(sums, "part int, steps bigint, total binary")
         got = summed.toArrow().sort_by("part")
         steps = got.column("steps").to_numpy()
@@ -466,14 +473,17 @@ def score(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     Counts, of words, ids and pairs, cover every training text, and so does the
     training of the weights.  Words above a count that at most FREQUENT_WORDS
     have are looked up in a broadcast table of that bounded size, the others by
-    a join on the word.  Without any training text N and V are 0, all words are
+    a join on the word.  Texts are encoded once: ids are kept for the training
+    and the scores, which find their rows by doc_id and the hash of both columns.
+    Without any training text N and V are 0, all words are
     unknown, and the model is uniform but for the frequencies' smoothing.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    table = cut(encoded(train_fold(docs)))
+    table = stored(encoded(docs))
     words = cut(table.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
-    ids = table.where("ids IS NOT NULL").select("hash", "ids")
+    all_ids = table.where("ids IS NOT NULL")
+    ids = all_ids.where("trains").select("hash", "ids")
     stats = words.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("size")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).collect()
     counts = id_counts(ids)
     ends = int(counts[END])
@@ -487,54 +497,60 @@ def score(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         bottom = r["size"]
     frequent = words.where(F.floor(F.log2("n") * 16) >= bottom).toArrow()
     lower = math.log10(n_tokens + 0.1 * (n_words + 1)) if n_tokens else math.log10(0.1)
-    known_words = spark.sparkContext.broadcast({w: math.log10(n + 0.1) - lower for w, n in zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist(), strict=True)})
+    known_words = spark.sparkContext.broadcast((frequent.column("word").combine_chunks(), np.append(np.log10(frequent.column("n").to_numpy() + 0.1) - lower, 0.0)))
     v = vocabulary(counts, pair_counts(ids, rows_of(counts, shape)[0], shape), shape)
     model = spark.sparkContext.broadcast((fit(ids, int(counts.sum()), v, shape), v))
     end_score = math.log10(ends + 0.1) - lower
     kind, arrow_kind = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
 
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(*model.value, shape)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                texts = [*_arrays([batch])]
+                columns = [pa.array(score_texts(texts, net) / math.log(10)), pa.array([len(x) + 1 for x in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *columns], ["doc_id", "hash", "score", "n_subwords"])
+        trim()
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net, encode = known_words.value.get, Network(*model.value, shape), word_tokenizer().encode
-        names = ["row", "doc_id", "word", "times", "n_tokens", "n_known", "base", "score", "n_subwords"]
+        known, values = known_words.value
+        names = ["row", "doc_id", "hash", "word", "times", "n_tokens", "n_known", "base"]
         for whole in batches:
-            for batch, texts in text_batches(whole):
-                texts = [*map(bytes.lower, texts)]
-                subwords = encode(texts)
-                total = score_texts(subwords, net) / math.log(10)
-                n, n_known, base, rare_words, rare_times, rare_many = [], [], [], [], [], []
-                for text in texts:
-                    found = text.split()
-                    values = [*map(known, found)]
-                    rare = Counter([w for w, x in zip(found, values, strict=True) if x is None])
-                    rare_words += rare.keys()
-                    rare_times += rare.values()
-                    rare_many.append(len(rare))
-                    n.append(len(found) + 1)
-                    n_known.append(len(found) - rare.total() + (ends > 0))
-                    base.append(sum(filter(None, values)) + end_score)
-                columns = [pa.nulls(len(n), pa.binary()), pa.array([1] * len(n), pa.int64()), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(total), pa.array([len(x) + 1 for x in subwords], pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], names)
-                if rare_words:
-                    owner = np.repeat(batch.column("row").to_numpy(), rare_many)
-                    empty = [pa.nulls(len(owner), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(owner), pa.nulls(len(owner), arrow_kind), pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int64()), *empty], names)
+            for batch, texts in text_batches(whole, _LINE):
+                code, words, many = coded_words([*map(bytes.lower, texts)])
+                place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()  # -1 is that of rare words
+                owner, place = np.repeat(np.arange(len(texts)), many), place[code]
+                base = np.bincount(owner, weights=values[place], minlength=len(texts)) + end_score
+                rare = place < 0
+                cells, times = np.unique(owner[rare] * len(words) + code[rare], return_counts=True)
+                n_known = many - np.bincount(owner[rare], minlength=len(texts)) + (ends > 0)
+                columns = [pa.nulls(len(texts), pa.binary()), pa.array([1] * len(texts), pa.int64()), pa.array(many + 1), pa.array(n_known), pa.array(base)]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("hash"), *columns], names)
+                if len(cells):
+                    empty = [pa.nulls(len(cells), t) for t in (pa.int64(), pa.int64(), pa.float64())]
+                    mine = [pa.nulls(len(cells), arrow_kind), pa.nulls(len(cells), pa.int64()), words.take(pa.array(cells % len(words))), pa.array(times)]
+                    yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(cells // len(words))), *mine, *empty], names)
         trim()
 
-    tagged = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    scored = tagged.mapInArrow(rows, f"row bigint, doc_id {kind}, word binary, times bigint, n_tokens bigint, n_known bigint, base double, score double, n_subwords bigint")
+    tagged = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("hash"), "text")
+    scored = tagged.mapInArrow(rows, f"row bigint, doc_id {kind}, hash bigint, word binary, times bigint, n_tokens bigint, n_known bigint, base double")
+    of_ids = all_ids.select("doc_id", "hash", "ids").mapInArrow(scores, f"doc_id {kind}, hash bigint, score double, n_subwords bigint")
+    # repeated rows have one score
+    of_ids = of_ids.groupBy(F.col("doc_id").alias("id of text"), F.col("hash").alias("hash of text")).agg(F.max("score").alias("score"), F.max("n_subwords").alias("n_subwords"))
     c = F.coalesce("n", F.lit(0))
     rare = F.col("is_word")
     # a document's own row has no word: it gets a key that is none, of its own, and finds nothing
     keyed = scored.withColumn("key", F.coalesce("word", F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary"))).drop("word")
     summed = keyed.withColumn("is_word", F.substring("key", 1, 1) != F.lit(b" ")).join(words.withColumnRenamed("word", "key"), "key", "left").groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
+        F.max("hash").alias("hash"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.when(rare & (c > 0), F.col("times")).otherwise(F.col("n_known"))).alias("n_known"),
         F.sum(F.when(rare, F.col("times") * (F.log10(c + 0.1) - lower)).otherwise(F.col("base"))).alias("base_score"),
-        F.sum("score").alias("score"),
-        F.sum("n_subwords").alias("n_subwords"),
     )
-    return summed.select("doc_id", (crc_mod("doc_id", FOLDS) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "n_subwords")
+    both = summed.join(of_ids, (F.col("hash") == F.col("hash of text")) & F.col("doc_id").eqNullSafe(F.col("id of text")), "left")
+    return both.select("doc_id", (crc_mod("doc_id", FOLDS) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "n_subwords")
 
 
 def op2(docs: DataFrame) -> DataFrame:

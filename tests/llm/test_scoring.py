@@ -1,10 +1,11 @@
 """Windows scored as views, and words encoded apart, against plain versions."""
 
 import random
+import re
 
 import numpy as np
 import pytest
-from matchup_graph.llm import lm, tokens
+from matchup_graph.llm import common, lm, tokens
 
 
 def model(shape, seed=3):
@@ -110,3 +111,25 @@ def test_batches_have_the_ids_of_the_library():
     for letters in ("ab\n ", "a.,'s", "lL' e", "19 a", "É×÷Äß a'", "¡«»é 're", "THEtion. "):
         texts += ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(200)]
     assert [x.tolist() for x in t.encode([s.encode() for s in texts])] == [t.whole.encode(s, add_special_tokens=False).ids for s in texts]
+
+
+def test_scores_come_from_the_ids_of_the_first_pass(spark):
+    """Texts are encoded once; rows of one doc_id, or of none, have the scores of their own texts, repeated rows too."""
+    texts = ["one two three", "four five", "one two three", None, "", "one two three"]
+    rows = [*zip([1, 1, 1, 2, None, None], texts, strict=True), *((i, f"w{i} and w{i % 7}") for i in range(10, 40))]
+    frame = lm.score(spark.createDataFrame(rows, "doc_id bigint, text string"), lm.Shape(dims=4, classes=6, rows=40))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"MapInArrow scores\(doc_id#\d+L?, hash#\d+L?, ids#\d+\)", plan)
+    got = frame.collect()
+    encode = lambda text: len(lm.word_tokenizer().encode([(text or "").encode()])[0]) + 1
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_subwords) for r in got) == sorted((i or 0, len((t or "").split()) + 1, encode(t)) for i, t in rows)
+    assert all(r.score < 0 for r in got) and len({r.score for r in got if r.doc_id == 1}) == 2
+
+
+def test_coded_words_are_those_of_split():
+    r = random.Random(6)
+    texts = [b"", b" ", b"a", b" a", b"a b ", b"\x1c\x85 \x0b\x0c\r\n\tx", "É 漢字\xa0ß".encode(), *("".join(r.choice("ab \n\t") for _ in range(r.randint(0, 30))).encode() for _ in range(300))]
+    for some in (texts, texts[:1], texts[:2], texts[3:4]):
+        code, words, many = common.coded_words(some)
+        by_code = words.to_pylist()
+        assert [by_code[i] for i in code] == [w for t in some for w in t.split()] and many.tolist() == [len(t.split()) for t in some]
