@@ -9,6 +9,9 @@ training text is counted.  Attention learns what lies beyond pairs, on every
 training text too.  Texts are scored in overlapping windows, each token once,
 with at least `context` tokens in front of it where the text has them.
 
+The tokenizer is needed by the first pass alone; tasks of all later ones empty it
+from their worker, where it would stand beside their own tables.
+
 Nothing depends on how the input is split into partitions: counts are sums of
 whole numbers, and training deals texts by hash over shards that are each taken
 in hash order.
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import coded_words, crc_mod, cut, stored, text_batches, trim
+from .common import claim, coded_words, crc_mod, cut, stored, text_batches, trim
 from .tokens import word_tokenizer
 
 BOS, END = 49406, 49407
@@ -36,7 +39,7 @@ FREQUENT_WORDS = 300_000
 #: Shards whose weights one task sums up; the driver gets these sums, one for so many shards.
 SHARDS_PER_SUM = 64
 #: Different words that a task goes on with at most, and bytes of text whose words are numbered together.
-_FLUSH, _LINE = 400_000, 1 << 23
+_FLUSH, _LINE = 400_000, 1 << 22
 #: Strides of a gradient that are worked on together.
 BLOCK = 128
 
@@ -181,20 +184,26 @@ class Network:
         """Of the positions behind the context: class weights before they are normed, and what the backward pass needs."""
         d, stride, context = self.shape.dims, self.shape.stride, self.shape.context
         many = (len(rows) - context) // stride
-        line = self.table[rows]
+        line = self.table.take(rows, axis=0)
         step, item = line.strides
         windows = np.lib.stride_tricks.as_strided(line, (many, self.shape.window, line.shape[1]), (stride * step, step, item), writeable=False)
         q, k, v = line[context:, :d].reshape(many, stride, d), windows[:, :, d : 2 * d], windows[:, :, 2 * d : 3 * d + 1]
-        w = np.matmul(q, k.transpose(0, 2, 1))
+        w = np.matmul(q, self.across(line[:, d : 2 * d], many))
         np.exp(w, out=w)
         w *= self.factor
         c = np.matmul(w, v)
         norm = np.float32(1) / np.maximum(c[:, :, d:], np.float32(1e-30))
         c = c[:, :, :d] * norm
         z = c.reshape(-1, d) @ self.p["u"]
-        z += self.v.direct[rows[context:]]
+        z += self.v.direct.take(rows[context:], axis=0)
         np.exp(z, out=z)
-        return z, q, k, v, w, c, norm
+        return z, q, k, line[:, 2 * d : 3 * d + 1], w, c, norm
+
+    def across(self, line: np.ndarray, many: int) -> np.ndarray:
+        """Windows of some columns of a line, by column: a product whose right side is a transposed view takes several times as long."""
+        columns = np.ascontiguousarray(line.T)
+        step, item = columns.strides
+        return np.lib.stride_tricks.as_strided(columns, (many, len(columns), self.shape.window), (self.shape.stride * item, step, item), writeable=False)
 
     def log_probability(self, rows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability; 0 where there is none."""
@@ -209,32 +218,35 @@ class Network:
     def gradient(self, rows: np.ndarray, targets: np.ndarray) -> tuple[float, Params]:
         """Mean loss of the classes and its gradient, that of the tables side by side for the rows that occur.
 
-        Windows are worked on in blocks that stay in a core's cache, and their gradients are summed.
+        Windows are worked on in blocks that stay in a core's cache; gradients of places are summed by row at the end.
         """
         d, step, context = self.shape.dims, BLOCK * self.shape.stride, self.shape.context
         m = max(1, int((targets >= 0).sum()))
-        loss, g, table, there = 0.0, {"u": 0, "rel": 0}, np.zeros((self.shape.rows, 3 * d), np.float32), np.zeros(self.shape.rows, bool)
+        loss, g, places = 0.0, {"u": 0, "rel": 0}, np.zeros((len(rows), 3 * d + d % 2), np.float32)
         for at in range(0, max(1, len(targets)), step):
-            more, part = self._gradient(rows[at : at + context + step], targets[at : at + step], m)
+            more, part = self._gradient(rows[at : at + context + step], targets[at : at + step], m, places[at : at + context + step])
             loss += more
             g = {n: g[n] + part[n] for n in g}
-            table[part["rows"]] += part["qkv"]
-            there[part["rows"]] = True
-        seen = np.flatnonzero(there)
-        return loss, g | {"rows": seen, "qkv": table[seen]}
+        order = np.argsort(rows.astype(np.int16), kind="stable")
+        size = np.bincount(rows + 1, minlength=self.shape.rows + 1)
+        seen = np.flatnonzero(size[1:])
+        first = np.cumsum(size)[seen]
+        # sums go two columns at a time, as complex numbers
+        by_row = places.take(order, axis=0).view(np.complex64)
+        by_row = np.add.reduceat(by_row, first, axis=0) if len(seen) else by_row[:0]
+        return loss, g | {"rows": seen, "qkv": by_row.view(np.float32)[:, : 3 * d]}
 
-    def _gradient(self, rows: np.ndarray, targets: np.ndarray, m: int) -> tuple[float, Params]:
-        """A block's share of the loss and of its gradient, of `m` targets in all."""
+    def _gradient(self, rows: np.ndarray, targets: np.ndarray, m: int, places: np.ndarray) -> tuple[float, Params]:
+        """A block's share of the loss and of its gradient, of `m` targets in all; that of its places is added to theirs."""
         d, stride, context, window = self.shape.dims, self.shape.stride, self.shape.context, self.shape.window
         z, q, k, v, w, c, norm = self.forward(rows)
-        many, place = len(q), np.arange(len(z))
+        many = len(q)
         has = targets >= 0
-        goal = self.v.kind[self.v.row[targets]]
-        z *= (np.float32(1) / (z @ np.ones(z.shape[1], np.float32)))[:, None]
-        took = z[place, goal]
-        loss = float(-np.log(np.maximum(took[has], 1e-30)).sum() / m)
-        z[place, goal] -= 1
-        z *= (has / np.float32(m)).astype(np.float32)[:, None]
+        goal = np.arange(0, z.size, z.shape[1]) + self.v.kind.take(self.v.row.take(targets))
+        one, share = np.float32(1) / (z @ np.ones(z.shape[1], np.float32)), has / np.float32(m)
+        loss = float(-np.log(np.maximum((z.ravel().take(goal) * one)[has], 1e-30)).sum() / m)
+        z *= (one * share)[:, None]
+        z.ravel()[goal] -= share
         dc = (z @ self.p["u"].T).reshape(many, stride, d)
         g = {"u": c.reshape(-1, d).T @ z}
         back = np.empty((many, stride, d + 1), np.float32)
@@ -242,18 +254,12 @@ class Network:
         back[:, :, d] = -np.einsum("ijk,ijk->ij", back[:, :, :d], c)
         both = np.empty((many, window, 2 * d), np.float32)
         np.matmul(w.transpose(0, 2, 1), back[:, :, :d], out=both[:, :, d:])
-        w *= np.matmul(back, v.transpose(0, 2, 1))
+        w *= np.matmul(back, self.across(v, many))
         np.matmul(w.transpose(0, 2, 1), q, out=both[:, :, :d])
         g["rel"] = np.bincount(self.far.ravel(), weights=(w.sum(axis=0) * self.causal).ravel(), minlength=window).astype(np.float32)
-        all_of = np.zeros((len(rows), 3 * d), np.float32)
-        all_of[context:, :d] = np.matmul(w, k).reshape(-1, d)
+        places[context:, :d] = np.matmul(w, k).reshape(-1, d)
         for at in range(0, window, stride):  # windows overlap by whole strides
-            all_of[at : at + many * stride, d:] += both[:, at : at + stride].reshape(-1, 2 * d)
-        order = np.argsort(rows.astype(np.int16), kind="stable")
-        size = np.bincount(rows + 1, minlength=self.shape.rows + 1)
-        seen = np.flatnonzero(size[1:])
-        first = np.cumsum(size)[seen]
-        g["rows"], g["qkv"] = seen, np.add.reduceat(all_of[order], first, axis=0) if len(seen) else all_of[:0]
+            places[at : at + many * stride, d : 3 * d] += both[:, at : at + stride].reshape(-1, 2 * d)
         return loss, g
 
 
@@ -320,8 +326,8 @@ def encoded(docs: DataFrame) -> DataFrame:
             for batch, texts in text_batches(whole):
                 ids = [x.astype("<u2").tobytes() for x in encode([*map(bytes.lower, texts)])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:3]), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.int64())], names)
-            for _, texts in text_batches(whole.filter(whole.column("trains")), _LINE):
-                code, by_code, _ = coded_words([*map(bytes.lower, texts)])
+            for batch, texts in text_batches(whole, _LINE):
+                code, by_code, _ = coded_words([text.lower() for text, trains in zip(texts, batch.column("trains").to_pylist(), strict=True) if trains])
                 times = np.bincount(code, minlength=len(by_code))
                 there = np.flatnonzero(times)
                 held.append(pa.table([by_code.take(pa.array(there)), times[there]], ["word", "n"]))
@@ -360,6 +366,7 @@ def id_counts(table: DataFrame) -> np.ndarray:
     """Counts of all ids, ends included."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lm")
         total = np.zeros(N_IDS, np.int64)
         for ids in _arrays(batches):
             total += np.bincount(ids, minlength=N_IDS) if len(ids) > 4096 else 0
@@ -376,6 +383,7 @@ def pair_counts(table: DataFrame, row: np.ndarray, shape: Shape) -> np.ndarray:
     n = shape.rows
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lm")
         total, held, size = np.zeros(n * n, np.int64), [], 0
 
         def add() -> None:
@@ -413,6 +421,7 @@ def fit(table: DataFrame, tokens: int, v: Vocabulary, shape: Shape) -> Params:
         now = p
 
         def rows(batches: Iterator[pa.RecordBatch], now: Params = now) -> Iterator[pa.RecordBatch]:
+            claim("lm")
             shard, trainer, texts, size = None, None, [], 0
 
             def end() -> pa.RecordBatch:
@@ -438,6 +447,7 @@ def fit(table: DataFrame, tokens: int, v: Vocabulary, shape: Shape) -> Params:
 
         mine = dealt.where(F.pmod("shard", F.lit(shape.rounds)) == number)
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("lm")
             part, steps, total = None, 0, None
             put = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([steps], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "steps", "total"])
             for batch in batches:
@@ -504,6 +514,7 @@ def score(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     kind, arrow_kind = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lm")
         net = Network(*model.value, shape)
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
@@ -514,6 +525,7 @@ def score(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         trim()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lm")
         known, values = known_words.value
         names = ["row", "doc_id", "hash", "word", "times", "n_tokens", "n_known", "base"]
         for whole in batches:

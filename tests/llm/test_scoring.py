@@ -133,3 +133,22 @@ def test_coded_words_are_those_of_split():
         code, words, many = common.coded_words(some)
         by_code = words.to_pylist()
         assert [by_code[i] for i in code] == [w for t in some for w in t.split()] and many.tolist() == [len(t.split()) for t in some]
+
+
+def test_only_the_first_pass_keeps_a_tokenizer(spark, monkeypatch):
+    """Workers live on between stages: those that train and score must not hold the tokenizer of the first pass beside their own tables."""
+    frame, found = spark.createDataFrame([(i, f"w{i} and w{i % 7}") for i in range(30)], "doc_id bigint, text string"), []
+    plain = type(frame).mapInArrow
+
+    def noted(self, func, *args, **kwargs):
+        found.append(func)
+        return plain(self, func, *args, **kwargs)
+
+    monkeypatch.setattr(type(frame), "mapInArrow", noted)
+    lm.score(frame, lm.Shape(dims=4, classes=6, rows=40))
+    later = [f for f in found if not f.__qualname__.startswith("encoded.")]
+    assert len(later) == len(found) - 1 >= 6
+    for func in later:
+        lm.word_tokenizer()
+        [*func(iter(()))]
+        assert tokens._load.cache_info().currsize == 0, func.__qualname__
