@@ -101,6 +101,15 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def word_bounds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line of all texts, starts and ends of its words in turn, number of words of each text); words are those of bytes.split()."""
+    line = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+    white = _WHITE[line]
+    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    return line, edges, np.diff(np.searchsorted(edges[::2], np.cumsum(sizes), "right"), prepend=0)
+
+
 def coded_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(code of each word in order, words by code, number of words of each text); words are those of bytes.split().
 
@@ -108,11 +117,7 @@ def coded_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     so no word becomes a Python object.  Gaps have codes too, which none of the
     words has.
     """
-    line = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
-    white = _WHITE[line]
-    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    many = np.diff(np.searchsorted(edges[::2], np.cumsum(sizes), "right"), prepend=0)
+    line, edges, many = word_bounds(texts)
     bounds = np.concatenate([[0], edges, [len(line)]]).astype(np.int32)
     coded = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(line)]).dictionary_encode()
     return coded.indices.to_numpy()[1::2], coded.dictionary, many

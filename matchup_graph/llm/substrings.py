@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, claim, cut, stored, trim
+from .common import claim, cut, stored, text_batches, trim, word_bounds
 
 
 @dataclass(frozen=True)
@@ -53,33 +53,72 @@ SPAN = 16
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)]
 
 
-def word_codes(text: bytes | None) -> np.ndarray:
-    """64-bit hashes of a text's words, ASCII letters in lower case."""
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w, 42) for w in (text or b"").lower().split()], np.uint64)
+#: Bytes of a line whose words are hashed together, few enough for a core's cache, and of a word that is hashed so at most.
+_STRETCH, _LONG = 1 << 15, 256
+_ROOT = 0x9E3779B97F4A7C15
+_SALTS = np.array([xxhash.xxh64_intdigest(bytes([b]).lower(), 42) for b in range(256)], np.uint64)
+_POWERS, _INVERSES = (np.cumprod(np.array([1] + [root] * (_STRETCH - 1), np.uint64)) for root in (_ROOT, pow(_ROOT, -1, 1 << 64)))
 
 
-def seeds(codes: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the winnowed shingles, at every place."""
+def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words in order, ASCII letters in lower case; number of words of each text).
+
+    A hash is a polynomial of the word's bytes: sums over the line up to the
+    word's end and up to its start, their difference shifted back by the power
+    of the start, so no word becomes a Python object.
+    """
+    line, edges, many = word_bounds(texts)
+    starts, ends = edges[::2].copy(), edges[1::2].copy()
+    codes, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        low = starts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, low + _STRETCH, "right")))
+        if ends[stop - 1] - low <= _STRETCH:
+            sums = np.zeros(ends[stop - 1] - low + 1, np.uint64)
+            np.cumsum(_SALTS.take(line[low : ends[stop - 1]]) * _POWERS[: len(sums) - 1], out=sums[1:])
+            first = starts[at:stop] - low
+            codes[at:stop] = (sums[ends[at:stop] - low] - sums[first]) * _INVERSES.take(first)
+        at = stop
+    codes ^= codes >> np.uint64(32)
+    codes *= np.uint64(0xD6E8FEB86659FD93)
+    codes ^= codes >> np.uint64(32)
+    for i in np.flatnonzero(ends - starts > _LONG).tolist():
+        codes[i] = xxhash.xxh64_intdigest(line[starts[i] : ends[i]].tobytes().lower(), 42)
+    return codes, many
+
+
+def seeds(codes: np.ndarray, many: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, positions, numbers of their texts) of the winnowed shingles, at every place, of texts with `many` words each."""
     n = len(codes) - p.k + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = np.zeros(n, np.uint64)
     for i in range(p.k):
         h += codes[i : i + n] * np.uint64(_MULTIPLIERS[i])
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    if n > p.window:
-        least, low = h[: n - p.window + 1].copy(), np.arange(n - p.window + 1)
+    begin, shingles = np.cumsum(many) - many, np.maximum(many - p.k + 1, 0)
+    found = []
+    windows = max(0, n - p.window + 1)
+    if windows:
+        places = np.arange(n)
+        least, low = h[:windows].copy(), places[:windows].copy()
         for i in range(1, p.window):
-            smaller = h[i : i + len(least)] < least
-            np.copyto(least, h[i : i + len(least)], where=smaller)
-            np.copyto(low, np.arange(i, i + len(low)), where=smaller)
-        at = low[np.concatenate([[True], low[1:] != low[:-1]])]  # the first smallest one never moves back
-    else:
-        at = np.array([h.argmin()])
-    return h[at].view(np.int64), at
+            smaller = h[i : i + windows] < least
+            np.copyto(least, h[i : i + windows], where=smaller)
+            np.copyto(low, places[i : i + windows], where=smaller)
+        # windows inside one text: as many start in it as it has shingles, less those that would end behind
+        inside = np.where(shingles > p.window, shingles - p.window + 1, 0)
+        start = np.arange(inside.sum()) + np.repeat(begin - (np.cumsum(inside) - inside), inside)
+        low = low[start]
+        found.append(low[np.concatenate([[True], low[1:] != low[:-1]])[: len(low)]])  # the first smallest one never moves back
+    short = np.flatnonzero((shingles > 0) & (shingles <= p.window))
+    if len(short):
+        found.append(np.array([b + h[b : b + m].argmin() for b, m in zip(begin[short], shingles[short], strict=True)]))
+    at = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+    owner = np.searchsorted(begin + many, at, "right")
+    return h[at].view(np.int64), at - begin[owner], owner
 
 
 def chain(pos: list[int], other: list[int], k: int, gap_cost: float) -> list[list[int]]:
@@ -163,10 +202,10 @@ def _common(a: list[int], b: list[int]) -> int:
 
 
 def _filled(rows: list[np.ndarray], size: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
-    out = np.full((len(rows), size), fill, np.int64)
-    for i, row in enumerate(rows):
-        out[i, : len(row)] = row
-    return out, np.array([len(row) for row in rows], np.int64)
+    out, many = np.full((len(rows), size), fill, np.int64), np.fromiter(map(len, rows), np.int64, len(rows))
+    if len(rows):
+        out[np.arange(size) < many[:, None]] = np.concatenate(rows)
+    return out, many
 
 
 def extend(a: list[np.ndarray], b: list[np.ndarray], p: Params, cost: int) -> np.ndarray:
@@ -220,18 +259,18 @@ def align(stretches: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]],
     """For each chain (words, other words, matches): (start, end, other start, other end, words in common)."""
     bodies, before, after = [], [], []
     for doc, other, matches in stretches:
-        a, b = matches[0]
-        same = 0
-        end, other_end = matches[0]
-        for x, y in matches:
-            skip = max(0, end - x, other_end - y)
-            if skip >= p.k:
-                continue
-            if x + skip > end or y + skip > other_end:
-                gap, other_gap = doc[end : x + skip].tolist(), other[other_end : y + skip].tolist()
-                same += len(gap) if gap == other_gap else _common(gap, other_gap)
-            same += p.k - skip
-            end, other_end = x + p.k, y + p.k
+        x, y = a, b = matches[0]
+        same = p.k
+        for m, n in matches[1:]:
+            step, other_step = m - x, n - y
+            if step == other_step <= p.k:  # most matches overlap alike
+                same += step
+            else:  # words between two matches, or one match a little closer on one side
+                least = min(step, other_step, p.k)
+                gap, other_gap = doc[x + p.k : m + p.k - least].tolist(), other[y + p.k : n + p.k - least].tolist()
+                same += least + (len(gap) if gap == other_gap else _common(gap, other_gap))
+            x, y = m, n
+        end, other_end = x + p.k, y + p.k
         bodies.append((a, end, b, other_end, same))
         before.append((doc[max(0, a - p.margin) : a][::-1], other[max(0, b - p.margin) : b][::-1]))
         after.append((doc[end : end + p.margin], other[other_end : other_end + p.margin]))
@@ -264,10 +303,11 @@ def _code_rows(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("passages")
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                codes = [word_codes(b).astype(np.uint32).tobytes() for b in blobs(batch)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.binary())], ["doc_id", "codes"])
+            for batch, texts in text_batches(whole):
+                codes, many = word_codes(texts)
+                bounds = np.concatenate([[0], 4 * np.cumsum(many)]).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), pa.py_buffer(codes.astype(np.uint32))])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "codes"])
 
     return docs.mapInArrow(rows, "doc_id bigint, codes binary")
 
@@ -278,20 +318,18 @@ def _seed_rows(docs: DataFrame, p: Params) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("passages")
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                hs, ps, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for doc_id, blob in zip(batch.column("doc_id").to_pylist(), blobs(batch), strict=True):
-                    codes = word_codes(blob)
-                    if len(codes) >= p.min_words:
-                        h, place = seeds(codes, p)
-                        later = np.ones(len(h), bool)
-                        later[np.unique(h, return_index=True)[1]] = False
-                        place = np.where(later, ~place, place)
-                        hs.append(h)
-                        ps.append(place)
-                        ids.append(np.full(len(h), doc_id, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ps).astype(np.int32))], ["seed", "doc_id", "pos"])
+            for batch, texts in text_batches(whole):
+                codes, many = word_codes(texts)
+                taken = many >= p.min_words
+                if not taken.all():
+                    codes = codes[np.repeat(taken, many)]
+                h, place, owner = seeds(codes, many[taken], p)
+                order = np.argsort(h, kind="stable")
+                again = (h[order][1:] == h[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+                later = order[1:][again]
+                place[later] = ~place[later]
+                ids = batch.column("doc_id").to_numpy()[taken][owner]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(place.astype(np.int32))], ["seed", "doc_id", "pos"])
 
     return docs.mapInArrow(rows, "seed bigint, doc_id bigint, pos int")
 
@@ -450,19 +488,22 @@ def _chains(docs: DataFrame, p: Params) -> DataFrame:
     return lines.where("place IS NULL").union(_lines(by_doc, runs_of)).drop("place")
 
 
-def may_agree(a: np.ndarray, b: np.ndarray, p: Params) -> bool:
-    """False only if no passage of these stretches can be long and alike enough.
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """Neighbouring words as one number each."""
+    return (words[:-1].astype(np.uint64) << np.uint64(32)) | words[1:]
+
+
+def may_agree(mine: np.ndarray, there: np.ndarray, p: Params) -> bool:
+    """False only if no passage of two stretches, given as pairs of words, can be long and alike enough.
 
     A passage of n words of which m = similarity * n agree has at most n - m
     breaks on either side, so m - 1 - 2 (n - m) pairs of neighbouring words, at
     least, are common to both.
     """
-    pair = lambda x: (x[:-1].astype(np.uint64) << np.uint64(32)) | x[1:]
     least = p.min_words * (3 * p.similarity - 2) - 1
-    there = np.sort(pair(b))
+    there = np.sort(there)
     if not len(there):
         return least <= 0
-    mine = pair(a)
     at = np.minimum(np.searchsorted(there, mine), len(there) - 1)
     return int((there[at] == mine).sum()) >= least
 
@@ -494,6 +535,7 @@ def aligned(lines: list[tuple], p: Params) -> Iterator[tuple]:
     """Passages of lines (doc_id, keep_id, origin, keep_origin, matches, sizes, words, keep_words); chains are aligned in blocks of 1,024."""
     around = p.window + p.k
     codes = [(np.frombuffer(x[6], np.uint32), np.frombuffer(x[7], np.uint32)) for x in lines]
+    pairs_of = [(_pairs(doc), _pairs(other)) for doc, other in codes]
     whole: list[list[_Chain]] = []
     for i, (_, _, origin, keep_origin, matches, sizes, _, _) in enumerate(lines):
         places = np.frombuffer(matches, np.int32).reshape(-1, 2) - np.array([origin, keep_origin])
@@ -509,7 +551,8 @@ def aligned(lines: list[tuple], p: Params) -> Iterator[tuple]:
             if last + p.k > len(doc) or keep_last + p.k > len(other):
                 continue  # another text under the same doc_id
             lo, keep_lo = max(0, first - p.margin), max(0, keep_first - p.margin)
-            if may_agree(doc[lo : last + p.k + p.margin], other[keep_lo : keep_last + p.k + p.margin], p):
+            mine, there = pairs_of[c.line]
+            if may_agree(mine[lo : last + p.k + p.margin - 1], there[keep_lo : keep_last + p.k + p.margin - 1], p):
                 likely.append(c)
         for c, out in zip(likely, align([(*codes[c.line], c.pairs) for c in likely], p), strict=True):
             if is_passage(out, p):

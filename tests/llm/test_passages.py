@@ -147,3 +147,27 @@ def test_a_workers_tokenizer_goes_before_other_stages(spark, stage):
     assert tokens._load.cache_info().currsize == 1
     stage(Task())
     assert tokens._load.cache_info().currsize == 0
+
+
+def test_words_of_many_texts_are_hashed_and_winnowed_as_one_by_one(monkeypatch):
+    r = random.Random(11)
+    monkeypatch.setattr(substrings, "_STRETCH", 64)  # lines are worked on in stretches
+    texts = [b"", b" ", b"a", b"Ab aB ab", "ÉT\xa0É x".encode(), b"y" * 300 + b" Y" + b"y" * 299, b"z" * 100, *("".join(r.choice("abcB \n") for _ in range(r.randint(0, 200))).encode() for _ in range(80))]
+    codes, many = substrings.word_codes(texts)
+    words = [w for t in texts for w in t.lower().split()]
+    assert many.tolist() == [len(t.split()) for t in texts] and len(codes) == len(words)
+    assert len({*zip(codes.tolist(), words, strict=True)}) == len({*codes.tolist()}) == len({*words})
+    assert len({*(codes & np.uint64(0xFFFFFFFF)).tolist()}) == len({*words})
+    p = substrings.Params(k=3, window=4)
+    h, place, owner = substrings.seeds(codes, many, p)
+    want, bounds = [], np.cumsum([0, *many]).tolist()
+    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        all_of = [int(sum(int(c) * substrings._MULTIPLIERS[j] for j, c in enumerate(codes[at : at + p.k]))) & (1 << 64) - 1 for at in range(lo, hi - p.k + 1)]
+        for j, x in enumerate(all_of):
+            x ^= x >> 31
+            x = x * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+            all_of[j] = x ^ x >> 29
+        starts = range(max(1, len(all_of) - p.window + 1)) if all_of else ()
+        for at in sorted({min(range(s, min(s + p.window, len(all_of))), key=lambda j: (all_of[j], j)) for s in starts}):
+            want.append((all_of[at], at, i))
+    assert [*zip(h.view(np.uint64).tolist(), place.tolist(), owner.tolist(), strict=True)] == want
